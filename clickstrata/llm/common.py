@@ -39,7 +39,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value evaluated once per row, however often the body names it."""
-    return F.transform(F.array(value), body)[0]
+    return F.transform(F.array(value), lambda x: body(x))[0]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,7 +56,7 @@ def neighbours(keys: DataFrame, order: list[Column], wrap: bool, out: str, value
     ranged = written(ranged, "ranges")
     within = Window.partitionBy("__part").orderBy(*order)
     held = ranged.withColumn("__next", F.lead(F.struct(F.col(value).alias("v"))).over(within)).withColumn("__first", F.row_number().over(within) == 1)
-    heads = ranged.groupBy("__part").agg(F.min_by(F.struct(F.col(value).alias("v")), F.struct(F.row_number().over(Window.orderBy(F.lit(1))))).alias("v")) if False else held.where("__first").select("__part", F.struct(F.col(value).alias("v")).alias("__head"))
+    heads = held.where("__first").select("__part", F.struct(F.col(value).alias("v")).alias("__head"))
     by_part = Window.orderBy("__part")
     after = heads.withColumn("__after", F.lead("__head").over(by_part))
     if wrap:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickstrata.llm import bytebpe, packing, token_counts
+from clickstrata.llm import bytebpe, packing, quality, token_counts
 from clickstrata.llm.common import read_table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -17,6 +17,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(read_table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.token_counts(read_table(spark, sf_dir, "documents"), WORD_VOCABULARY)
     return counts.withColumn("over_limit", F.col("n_tokens") > packing.CAPACITY)
@@ -26,5 +30,5 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.round_trip(read_table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_token_counts, op7_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_quality_rules, op4_token_counts, op7_bpe_round_trip)}
 ORACLE_SQL: dict[str, str] = {}
