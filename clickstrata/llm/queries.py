@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickstrata.llm import bytebpe, html_text, packing, quality, token_counts
+from clickstrata.llm import bytebpe, html_text, packing, quality, simhash, token_counts
 from clickstrata.llm.common import read_table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -26,6 +26,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > packing.CAPACITY)
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.withColumn("fingerprint", F.lower(F.hex("fingerprint")))
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.round_trip(read_table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
 
@@ -34,5 +39,5 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_quality_rules, op4_token_counts, op7_bpe_round_trip, op9_html_text)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_quality_rules, op4_token_counts, op6_simhash, op7_bpe_round_trip, op9_html_text)}
 ORACLE_SQL: dict[str, str] = {}
