@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickstrata.llm import bytebpe, html_text, packing, quality, simhash, token_counts
+from clickstrata.llm import bytebpe, html_text, packing, quality, repeats, simhash, token_counts
 from clickstrata.llm.common import read_table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -35,9 +35,14 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.round_trip(read_table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
 
 
+def op8_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.without_repeats(read_table(spark, sf_dir, "documents"), digest_only=True)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_quality_rules, op4_token_counts, op6_simhash, op7_bpe_round_trip, op9_html_text)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_quality_rules, op4_token_counts, op6_simhash, op7_bpe_round_trip, op8_repeated_substrings, op9_html_text)}
 ORACLE_SQL: dict[str, str] = {}
