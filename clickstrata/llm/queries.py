@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickstrata.llm import bytebpe, html_text, packing, quality, repeats, simhash, token_counts
+from clickstrata.llm import bytebpe, html_text, line_dedup, packing, quality, repeats, simhash, spot_signatures, token_counts
 from clickstrata.llm.common import read_table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -17,6 +17,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
 
+def op2_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spot_signatures.edited_likeness(read_table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read_table(spark, sf_dir, "documents"))
 
@@ -44,5 +48,23 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_quality_rules, op4_token_counts, op6_simhash, op7_bpe_round_trip, op8_repeated_substrings, op9_html_text)}
-ORACLE_SQL: dict[str, str] = {}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.without_copies(read_table(spark, sf_dir, "documents"))
+    places = F.array_join(F.transform("spans", lambda s: F.concat_ws("+", s["start"].cast("string"), s["length"].cast("string"))), " ")
+    return found.select("doc_id", "n_units", "n_removed", places.alias("removed"), F.length("kept").cast("long").alias("n_kept_chars"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_spot_signatures, op3_quality_rules, op4_token_counts, op6_simhash, op7_bpe_round_trip, op8_repeated_substrings, op9_html_text, op10_line_dedup)}
+ORACLE_SQL: dict[str, str] = {
+    "op10_line_dedup": f"""
+        WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS held FROM documents),
+        units AS (SELECT doc_id, unnest(held) AS line, unnest(range(len(held))) AS no FROM cut),
+        plain AS (SELECT *, trim(regexp_replace(lower(line), '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')) AS norm,
+            coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM units),
+        ranked AS (SELECT *, len(string_split(norm, ' ')) >= {line_dedup.LEAST_WORDS} AND norm <> '' AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, no) > 1 AS gone FROM plain)
+        SELECT doc_id, count(*) AS n_units, count(*) FILTER (WHERE gone) AS n_removed,
+            coalesce(string_agg(start || '+' || length(line), ' ' ORDER BY no) FILTER (WHERE gone), '') AS removed,
+            length(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (WHERE NOT gone), '')) AS n_kept_chars,
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (WHERE NOT gone), '')) AS kept_sha256
+        FROM ranked GROUP BY doc_id""",
+}
