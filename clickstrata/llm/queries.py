@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickstrata.llm import bytebpe, html_text, line_dedup, packing, quality, repeats, simhash, spot_signatures, token_counts
+from clickstrata.llm import bytebpe, html_text, line_dedup, packing, quality, repeats, simhash, spot_signatures, token_counts, toxicity
 from clickstrata.llm.common import read_table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -30,6 +30,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > packing.CAPACITY)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.withColumn("fingerprint", F.lower(F.hex("fingerprint")))
@@ -54,7 +58,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_units", "n_removed", places.alias("removed"), F.length("kept").cast("long").alias("n_kept_chars"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_spot_signatures, op3_quality_rules, op4_token_counts, op6_simhash, op7_bpe_round_trip, op8_repeated_substrings, op9_html_text, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_spot_signatures, op3_quality_rules, op4_token_counts, op5_toxicity, op6_simhash, op7_bpe_round_trip, op8_repeated_substrings, op9_html_text, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {
     "op10_line_dedup": f"""
         WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS held FROM documents),
