@@ -285,18 +285,19 @@ def covers(texts: DataFrame, windows: Windows) -> DataFrame:
     return every.groupBy("did", "hash").agg(F.collect_set(F.struct("begin", "stop")).alias("spans"))
 
 
-def distinct_texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, did, hash: their class) and the classes' texts (did, hash, text, copies), bucketed by class.
+def distinct_texts(docs: DataFrame, id_col: str, text_col: str, columns: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, the other columns asked for, did, hash: their class) and the classes' texts (did, hash, text, copies), bucketed by class.
 
     A class is named by its least id and its text's hash; texts move once, and later joins find them in place.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    named = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("did"), text.alias("text"))
+    kept = F.struct(*[F.col(c) for c in columns] or [F.lit(True).alias("none")]).alias("kept")
+    named = docs.select(F.col(id_col).alias("doc_id"), kept, F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("did"), text.alias("text"))
     named = named.withColumn("hash", F.xxhash64("text"))
-    rows = written(named.select("doc_id", "did", "hash", F.unhex(F.md5("text")).alias("digest")), "digests")
+    rows = written(named.select("doc_id", "kept", "did", "hash", F.unhex(F.md5("text")).alias("digest")), "digests")
     classes = written(rows.groupBy("digest").agg(F.min("did").alias("class_did"), F.first("hash").alias("class_hash"), F.count("*").alias("copies")), "classes")
-    members = rows.join(classes.select("digest", "class_did", "class_hash"), "digest").select("doc_id", F.col("class_did").alias("did"), F.col("class_hash").alias("hash"))
+    members = rows.join(classes.select("digest", "class_did", "class_hash"), "digest").select("doc_id", *[F.col(f"kept.`{c}`") for c in columns], F.col("class_did").alias("did"), F.col("class_hash").alias("hash"))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chosen = classes.select(F.col("class_did").alias("did"), F.col("class_hash").alias("hash"), "copies").repartition(buckets, "did", "hash")
     # repeated ids with equal texts come several times: one of them stays
@@ -306,7 +307,7 @@ def distinct_texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFra
     return members, spark.table(name)
 
 
-CUT = "did long, hash long, n_units long, text string, kept binary, n_bytes long, n_removed long, spans array<struct<begin:long,stop:long>>"
+CUT = "did long, hash long, kept binary, n_bytes long, n_removed long, spans array<struct<begin:long,stop:long>>"
 
 
 def cut(texts: DataFrame, windows: Windows) -> DataFrame:
@@ -315,7 +316,7 @@ def cut(texts: DataFrame, windows: Windows) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units, kept, n_bytes, removed, spans = [], [], [], [], []
+            kept, n_bytes, removed, spans = [], [], [], []
             for text, copies, found in zip(batch.column("text"), batch.column("copies"), batch.column("spans"), strict=True):
                 raw = text.as_py().encode("utf-8", "replace")
                 where = [(s["begin"], s["stop"]) for s in found.as_py() or []]
@@ -333,19 +334,19 @@ def cut(texts: DataFrame, windows: Windows) -> DataFrame:
                     parts.append(raw[at:a])
                     at = b
                 parts.append(raw[at:])
-                units.append(n)
                 kept.append(b"".join(parts))
                 n_bytes.append(len(raw))
                 removed.append(len(raw) - len(kept[-1]))
                 spans.append([{"begin": a, "stop": b} for a, b in where])
-            yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("hash"), pa.array(units, pa.int64()), pa.array([None] * len(kept), pa.string()), pa.array(kept, pa.binary()), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, fields)], ["did", "hash", "n_units", "text", "kept", "n_bytes", "n_removed", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("hash"), pa.array(kept, pa.binary()), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, fields)], ["did", "hash", "kept", "n_bytes", "n_removed", "spans"])
 
-    return texts.select("did", "hash", "text", "copies", "spans").mapInArrow(run, CUT).drop("n_units", "text")
+    return texts.select("did", "hash", "text", "copies", "spans").mapInArrow(run, CUT)
 
 
-def without_repeats(docs: DataFrame, windows: Windows = Windows(), id_col: str = "doc_id", text_col: str = "text", digest_only: bool = False) -> DataFrame:  # noqa: B008
-    """doc_id, n_bytes, n_removed, spans (byte offsets) and the kept bytes, or with ``digest_only`` their sha256, of every row."""
-    members, texts = distinct_texts(docs, id_col, text_col)
+def without_repeats(docs: DataFrame, windows: Windows = Windows(), id_col: str = "doc_id", text_col: str = "text", columns: tuple[str, ...] = (), digest_only: bool = False) -> DataFrame:  # noqa: B008
+    """doc_id, the other ``columns`` asked for, n_bytes, n_removed, spans (byte offsets) and the kept bytes, or with
+    ``digest_only`` their sha256, of every row."""
+    members, texts = distinct_texts(docs, id_col, text_col, columns)
     found = covers(texts.where(F.octet_length("text") >= windows.window), windows)
     done = cut(texts.join(found, ["did", "hash"], "left"), windows)
     if digest_only:

@@ -1,4 +1,4 @@
-"""SimHash fingerprints linked through BK-trees.
+"""SimHash fingerprints linked through BK-trees, and near-duplicate texts found with them.
 
 Method: each text's word shingles vote on the bits of a fingerprint. Distinct fingerprints are dealt into shards by the
 values of some of their blocks: of ``blocks`` blocks, two fingerprints that differ in at most blocks - equal bits agree
@@ -61,21 +61,33 @@ def shingles(text: str, size: int) -> list[bytes]:
 
 
 def fingerprint(text: str, size: int, bits: int) -> bytes:
-    """Big-endian; a bit is set if over half of the shingles' hashes have it. Each 64 bits have a seed of their own."""
+    """Big-endian; a bit is set if over half of the shingles' hashes have it. Bits beyond 64 come
+    from the same hashes, mixed again."""
     held = shingles(text, size)
     if not held:
         return bytes(bits // 8)
+    first = np.fromiter(map(_hash, held), np.uint64, len(held))
     out = []
-    for seed in range(SEED, SEED + bits // 64):
-        hashes = np.array([xxh64_intdigest(x, seed) for x in held], "<u8") if seed != SEED else np.fromiter(map(_hash, held), "<u8", len(held))
+    for k in range(bits // 64):
+        hashes = first if k == 0 else _spread(first + np.uint64(k * GOLDEN & 0xFFFFFFFFFFFFFFFF))
         votes = np.zeros(64, np.int64)
-        for k in range(0, len(hashes), 8192):
-            part = hashes[k : k + 8192]
+        for at in range(0, len(hashes), 8192):
+            part = hashes[at : at + 8192].astype("<u8", copy=False)
             votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
         out.append(np.packbits(votes * 2 > len(hashes), bitorder="little").tobytes()[::-1])
     return b"".join(out)
 
 
+#: The increment and multipliers of the public splitmix64 generator.
+GOLDEN = 0x9E3779B97F4A7C15
+
+
+def _spread(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def _hash(shingle: bytes) -> int:
     return xxh64_intdigest(shingle, SEED)
 
@@ -201,3 +213,109 @@ def near_duplicates(docs: DataFrame, links: Links = Links(), id_col: str = "doc_
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = written(joined.join(least, "root").select("fingerprint", "component_id"), "component-ids")
     return rows.join(by_print, "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+#: Links for near-duplicate texts: wide fingerprints of five-word shingles, a radius that reaches well past a similarity of 0.8.
+WIDE = Links(shingle=5, bits=256, radius=56, blocks=20, equal=1)
+#: Texts of one candidate component that are compared in one task.
+COMPARED = 1500
+
+
+def shingle_set(text: str, size: int) -> bytes:
+    """The sorted set of the shingles' 32-bit hashes."""
+    return np.unique(np.array([_hash(x) for x in shingles(text, size)], np.uint64).astype(np.uint32)).tobytes()
+
+
+def similar(sets: list[np.ndarray], left: int, least: float) -> list[tuple[int, int]]:
+    """Links that connect all sets with Jaccard similarity at ``least`` or more: the first ``left`` with all, or, where all
+    are ``left``, among each other. Through an inverted index of the hashes."""
+    sizes = np.array([len(x) for x in sets])
+    tokens = np.concatenate(sets)
+    owners = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(tokens, kind="stable")
+    ranked, held = tokens[order], owners[order]
+    first = np.searchsorted(ranked, tokens, "left")
+    many = np.searchsorted(ranked, tokens, "right") - first
+    ends = np.cumsum(sizes)
+    parent = list(range(len(sets)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out = []
+    for i in range(left):
+        own = slice(ends[i] - sizes[i], ends[i])
+        n, f = many[own], first[own]
+        both = np.bincount(held[np.repeat(f - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(sets)) if len(n) else np.zeros(len(sets), int)
+        hits = np.flatnonzero(both >= least * (sizes + sizes[i] - both) - 1e-9)
+        for j in hits[hits > i].tolist():
+            a, b = root(i), root(j)
+            if a != b:
+                parent[b] = a
+                out.append((i, j))
+    return out
+
+
+def verified_links(texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Links (a, b) that connect texts (root: candidate component, node, text) with shingle similarity at ``least`` or more.
+
+    A component of over ``COMPARED`` texts is dealt in blocks, each block with each other one, so no task holds more than two.
+    """
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [shingle_set(x.as_py() or "", shingle) for x in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("root"), batch.column("node"), batch.column("parts"), pa.array(made, pa.binary())], ["root", "node", "parts", "shingles"])
+
+    sizes = written(texts.groupBy("root").count().select("root", F.ceil(F.col("count") / COMPARED).cast("int").alias("parts")), "component-sizes")
+    held = texts.join(sizes, "root").select("root", "node", "parts", "text").mapInArrow(sets, "root long, node long, parts int, shingles binary")
+    held = held.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = held.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "shingles")
+    dealt = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", F.asc("own"), "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nodes, found, left = None, [], [], 0
+
+        def linked() -> pa.RecordBatch:
+            pairs = similar(found, left, least)
+            return pa.RecordBatch.from_arrays([pa.array([nodes[a] for a, _ in pairs], pa.int64()), pa.array([nodes[b] for _, b in pairs], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for root, i, j, own, node, raw in zip(*(batch.column(c).to_pylist() for c in ("root", "i", "j", "own", "node", "shingles")), strict=True):
+                if key != (root, i, j):
+                    if len(nodes) > 1:
+                        yield linked()
+                    key, nodes, found, left = (root, i, j), [], [], 0
+                nodes.append(node)
+                found.append(np.frombuffer(raw, np.uint32))
+                left += own == i
+        if len(nodes) > 1:
+            yield linked()
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def first_of_each_group(docs: DataFrame, links: Links = WIDE, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs without near-duplicates: of each group of texts that links of similarity ``least`` connect the row
+    with the least id stays. Fingerprints and BK-trees give candidates; shared shingles decide.
+    """
+    keyed = docs.withColumn("__did", F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))).withColumn("__hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    texts = keyed.select(F.col("__did").alias("did"), F.col("__hash").alias("hash"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [fingerprint(x.as_py(), links.shingle, links.bits) for x in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("hash"), batch.column("digest"), pa.array(made, pa.binary())], ["did", "hash", "digest", "fingerprint"])
+
+    rows = texts.select("did", "hash", F.unhex(F.md5("text")).alias("digest"), "text").mapInArrow(prints, "did long, hash long, digest binary, fingerprint binary")
+    classes = written(rows.groupBy("digest").agg(F.min(F.struct("did", "hash")).alias("first"), F.first("fingerprint").alias("fingerprint")).select("first.*", "fingerprint").withColumn("node", F.monotonically_increasing_id()), "text-classes")
+    candidates = components(shard_links(classes, links))
+    near = written(classes.join(candidates, "node").select("did", "hash", "node", "root"), "candidates")
+    # rows that share id and text are equal: one of them speaks for all
+    moved = written(texts.join(near, ["did", "hash"]).dropDuplicates(["node"]).select("root", "node", "text"), "candidate-texts")
+    groups = components(verified_links(moved, links.shingle, least))
+    stay = classes.select("did", "hash", "node").join(groups, "node", "left").groupBy(F.coalesce("root", "node").alias("group")).agg(F.min(F.struct("did", "hash")).alias("first"))
+    stay = stay.select(F.col("first.did").alias("__did"), F.col("first.hash").alias("__hash"))
+    return keyed.join(stay, ["__did", "__hash"]).dropDuplicates(["__did", "__hash"]).select(*[F.col(c) for c in docs.columns])

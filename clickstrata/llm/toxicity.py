@@ -267,3 +267,15 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
     found = scored(docs, fit(docs, labels))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs that score less than 0.5."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher, weights, bias = Matcher(model.insults), np.array(model.weights), model.bias
+        for batch in batches:
+            x = np.array([matcher.features(t.as_py() or "") for t in batch.column(text_col)]).reshape(-1, len(weights))
+            yield batch.filter(pa.array(x @ weights + bias < 0))
+
+    return docs.mapInArrow(run, docs.schema) if model.weights else docs
