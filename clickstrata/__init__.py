@@ -1,0 +1 @@
+"""Clickstream analytics on Spark: layered event tables, sessions, funnels, streaming and publishing."""
