@@ -12,7 +12,7 @@ from clickstrata.operators import checks, marts, sessions
 from clickstrata.operators.dedup import keep_first
 from clickstrata.operators.refine import MARKETPLACE, STOREFRONT, Profile, labelled, rejects, valid_events
 from clickstrata.session import Lake
-from clickstrata.sources.sinks import overwrite_partitions, read
+from clickstrata.sources.sinks import make_folder, overwrite_partitions, read
 
 
 def upserted(existing: DataFrame, arrived: DataFrame) -> DataFrame:
@@ -89,5 +89,6 @@ def check_day(spark: SparkSession, lake: Lake, stage: str, day: dt.date, min_row
 def register(spark: SparkSession, lake: Lake) -> None:
     """Create databases and external tables over the lake's folders and pick up partitions written by path."""
     for table in schemas.TABLES.values():
+        make_folder(spark, lake.table(table.name))
         table.create(spark, lake.table(table.name))
         spark.sql(f"MSCK REPAIR TABLE {table.name}")

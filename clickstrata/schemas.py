@@ -13,6 +13,14 @@ from pyspark.sql import types as T
 MONEY = "decimal(18,2)"
 CORRUPT = "_corrupt_record"
 
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(), "date": T.DateType(), MONEY: T.DecimalType(18, 2)}
+
+
+def struct(columns: str) -> T.StructType:
+    """The struct of ``name type, ...``, without a running Spark."""
+    pairs = (c.rsplit(" ", 1) for c in columns.split(", "))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
+
 
 @dataclass(frozen=True)
 class Table:
@@ -25,7 +33,7 @@ class Table:
 
     @property
     def struct(self) -> T.StructType:
-        return T.StructType.fromDDL(self.columns)
+        return struct(self.columns)
 
     @property
     def fields(self) -> list[str]:
@@ -42,15 +50,15 @@ class Table:
 _ENVELOPE = "raw_payload string, source string, source_ref string, kafka_partition int, kafka_offset bigint, source_ts timestamp, ingest_ts timestamp, ingest_date date"
 _QUARANTINE = "raw_payload string, source_ref string, ingest_ts timestamp, reject_reasons string, ingest_date date"
 
-STOREFRONT_JSON = T.StructType.fromDDL(
+STOREFRONT_JSON = struct(
     "event_id string, event_ts string, user_id string, event_type string, page_url string, product_id string, category string, price double, quantity int, order_id string, order_value double, "
     f"device_type string, os string, browser string, country string, referrer string, utm_source string, utm_campaign string, {CORRUPT} string"
 )
-MARKETPLACE_JSON = T.StructType.fromDDL(
+MARKETPLACE_JSON = struct(
     f"event_id string, event_time string, event_type string, product_id string, category_id string, category_code string, brand string, price double, user_id string, user_session string, {CORRUPT} string"
 )
 #: The columns of a marketplace CSV export, in order.
-MARKETPLACE_CSV = T.StructType.fromDDL("event_time string, event_type string, product_id string, category_id string, category_code string, brand string, price string, user_id string, user_session string")
+MARKETPLACE_CSV = struct("event_time string, event_type string, product_id string, category_id string, category_code string, brand string, price string, user_id string, user_session string")
 
 STOREFRONT_RAW = Table("bronze.clickstream_raw", _ENVELOPE, "ingest_date", "parquet")
 MARKETPLACE_RAW = Table("bronze.marketplace_raw", _ENVELOPE, "ingest_date", "parquet")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -18,18 +19,22 @@ def read(spark: SparkSession, path: str, table: Table) -> DataFrame:
     return spark.createDataFrame([], table.struct)
 
 
+def _store(spark: SparkSession, path: str):
+    """The file system of a path, whatever store it is, and its path class."""
+    to_path = spark._jvm.org.apache.hadoop.fs.Path
+    return to_path(path).getFileSystem(spark._jsc.hadoopConfiguration()), to_path
+
+
 def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(target):
-        fs.delete(target, True)
+    fs, to_path = _store(spark, path)
+    if fs.exists(to_path(path)):
+        fs.delete(to_path(path), True)
 
 
 def make_folder(spark: SparkSession, path: str) -> None:
-    """A folder in whatever store the path names, so that a stream can watch it before the first write."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(target)
+    """A folder, so that a stream can watch it before the first write."""
+    fs, to_path = _store(spark, path)
+    fs.mkdirs(to_path(path))
 
 
 def overwrite_partitions(df: DataFrame, path: str, table: Table, days: list | None = None) -> None:
@@ -46,16 +51,27 @@ def overwrite_partitions(df: DataFrame, path: str, table: Table, days: list | No
 
 
 def append_batch(df: DataFrame, path: str, table: Table, batch_id: int, query: str) -> int:
-    """Write a micro-batch under a name of its own, over what an earlier try of the same batch left: exactly once.
+    """Append a micro-batch exactly once: its files carry the query and batch, and a new try first removes those of an
+    earlier one. Files are staged and then renamed, so readers never see half of one.
 
     Returns the number of rows; an empty batch writes nothing. Rows are kept while they are counted and written.
     """
+    spark, mark = df.sparkSession, f"b-{query}-{batch_id:012d}"
     rows = df.select(*table.fields).persist()
     try:
         n = rows.count()
+        fs, to_path = _store(spark, path)
+        for old in fs.globStatus(to_path(f"{path}/{table.partition}=*/{mark}-*")) or []:
+            fs.delete(old.getPath(), False)
         if n:
-            # each partition folder holds one folder for each batch, which a new try replaces
-            rows.withColumn("__batch", F.lit(f"{query}-{batch_id:012d}")).write.mode("overwrite").format(table.format).option("partitionOverwriteMode", "dynamic").partitionBy(table.partition, "__batch").save(path)
+            staged = f"{path}/_staging/{mark}-{uuid.uuid4().hex}"
+            rows.write.format(table.format).partitionBy(table.partition).save(staged)
+            for file in fs.globStatus(to_path(f"{staged}/{table.partition}=*/part-*")):
+                folder = f"{path}/{file.getPath().getParent().getName()}"
+                fs.mkdirs(to_path(folder))
+                if not fs.rename(file.getPath(), to_path(f"{folder}/{mark}-{file.getPath().getName()}")):
+                    raise OSError(f"{file.getPath()} could not be moved")
+            fs.delete(to_path(staged), True)
         return n
     finally:
         rows.unpersist()

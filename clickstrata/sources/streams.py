@@ -86,6 +86,13 @@ def bronze_stream(spark: SparkSession, path: str, table: schemas.Table, max_file
 
 
 def csv_events(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Well-formed rows of a marketplace CSV export and the lines whose columns do not fit."""
-    rows = spark.read.csv(path, schema=CSV_WITH_CORRUPT, header=True, enforceSchema=False, mode="PERMISSIVE", columnNameOfCorruptRecord=schemas.CORRUPT)
-    return rows.where(F.col(schemas.CORRUPT).isNull()).drop(schemas.CORRUPT), rows.where(F.col(schemas.CORRUPT).isNotNull()).select(schemas.CORRUPT)
+    """Well-formed rows of a marketplace CSV export and the lines whose columns do not fit; the header must be the known one."""
+    header = ",".join(schemas.MARKETPLACE_CSV.fieldNames())
+    lines = spark.read.text(path)
+    first = lines.first()
+    if first is None or first[0].strip() != header:
+        raise ValueError(f"{path}: the header is not {header}")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": schemas.CORRUPT}
+    rows = lines.where(F.trim("value") != header).select("value", F.from_csv("value", CSV_WITH_CORRUPT.simpleString()[7:-1].replace(":", " "), options).alias("r"))
+    good = F.col(f"r.{schemas.CORRUPT}").isNull()
+    return rows.where(good).select("r.*").drop(schemas.CORRUPT), rows.where(~good).select(F.col("value").alias(schemas.CORRUPT))
