@@ -105,7 +105,7 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     order = neighbours(keys, [F.desc("did"), F.desc("hash")], True, "next", "key")
     givers = written(order.select(F.col("next.did").alias("did"), F.col("next.hash").alias("hash"), F.col("did").alias("to_did"), F.col("hash").alias("to_hash"), F.floor(F.col("n") / 2).cast("int").alias("half")), "givers")
     moved = texts.select("doc_id", "did", "hash", "text")
-    given = moved.join(givers, ["did", "hash"]).select(F.col("to_did").alias("did"), F.col("to_hash").alias("hash"), F.expr("left(text, half)").alias("given"), signatures(F.col("text")).alias("s_next"))
+    given = moved.join(givers, ["did", "hash"]).dropDuplicates(["did", "hash"]).select(F.col("to_did").alias("did"), F.col("to_hash").alias("hash"), F.expr("left(text, half)").alias("given"), signatures(F.col("text")).alias("s_next"))
     both = moved.join(given, ["did", "hash"])
     n = F.length("text")
     edited = F.concat(F.expr("left(text, length(text) - int(floor(length(text) / 2)))"), F.col("given"))

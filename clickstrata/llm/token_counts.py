@@ -69,7 +69,8 @@ def token_counts(docs: DataFrame, vocabulary: str, cache: str | None = None, id_
     keys = [F.coalesce("doc_id", F.lit(-1)).alias("key"), F.xxhash64("text").alias("hash")]
     rows = written(texts.select("doc_id", *keys, F.octet_length("text").cast("long").alias("n_bytes"), digest(F.col("text"), vocabulary).alias("digest")), "digests")
     chosen = rows.groupBy("digest").agg(F.min("key").alias("key"), F.min_by("hash", "key").alias("hash")).join(stored(spark, cache), "digest", "left_anti")
-    counted(texts.select("text", *keys).join(chosen, ["key", "hash"]), vocabulary).write.mode("append").parquet(cache)
+    misses = texts.select("text", *keys).join(chosen, ["key", "hash"]).dropDuplicates(["key", "hash"])
+    counted(misses, vocabulary).write.mode("append").parquet(cache)
     # other writers may have appended the same digest; written apart, so that Spark can split a hot digest in the join
     counts = written(stored(spark, cache).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     return rows.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")
