@@ -30,8 +30,8 @@ from xxhash import xxh64_intdigest
 
 from clickstrata.llm.common import BLANKS, table_path, written
 
-#: Stretches of one anchor that a task holds at once, and stretches that are worked on together.
-GROUP, BLOCK = 2000, 4000
+#: Stretches of one anchor that a task holds at once (of some 700 bytes each), and stretches that are worked on together.
+GROUP, BLOCK = 16_384, 2000
 WORD = re.compile(f"[^{BLANKS}]+".encode())
 #: Odd multipliers of the digests (from the golden ratio and its square root).
 ONE, TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -212,17 +212,20 @@ def ordered(dealt: DataFrame, windows: Windows) -> DataFrame:
 
     def work(rows: list[tuple]) -> pa.RecordBatch:
         out: list[tuple] = []
-        w = windows.window
-        raw = b"".join(r[7] for r in rows)
-        codes = BYTE_CODES[np.frombuffer(raw, np.uint8)] if windows.units == "bytes" else np.frombuffer(raw, np.uint64)
-        sizes = np.array([len(r[7]) for r in rows]) // (1 if windows.units == "bytes" else 8)
-        (whole,) = digests(codes, w)
-        number = sizes - w + 1
-        base = np.cumsum(sizes) - sizes
+        w, scale = windows.window, 1 if windows.units == "bytes" else 8
+        number = np.array([len(r[7]) // scale for r in rows]) - w + 1
         owner = np.repeat(np.arange(len(rows)), number)
         offset = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
-        group = np.array([r[0] for r in rows], np.int64).view(np.uint64) * TWO + np.array([r[1] for r in rows], np.uint64)
-        plain = _joined(whole[base[owner] + offset], np.array([r[0] for r in rows], np.int64).view(np.uint64)[owner])
+        anchor = np.array([r[0] for r in rows], np.int64).view(np.uint64)
+        parts = []
+        for at in range(0, len(rows), BLOCK):  # digests of a large group take far more room than its windows
+            held = b"".join(r[7] for r in rows[at : at + BLOCK])
+            (whole,) = digests(BYTE_CODES[np.frombuffer(held, np.uint8)] if scale == 1 else np.frombuffer(held, np.uint64), w)
+            sizes = number[at : at + BLOCK] + w - 1
+            here = (owner >= at) & (owner < at + BLOCK) if len(rows) > BLOCK else slice(None)
+            parts.append(whole[(np.cumsum(sizes) - sizes)[owner[here] - at] + offset[here]])
+        plain = _joined(np.concatenate(parts), anchor[owner])
+        group = anchor * TWO + np.array([r[1] for r in rows], np.uint64)
         key = _joined(plain, group[owner])
         _, inverse = np.unique(key, return_inverse=True)
         again = np.bincount(inverse, weights=np.array([r[6] for r in rows])[owner])[inverse] > 1
