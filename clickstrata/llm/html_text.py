@@ -39,7 +39,11 @@ OUTSIDE = {"aside", "button", "canvas", "datalist", "dialog", "footer", "form",
 SELF_ENDING = {"p", "li", "dd", "dt", "tr", "td", "th", "option"}
 #: Words in class, id or role that mark page furniture and reader comments.
 FURNITURE = re.compile(r"(?:^|[\s_-])(?:ads?|advert(?:isement|s|ising)?|banner|breadcrumbs?|comments?|complementary|contentinfo|cookies?|consent|disqus|footer|masthead|menu|modal|nav(?:bar|igation)?|newsletter|notice|pagination|popup|promo|related|replies|reply|respond|share|sharing|sidebar|social|sponsor(?:ed)?|subscribe|toolbar|widget)(?:$|[\s_-])", re.IGNORECASE)
+#: Site headers; inside the main part a header is the article's own.
+HEADER = re.compile(r"(?:^|[\s_-])(?:site|page|top|global)?[_-]?header(?:$|[\s_-])", re.IGNORECASE)
+#: Elements, and words in class, id, role or itemprop, that mark the main part.
 MAIN = {"article", "main"}
+MAIN_PART = re.compile(r"(?:^|\s)(?:main|(?:main|page)[_-]?content|content|article|post|story|(?:article|post|entry|story)[_-]?(?:body|content|text)|articleBody)(?:$|\s)", re.IGNORECASE)
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|[^<]+|<""", re.DOTALL)
 NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|style|itemprop|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 BLANK = re.compile(r"\s+")
@@ -58,11 +62,17 @@ def _left_out(name: str, attrs: str, inside: bool) -> bool:
             return True
         if key == "style" and re.search(r"display\s*:\s*none", value, re.IGNORECASE):
             return True
-        if key in ("class", "id", "role") and name not in ("html", "body", "main") and FURNITURE.search(value):
+        if key in ("class", "id", "role") and name not in ("html", "body", "main") and (FURNITURE.search(value) or not inside and HEADER.search(value)):
             return True
     return False
 
 
+def _is_main(name: str, attrs: str) -> bool:
+    if name in MAIN:
+        return True
+    return name in ("div", "section", "td") and "=" in attrs and any(key.lower() in ("class", "id", "role", "itemprop") and MAIN_PART.search(value.strip("\"'")) for key, value in NAMED.findall(attrs))
+
+
 def blocks(html: str) -> list[tuple[str, bool]]:
     """The page's text blocks in order, and whether each lies in an article or main element."""
     out: list[tuple[str, bool]] = []
@@ -125,7 +135,7 @@ def blocks(html: str) -> list[tuple[str, bool]]:
         if m[3].endswith("/") and name in OUTSIDE:
             continue
         is_out = not skip and _left_out(name, m[3], main > 0)
-        is_main = name in MAIN or "articleBody" in m[3]
+        is_main = _is_main(name, m[3])
         stack.append((name, is_out, is_main))
         skip += is_out
         main += is_main

@@ -23,6 +23,8 @@ from .helpers import SCHEMA, corpus, frame, sorted_rows
         ("<article>&lt;b&gt; 5 < 6 &#233;&eacute;&nbsp;z</article>", "<b> 5 < 6 éé z"),
         ("<article><p>one<p>two<ul><li>three<li>four</ul></article>", "one\n\ntwo\n\nthree\n\nfour"),
         ("<article><p>open <b>never closed", "open never closed"),
+        ("<div class='site-header'>logo</div><div id='content'><div class='post-header'>title</div><p>x</p></div><div>after</div>", "title\n\nx"),
+        ("<div class=\"post-body\">x</div><article class='comment'>reader</article><div class='cookie-notice'>we</div>", "x"),
     ],
 )
 def test_blocks(html, text):

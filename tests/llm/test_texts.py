@@ -29,9 +29,13 @@ def test_quality_base(spark):
     assert quality.quality(frame(spark, [])).count() == 0
 
 
-def test_quality_rejects_outliers_only(spark):
+@pytest.mark.parametrize("broadcast", [20_000, 0])
+def test_quality_rejects_outliers_only(spark, monkeypatch, broadcast):
     import random
 
+    monkeypatch.setattr(quality, "BROADCAST_GROUPS", broadcast)
+    monkeypatch.setattr(quality, "SALTS", 3)
+
     rng = random.Random(3)
     clean = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "epsilon", "zeta"]) + str(rng.randint(0, 99)) for _ in range(60)), "en", f"s{i % 2}", 1) for i in range(400)]
     junk = [(1000 + i, " ".join("&&&word###" + str(rng.randint(0, 999)) for _ in range(60)), "en", "s0", 1) for i in range(60)]
