@@ -34,6 +34,8 @@ ANCHORS = tuple(
     )
 )
 CHAIN = 2
+#: Stands for a null id.
+NO_ID = -(1 << 63)
 
 
 def words(text: Column) -> Column:
@@ -100,14 +102,14 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     The edited text has its last half replaced by as much from the beginning of the next text by descending id. Each
     text moves once by its own key; half of the next text and its signatures move once to the text before.
     """
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("did"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("did"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
     keys = texts.select("did", "hash", F.length("text").cast("long").alias("n")).distinct().withColumn("key", F.struct("did", "hash"))
     order = neighbours(keys, [F.desc("did"), F.desc("hash")], True, "next", "key")
     givers = written(order.select(F.col("next.did").alias("did"), F.col("next.hash").alias("hash"), F.col("did").alias("to_did"), F.col("hash").alias("to_hash"), F.floor(F.col("n") / 2).cast("int").alias("half")), "givers")
-    moved = texts.select("doc_id", "did", "hash", "text")
-    given = moved.join(givers, ["did", "hash"]).dropDuplicates(["did", "hash"]).select(F.col("to_did").alias("did"), F.col("to_hash").alias("hash"), F.expr("left(text, half)").alias("given"), signatures(F.col("text")).alias("s_next"))
+    moved = texts.select("did", "hash", "text")  # both joins ask for the same columns, so the texts' exchange is used twice
+    given = moved.join(givers.hint("merge"), ["did", "hash"]).dropDuplicates(["did", "hash"]).select(F.col("to_did").alias("did"), F.col("to_hash").alias("hash"), F.expr("left(text, half)").alias("given"), signatures(F.col("text")).alias("s_next"))
     both = moved.join(given, ["did", "hash"])
     n = F.length("text")
     edited = F.concat(F.expr("left(text, length(text) - int(floor(length(text) / 2)))"), F.col("given"))
-    held = both.select("doc_id", n.cast("long").alias("n_chars"), let(edited, lambda e: F.struct(F.sha2(e, 256).alias("sha"), signatures(e).alias("s"))).alias("e"), signatures(F.col("text")).alias("s"), "s_next")
+    held = both.select(F.nullif("did", F.lit(NO_ID)).alias("doc_id"), n.cast("long").alias("n_chars"), let(edited, lambda e: F.struct(F.sha2(e, 256).alias("sha"), signatures(e).alias("s"))).alias("e"), signatures(F.col("text")).alias("s"), "s_next")
     return held.select("doc_id", "n_chars", F.col("e.sha").alias("edited_sha256"), fingerprint(F.col("s")).alias("fingerprint"), fingerprint(F.col("e.s")).alias("edited_fingerprint"), likeness(F.col("s"), F.col("e.s")).alias("near_edited"), likeness(F.col("s"), F.col("s_next")).alias("near_next"))
