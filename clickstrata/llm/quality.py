@@ -24,6 +24,8 @@ SYMBOLS = "[#*$%&|<>]"
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 #: Share of rows that shape the estimate, rows below which a group has no estimate of its own, steps, accepted probability.
 COVERAGE, LEAST_ROWS, STEPS, ACCEPTED = 0.6, 100, 4, 0.9999
+#: Groups whose estimates (some 300 bytes each) are broadcast, and salts of the keys beyond that.
+BROADCAST_GROUPS, SALTS = 20_000, 64
 #: The vector, and the standard deviation that is added to each part: shares are zero in most texts, where a
 #: covariance would have no inverse and a single repeated line would be infinitely far.
 FLOORS = {"word_length": 0.08, "symbols": 0.04, "dup_lines": 0.2, "repeats": 0.2, "stutter": 0.06, "capitals": 0.05}
@@ -138,30 +140,41 @@ def _distance() -> Column:
     return sum((sum((F.col(f"i_{a}_{b}") * (F.col(b) - F.col(f"m_{b}")) for b in VECTOR[: i + 1]), F.lit(0.0)) ** 2 for i, a in enumerate(VECTOR)), F.lit(0.0))
 
 
+def _joined(rows: DataFrame, groups: DataFrame, n_groups: int, how: str = "inner") -> DataFrame:
+    """rows with their group's columns: the groups are broadcast while they are few, else dealt to salted keys, so that a
+    group of a third of all rows is no task's alone."""
+    keys = ["g_lang", "g_source"]
+    if n_groups <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(groups), keys, how)
+    salted = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).join(salted, [*keys, "__salt"], how).drop("__salt")
+
+
 def judged(stats: DataFrame) -> DataFrame:
     """stats with ``distance`` (squared Mahalanobis, null where no estimate exists) and ``kept``."""
     keys = ["g_lang", "g_source"]
     counts = stats.where(~F.col("base_failed")).groupBy(*keys).agg(F.count("*").alias("__n"))
     large = written(counts.where(F.col("__n") >= LEAST_ROWS).select(*keys, F.lit(True).alias("__own")), "groups")
-    own = stats.join(large, keys, "left").withColumns({k: F.when(F.col("__own"), F.col(k)).otherwise("*") for k in keys}).drop("__own")
+    n_groups = large.count() + 1
+    own = _joined(stats, large, n_groups, "left").withColumns({k: F.when(F.col("__own"), F.col(k)).otherwise("*") for k in keys}).drop("__own")
     table = written(own, "vectors")
     sound = table.where(~F.col("base_failed"))
     # the group "*" stands for all rows
     sample = sound.select(*keys, *VECTOR).where("g_lang <> '*'").unionByName(sound.select(F.lit("*").alias("g_lang"), F.lit("*").alias("g_source"), *VECTOR))
-    middle = sample.groupBy(*keys).agg(*[F.percentile_approx(x, 0.5, 1000).alias(f"m_{x}") for x in VECTOR])
-    spread = sample.join(middle, keys).groupBy(*keys).agg(*[F.first(f"m_{x}").alias(f"m_{x}") for x in VECTOR], *[F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{x}")), 0.5, 1000).alias(f"d_{x}") for x in VECTOR])
+    middle = written(sample.groupBy(*keys).agg(*[F.percentile_approx(x, 0.5, 1000).alias(f"m_{x}") for x in VECTOR]), "medians")
+    spread = _joined(sample, middle, n_groups).groupBy(*keys).agg(*[F.first(f"m_{x}").alias(f"m_{x}") for x in VECTOR], *[F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{x}")), 0.5, 1000).alias(f"d_{x}") for x in VECTOR])
     diagonal = {f"c_{a}_{b}": (F.col(f"d_{a}") * 1.4826) ** 2 + FLOORS[a] ** 2 if a == b else F.lit(0.0) for i, a in enumerate(VECTOR) for b in VECTOR[: i + 1]}
     estimate = written(_whitening(spread.withColumns(diagonal)), "estimate")
     p = len(VECTOR)
     consistent = COVERAGE / chi_square(chi_square_quantile(COVERAGE, p), p + 2)
     for _ in range(STEPS):
-        far = sample.join(estimate, keys).select(*keys, *VECTOR, _distance().alias("distance"))
-        edge = far.groupBy(*keys).agg(F.percentile_approx("distance", COVERAGE, 1000).alias("edge"))
-        core = far.join(edge, keys).where("distance <= edge")
+        far = _joined(sample, estimate, n_groups).select(*keys, *VECTOR, _distance().alias("distance"))
+        edge = written(far.groupBy(*keys).agg(F.percentile_approx("distance", COVERAGE, 1000).alias("edge")), "edges-of-cores")
+        core = _joined(far, edge, n_groups).where("distance <= edge")
         moments = core.groupBy(*keys).agg(*[F.avg(x).alias(f"m_{x}") for x in VECTOR], *[(F.covar_pop(a, b) * consistent + F.lit(FLOORS[a] ** 2 if a == b else 0.0)).alias(f"c_{a}_{b}") for i, a in enumerate(VECTOR) for b in VECTOR[: i + 1]])
         estimate = written(_whitening(moments), "estimate")
     cut = chi_square_quantile(ACCEPTED, p)
-    return table.join(estimate, keys, "left").withColumn("distance", _distance()).withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cut))
+    return _joined(table, estimate, n_groups, "left").withColumn("distance", _distance()).withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cut))
 
 
 def quality(docs: DataFrame, **columns: str) -> DataFrame:
