@@ -11,6 +11,7 @@ import re
 
 import numpy as np
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
 #: Latin-1 and Latin Extended-A without the dotted capital I, dashes, quotes and the euro sign. In these
 #: ranges lower-casing is character by character and normalisation changes nothing.
@@ -19,7 +20,7 @@ LETTER, DIGIT, SPACE = "a-zªµºß-öø-ſ", "0-9²³¹¼½¾", "\\t-\\r \\x85\
 #: Fixed value: the tokenizer's own split pattern, over the plain ranges.
 PIECE = re.compile(f"[{LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d|[{DIGIT}]|[^{SPACE}{LETTER}{DIGIT}]+")
 #: Words kept per worker, and the longest that are.
-KEEP, KEEP_CHARS = 400_000, 48
+KEEP, KEEP_CHARS = 800_000, 48
 
 
 class WordTokens:
@@ -27,6 +28,12 @@ class WordTokens:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        # words that are cut out already need neither normalising nor the split pattern
+        self.plain = Tokenizer.from_file(path)
+        self.plain.no_truncation()
+        self.plain.no_padding()
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.ends = np.zeros(self.library.get_vocab_size(), bool)
         self.ends[[i for t, i in self.library.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]] = True
@@ -37,7 +44,7 @@ class WordTokens:
 
     def new(self, words: list[str]) -> dict[str, bytes]:
         """Ids of distinct pre-tokens: encoded as one text, cut where a token ends its word."""
-        joined = self.whole(" ".join(words))
+        joined = np.array(self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4").tobytes()
         cuts = ((np.flatnonzero(self.ends[np.frombuffer(joined, "<u4")]) + 1) * 4).tolist()
         if len(cuts) != len(words):
             raise ValueError("the vocabulary does not end each word with an end-of-word token")
@@ -49,10 +56,15 @@ class WordTokens:
             return self.whole(text)
         words = PIECE.findall(text.lower())
         known = self.known
-        parts = list(map(known.get, words))
+        parts: list = list(map(known.get, words))
         if None in parts:
-            made = self.new(list({w for w, p in zip(words, parts, strict=True) if p is None}))
-            parts = [made[w] if p is None else p for w, p in zip(words, parts, strict=True)]
+            gaps, at = [], -1
+            for _ in range(parts.count(None)):
+                at = parts.index(None, at + 1)
+                gaps.append(at)
+            made = self.new(list(dict.fromkeys([words[i] for i in gaps])))
+            for i in gaps:
+                parts[i] = made[words[i]]
             if len(known) + len(made) > KEEP:
                 known.clear()
             known.update((w, p) for w, p in made.items() if len(w) <= KEEP_CHARS)
