@@ -30,7 +30,7 @@ LETTER, DIGIT, BLANK = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼½¾", "\\t-\\
 PLAIN = re.compile(f" ?[{LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{DIGIT}]+| ?[^{BLANK}{LETTER}{DIGIT}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
 UNUSUAL = re.compile("[^\\x00-\\u017f\\u2010-\\u2027\\u20ac]")
 #: Words kept per worker, the longest that are, and the longest that are merged by scanning.
-KEEP, KEEP_CHARS, LONG = 400_000, 48, 128
+KEEP, KEEP_CHARS, LONG = 800_000, 48, 128
 NONE = 1 << 60
 
 
@@ -107,10 +107,15 @@ class ByteBPE:
     def _plain(self, text: str) -> bytes:
         words = (ANY if UNUSUAL.search(text) else PLAIN).findall(text)
         known = self.known
-        parts = list(map(known.get, words))
+        parts: list = list(map(known.get, words))
         if None in parts:
-            made = {w: array("I", self.merge(w.encode())).tobytes() for w in {w for w, p in zip(words, parts, strict=True) if p is None}}
-            parts = [made[w] if p is None else p for w, p in zip(words, parts, strict=True)]
+            gaps, at = [], -1
+            for _ in range(parts.count(None)):
+                at = parts.index(None, at + 1)
+                gaps.append(at)
+            made = {w: array("I", self.merge(w.encode())).tobytes() for w in {words[i] for i in gaps}}
+            for i in gaps:
+                parts[i] = made[words[i]]
             if len(known) + len(made) > KEEP:
                 known.clear()
             known.update((w, p) for w, p in made.items() if len(w) <= KEEP_CHARS)
