@@ -25,8 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def table_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path below the application's own part of the shared folder, which can go when the application has ended."""
+    return f"{shared_dir(spark)}/clickstrata-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
