@@ -176,3 +176,26 @@ def test_cli_has_every_job():
         assert cli.parser().parse_args([job, *args]).job == job
     a = cli.parser().parse_args(["generate"])
     assert (a.days, a.events_per_day, a.users, a.late_rate, a.seed) == (7, 200_000, 50_000, 0.02, 42)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_days_and_columns_are_pruned_at_the_scan(spark, tmp_path):
+    from clickstrata.operators import marts, sessions
+
+    lake = Lake(str(tmp_path))
+    _gold(spark, lake)
+    events = sinks.read(spark, lake.table(MARKETPLACE.events.name), MARKETPLACE.events)
+    plan = _plan(marts.category_daily(sessions.event_window(events, DAY, DAY)))
+    assert "PartitionFilters: [isnotnull(event_date" in plan
+    assert "ReadSchema: struct<event_type:string,category_l1:string,price:decimal(18,2),user_id:string>" in plan
+    assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_marts_aggregate_before_they_shuffle(spark, tmp_path):
+    from clickstrata.operators import marts
+
+    plan = _plan(marts.live_minute(spark.createDataFrame([], MARKETPLACE.events.struct)))
+    assert plan.count("Exchange") == 1 and "partial_count" in plan
