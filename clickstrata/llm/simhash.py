@@ -216,7 +216,7 @@ def near_duplicates(docs: DataFrame, links: Links = Links(), id_col: str = "doc_
 
 
 #: Links for near-duplicate texts: wide fingerprints of five-word shingles, a radius that reaches well past a similarity of 0.8.
-WIDE = Links(shingle=5, bits=256, radius=56, blocks=20, equal=1)
+WIDE = Links(shingle=5, bits=384, radius=84, blocks=30, equal=1)
 #: Texts of one candidate component that are compared in one task.
 COMPARED = 1500
 
