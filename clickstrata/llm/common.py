@@ -37,6 +37,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, size: int = 16 << 20) -> None:
+    """Bound the bytes of a batch that goes to a Python worker, for the session: rows alone do not bound long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value evaluated once per row, however often the body names it."""
     return F.transform(F.array(value), lambda x: body(x))[0]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickstrata.llm.common import neighbours, written
+from clickstrata.llm.common import neighbours, small_batches, written
 
 #: Fixed values, from HTML: elements whose content is raw, elements that hold no content, elements that are blocks.
 RAW = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes", "iframe", "noscript"}
@@ -223,6 +223,7 @@ def nearest(pages: DataFrame) -> DataFrame:
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every page."""
+    small_batches(pages.sparkSession)
     table = parsed(pages, id_col, url_col, html_col)
     marked = table.where("marked").select("page_id", "url", "text", "n_chars")
     pairs = nearest(table.select("row", "url"))
