@@ -37,7 +37,7 @@ class Links:
     """How fingerprints are compared: words in a shingle, bits, radius, blocks and how many of them a shard's key takes.
 
     Every link is found if radius <= blocks - equal; else two fingerprints meet with the probability that ``equal``
-    blocks agree.
+    blocks agree. If ``once``, a shingle votes once however often the text repeats it.
     """
 
     shingle: int = 3
@@ -45,6 +45,7 @@ class Links:
     radius: int = 2
     blocks: int = 4
     equal: int = 2
+    once: bool = False
 
     def cuts(self) -> list[tuple[int, int]]:
         """Shift and mask of each block."""
@@ -60,10 +61,12 @@ def shingles(text: str, size: int) -> list[bytes]:
     return list(map(b" ".join, zip(*(words[k:] for k in range(size)), strict=False)))
 
 
-def fingerprint(text: str, size: int, bits: int) -> bytes:
+def fingerprint(text: str, size: int, bits: int, once: bool = False) -> bytes:
     """Big-endian; a bit is set if over half of the shingles' hashes have it. Bits beyond 64 come
     from the same hashes, mixed again."""
     held = shingles(text, size)
+    if once:
+        held = list(set(held))
     if not held:
         return bytes(bits // 8)
     first = np.fromiter(map(_hash, held), np.uint64, len(held))
@@ -97,7 +100,7 @@ def fingerprints(docs: DataFrame, links: Links, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [fingerprint(x.as_py() or "", links.shingle, links.bits) for x in batch.column(1)]
+            made = [fingerprint(x.as_py() or "", links.shingle, links.bits, links.once) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["doc_id", "fingerprint"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fingerprint binary")
@@ -216,9 +219,11 @@ def near_duplicates(docs: DataFrame, links: Links = Links(), id_col: str = "doc_
 
 
 #: Links for near-duplicate texts: wide fingerprints of five-word shingles, a radius that reaches well past a similarity of 0.8.
-WIDE = Links(shingle=5, bits=384, radius=84, blocks=30, equal=1)
+WIDE = Links(shingle=5, bits=384, radius=84, blocks=30, equal=1, once=True)
 #: Texts of one candidate component that are compared in one task.
 COMPARED = 1500
+#: Shingles that are counted together, and the least number of parts they are dealt to.
+COUNTED, LEAST_PARTS = 2_000_000, 64
 
 
 def shingle_set(text: str, size: int) -> bytes:
@@ -226,6 +231,109 @@ def shingle_set(text: str, size: int) -> bytes:
     return np.unique(np.array([_hash(x) for x in shingles(text, size)], np.uint64).astype(np.uint32)).tobytes()
 
 
+def _packed(key: np.ndarray, parts: int, *columns: np.ndarray) -> Iterator[tuple]:
+    """Key and the columns' bytes, for each key from 0 to parts - 1 that has rows."""
+    order = np.argsort(key, kind="stable")
+    edges = np.searchsorted(key[order], np.arange(parts + 1))
+    held = [c[order] for c in columns]
+    for k in np.flatnonzero(np.diff(edges)).tolist():
+        yield k, *[c[edges[k] : edges[k + 1]].tobytes() for c in held]
+
+
+def _groups(batches: Iterator[pa.RecordBatch], key: str, columns: dict[str, type], fixed: str | None = None) -> Iterator[tuple]:
+    """Key and the joined columns of each run of rows that share the key; with ``fixed``, also that column, repeated."""
+    last, held = None, []
+
+    def joined() -> tuple:
+        made = [np.concatenate([np.frombuffer(row[c], t) for row in held]) for c, t in columns.items()]
+        if fixed:
+            first = next(iter(columns))
+            width = np.dtype(columns[first]).itemsize
+            made.append(np.repeat([row[fixed] for row in held], [len(row[first]) // width for row in held]))
+        return last, *made
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and row[key] != last:
+                yield joined()
+                held = []
+            last = row[key]
+            held.append(row)
+    if held:
+        yield joined()
+
+
+def rare_links(texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Links (a, b) that connect all texts (node, text) whose shingle sets can have Jaccard similarity ``least`` or more.
+
+    Prefix filter: two such sets share one of the n - ceil(least n) + 1 shingles of each that come first in any order
+    over all shingles. In the order taken, by the number of texts, those that only one text has come first, and link
+    nothing; so only texts mostly made of what others hold too have any. Holders of one shingle are linked to the least.
+    Shingles are packed by parts of the hash range, and counts by parts of the nodes, each of bounded mean size.
+    """
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = max(LEAST_PARTS, 1 << int(chars // 6 // COUNTED).bit_length())
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+            sizes = np.array([len(x) for x in sets], np.uint32)
+            hashes = np.concatenate(sets)
+            rows = list(_packed(((hashes >> np.uint64(32)) % np.uint64(parts)).astype(np.int32), parts, hashes.astype(np.uint32), np.repeat(np.array(nodes, np.int64), sizes), np.repeat(sizes, sizes)))
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["part", "shingles", "nodes", "sizes"])
+
+        seen, nodes, sets, many = set(), [], [], 0
+        for batch in batches:
+            for node, text in zip(batch.column("node").to_pylist(), batch.column("text"), strict=True):
+                if node in seen:
+                    continue
+                seen.add(node)
+                own = np.unique(np.fromiter(map(_hash, shingles(text.as_py(), shingle)), np.uint64))
+                if len(own):
+                    nodes.append(node)
+                    sets.append(own)
+                    many += len(own)
+                if many >= COUNTED // 2:
+                    yield made(nodes, sets)
+                    seen, nodes, sets, many = set(), [], [], 0
+        if sets:
+            yield made(nodes, sets)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, found, nodes, sizes in _groups(batches, "part", {"shingles": np.uint32, "nodes": np.int64, "sizes": np.uint32}):
+            order = np.lexsort((nodes, found))
+            found, nodes, sizes = found[order], nodes[order], sizes[order]
+            new = np.r_[True, (found[1:] != found[:-1]) | (nodes[1:] != nodes[:-1])]
+            found, nodes, sizes = found[new], nodes[new], sizes[new]
+            starts = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
+            holders = np.diff(np.r_[starts, len(found)])
+            holders = np.repeat(holders, holders)
+            more = holders > 1
+            if not more.any():
+                continue
+            found, nodes, sizes, holders = found[more], nodes[more], sizes[more], np.minimum(holders[more], 65535).astype(np.uint16)
+            order = np.argsort(nodes, kind="stable")
+            rows = list(_packed((nodes % parts)[order], parts, found[order], nodes[order], sizes[order], holders[order]))
+            columns = [pa.array([r[0] for r in rows], pa.int32()), pa.array([part] * len(rows), pa.int32()), *[pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 5)]]
+            yield pa.RecordBatch.from_arrays(columns, ["own", "part", "shingles", "nodes", "sizes", "holders"])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, found, nodes, sizes, holders, part in _groups(batches, "own", {"shingles": np.uint32, "nodes": np.int64, "sizes": np.uint32, "holders": np.uint16}, "part"):
+            order = np.lexsort((found, part, holders, nodes))
+            found, nodes, sizes, part = found[order], nodes[order], sizes[order].astype(np.int64), part[order].astype(np.int64)
+            starts = np.flatnonzero(np.r_[True, nodes[1:] != nodes[:-1]])
+            shared = np.diff(np.r_[starts, len(nodes)])
+            rank = np.arange(len(nodes)) - np.repeat(starts, shared)
+            prefix = sizes - np.ceil(least * sizes - 1e-9).astype(np.int64) + 1
+            kept = rank < prefix - (sizes - np.repeat(shared, shared))
+            yield pa.RecordBatch.from_arrays([pa.array(part[kept] << 32 | found[kept].astype(np.int64)), pa.array(nodes[kept])], ["shingle", "node"])
+
+    dealt = texts.select("node", "text").mapInArrow(deal, "part int, shingles binary, nodes binary, sizes binary").repartition("part").sortWithinPartitions("part")
+    counted = dealt.mapInArrow(count, "own int, part int, shingles binary, nodes binary, sizes binary, holders binary").repartition("own").sortWithinPartitions("own")
+    held = written(counted.mapInArrow(first, "shingle long, node long"), "rare-shingles")
+    least_node = held.groupBy("shingle").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return held.join(least_node, "shingle").where("node <> a").select("a", F.col("node").alias("b"))
+
+
 def similar(sets: list[np.ndarray], left: int, least: float) -> list[tuple[int, int]]:
     """Links that connect all sets with Jaccard similarity at ``least`` or more: the first ``left`` with all, or, where all
     are ``left``, among each other. Through an inverted index of the hashes."""
@@ -299,19 +407,21 @@ def verified_links(texts: DataFrame, shingle: int, least: float) -> DataFrame:
 
 def first_of_each_group(docs: DataFrame, links: Links = WIDE, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without near-duplicates: of each group of texts that links of similarity ``least`` connect the row
-    with the least id stays. Fingerprints and BK-trees give candidates; shared shingles decide.
+    with the least id stays. Fingerprints with BK-trees and rare shared shingles give candidates, the latter every pair
+    that can be so similar; shared shingles decide.
     """
     keyed = docs.withColumn("__did", F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))).withColumn("__hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     texts = keyed.select(F.col("__did").alias("did"), F.col("__hash").alias("hash"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [fingerprint(x.as_py(), links.shingle, links.bits) for x in batch.column("text")]
+            made = [fingerprint(x.as_py(), links.shingle, links.bits, links.once) for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("hash"), batch.column("digest"), pa.array(made, pa.binary())], ["did", "hash", "digest", "fingerprint"])
 
     rows = texts.select("did", "hash", F.unhex(F.md5("text")).alias("digest"), "text").mapInArrow(prints, "did long, hash long, digest binary, fingerprint binary")
-    classes = written(rows.groupBy("digest").agg(F.min(F.struct("did", "hash")).alias("first"), F.first("fingerprint").alias("fingerprint")).select("first.*", "fingerprint").withColumn("node", F.monotonically_increasing_id()), "text-classes")
-    candidates = components(shard_links(classes, links))
+    classes = written(rows.groupBy("digest").agg(F.min(F.struct("did", "hash")).alias("first"), F.first("fingerprint").alias("fingerprint")).select("first.*", "digest", "fingerprint").withColumn("node", F.xxhash64("digest")), "text-classes")
+    nodes = texts.select(F.xxhash64(F.unhex(F.md5("text"))).alias("node"), "text")
+    candidates = components(shard_links(classes, links).unionByName(rare_links(nodes, links.shingle, least)))
     near = written(classes.join(candidates, "node").select("did", "hash", "node", "root"), "candidates")
     # rows that share id and text are equal: one of them speaks for all
     moved = written(texts.join(near, ["did", "hash"]).dropDuplicates(["node"]).select("root", "node", "text"), "candidate-texts")

@@ -172,6 +172,39 @@ def test_one_of_each_near_duplicate_group_stays(spark, monkeypatch):
     assert simhash.first_of_each_group(frame(spark, [])).count() == 0
 
 
+def _near(rows):
+    sets = {r[0]: set(simhash.shingles(r[1], 5)) for r in rows}
+    return sorted(set(_components(list(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])).values()))
+
+
+def test_near_duplicates_that_differ_in_repeats(spark):
+    rows = []
+    for n in range(40):
+        words = [f"w{n}x{k}" for k in range(304)]
+        line = " ".join(words[:12])
+        rows += [(2 * n, " ".join(words + words[:4]) + f" {line}" * 2, "en", "s", 1), (2 * n + 1, " ".join(words + words[:4]) + f" {line}" * 16, "en", "s", 1)]
+    assert _near(rows) == [2 * n for n in range(40)]
+    assert sorted(r.doc_id for r in simhash.first_of_each_group(frame(spark, rows)).collect()) == _near(rows)
+
+
+def test_near_duplicates_that_share_no_band(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(simhash, "COUNTED", 500, raising=False)
+    rng = random.Random(3)
+    common = [" ".join(f"c{k}x{j}" for j in range(30)) for k in range(6)]
+    rows = []
+    for n in range(30):
+        base = [f"b{n}x{rng.randint(0, 400)}" for _ in range(rng.randint(2, 120))] + rng.choice(common).split()
+        for k in range(rng.randint(1, 5)):
+            words = list(base)
+            for _ in range(k):
+                words[rng.randrange(len(words))] = f"y{rng.randint(0, 400)}"
+            rows.append((len(rows), " ".join(words), "en", "s", 1))
+    alone = simhash.Links(shingle=5, bits=384, radius=0, blocks=24, equal=24)
+    assert sorted(r.doc_id for r in simhash.first_of_each_group(frame(spark, rows), alone).collect()) == _near(rows)
+
+
 def test_lines_keep_the_first(spark):
     rows = corpus()
     seen, expected = {}, []
