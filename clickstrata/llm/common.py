@@ -69,6 +69,24 @@ def neighbours(keys: DataFrame, order: list[Column], wrap: bool, out: str, value
     return held.join(F.broadcast(after.select("__part", "__after")), "__part").withColumn(out, F.coalesce("__next", "__after")["v"]).drop("__part", "__next", "__first", "__after")
 
 
+def unlike_neighbours(keys: DataFrame, order: list[Column], out: str, value: str, kind: str) -> DataFrame:
+    """keys with a column ``out``: ``value`` of the next row in the order whose ``kind`` (not null) differs, else null.
+
+    As ``neighbours``: each range on its own, then one row for each range. Of a range, its first row and the first row of
+    another kind answer for whatever runs into it; one that is all of that kind passes the question on.
+    """
+    ranged = written(keys.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
+    within = Window.partitionBy("__part").orderBy(*order)
+    onward, whole = within.rowsBetween(Window.currentRow, Window.unboundedFollowing), within.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    held = ranged.withColumn("__v", F.struct(F.col(value).alias("v"))).withColumns({"__end": F.when(F.lead(kind).over(within) != F.col(kind), F.lead("__v").over(within)), "__first": F.row_number().over(within) == 1})
+    held = held.withColumns({"__next": F.first("__end", ignorenulls=True).over(onward), "__last": F.last(kind).over(whole)})
+    heads = held.where("__first").select("__part", F.col("__v").alias("__head"), F.col(kind).alias("__kind"), F.col("__next").alias("__unlike"), "__last")
+    by_part = Window.orderBy("__part")
+    found = heads.withColumn("__found", F.when(F.lead("__kind").over(by_part) != F.col("__last"), F.lead("__head").over(by_part)).otherwise(F.lead("__unlike").over(by_part)))
+    after = found.select("__part", F.first("__found", ignorenulls=True).over(by_part.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("__after"))
+    return held.join(F.broadcast(after), "__part").withColumn(out, F.coalesce("__next", "__after")["v"]).drop("__part", "__v", "__end", "__first", "__next", "__last", "__after")
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """node, root (the least node of its component) for each node of the undirected edges (a, b).
 

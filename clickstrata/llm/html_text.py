@@ -6,7 +6,9 @@ that both share are deleted: they belong to the site, not to the page.
 
 Elements that never hold main text (menus, forms, scripts, comments and so on) go first. Blocks inside an article or
 main element are the author's own and are not deleted: there, lines that two pages share are quotations or copies. A
-neighbour that shares nearly all lines is a copy of the page, which says nothing about the site: nothing is deleted.
+neighbour whose lines all equal the page's is a copy, which says nothing about the site: the next one that is none is
+taken. Where the nearest shares nearly all lines, it may be an edited copy or the site's frame may be large: then only
+lines that the nearest page on the other side shares too are deleted, if the host has one there.
 
 Null html and html without text give the empty string. Null URLs form a host of their own. Empty tables give no rows.
 Repeated rows are extracted each. Columns besides id, url and html are ignored. Broken markup is read as browsers do
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickstrata.llm.common import neighbours, small_batches, written
+from clickstrata.llm.common import small_batches, unlike_neighbours, written
 
 #: Fixed values, from HTML: elements whose content is raw, elements that hold no content, elements that are blocks.
 RAW = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes", "iframe", "noscript"}
@@ -47,7 +49,7 @@ MAIN_PART = re.compile(r"(?:^|\s)(?:main|(?:main|page)[_-]?content|content|artic
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|[^<]+|<""", re.DOTALL)
 NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|style|itemprop|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 BLANK = re.compile(r"\s+")
-#: A neighbour with a larger share of shared lines is a copy.
+#: With a larger share of shared lines, the neighbour on the other side is asked too.
 COPY = 0.8
 
 
@@ -168,12 +170,11 @@ def common_lines(a: list, b: list) -> list[int]:
     return out[::-1]
 
 
-def own_lines(lines: list[str], hashes: list[int], near: list[int]) -> list[str]:
-    """lines without those that the near page shares."""
-    shared = common_lines(hashes, near)
-    if len(shared) > COPY * max(len(hashes), len(near), 1):
-        return lines
-    gone = set(shared)
+def own_lines(lines: list[str], hashes: list[int], near: list[int], other: list[int] | None) -> list[str]:
+    """lines without those that the near page shares; if that is nearly all, without those that the other shares too."""
+    gone = set(common_lines(hashes, near))
+    if other is not None and len(gone) > COPY * max(len(hashes), len(near)):
+        gone &= set(common_lines(hashes, other))
     return [x for i, x in enumerate(lines) if i not in gone]
 
 
@@ -204,13 +205,15 @@ def parsed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFr
 
 
 def nearest(pages: DataFrame) -> DataFrame:
-    """row and the row of the neighbour in URL order on the same host that shares the longer path prefix."""
+    """row, the row of the neighbour in URL order on the same host that shares the longer path prefix (near), and that of the
+    neighbour on the other side (other). Pages with equal lines (lines_hash) are copies: neighbours are the next that are none.
+    """
     place = F.regexp_extract(F.coalesce("url", F.lit("")), "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^?#]*)", 0)
     host = F.lower(F.regexp_replace(F.regexp_extract(F.coalesce("url", F.lit("")), "//([^/?#]*)", 1), "^www\\.", ""))
     path = F.regexp_extract(place, "//[^/]*(.*)", 1)
-    keys = pages.select("row", host.alias("host"), path.alias("path")).withColumn("at", F.struct("host", "path", "row"))
+    keys = pages.select("row", host.alias("host"), path.alias("path"), F.struct(host.alias("host"), "lines_hash").alias("lines")).withColumn("at", F.struct("host", "path", "row"))
     up, down = [F.asc("host"), F.asc("path"), F.asc("row")], [F.desc("host"), F.desc("path"), F.desc("row")]
-    both = neighbours(keys, up, False, "ahead", "at").join(neighbours(keys, down, False, "behind", "at").select("row", "behind"), "row")
+    both = unlike_neighbours(keys, up, "ahead", "at", "lines").join(unlike_neighbours(keys, down, "behind", "at", "lines").select("row", "behind"), "row")
     steps = lambda p: F.split(p, "/")
 
     def shared(other: str):
@@ -218,7 +221,9 @@ def nearest(pages: DataFrame) -> DataFrame:
         return F.when(F.col(f"{other}.host") == F.col("host"), F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.size(same))).otherwise(-1)
 
     score = both.withColumns({"s_ahead": F.coalesce(shared("ahead"), F.lit(-1)), "s_behind": F.coalesce(shared("behind"), F.lit(-1))})
-    return score.select("row", F.when((F.col("s_ahead") < 0) & (F.col("s_behind") < 0), F.lit(None)).when(F.col("s_ahead") >= F.col("s_behind"), F.col("ahead.row")).otherwise(F.col("behind.row")).alias("near"))
+    on_host = lambda side: F.when(F.col(f"s_{side}") >= 0, F.col(f"{side}.row"))
+    first = F.col("s_ahead") >= F.col("s_behind")
+    return score.select("row", F.when(first, on_host("ahead")).otherwise(on_host("behind")).alias("near"), F.when(first, on_host("behind")).otherwise(on_host("ahead")).alias("other"))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -226,13 +231,13 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     small_batches(pages.sparkSession)
     table = parsed(pages, id_col, url_col, html_col)
     marked = table.where("marked").select("page_id", "url", "text", "n_chars")
-    pairs = nearest(table.select("row", "url"))
-    near = table.select(F.col("row").alias("near"), F.col("hashes").alias("near_hashes"))
-    rest = table.where("not marked").join(pairs, "row", "left").join(near, "near", "left").select("page_id", "url", "lines", "hashes", "near_hashes")
+    pairs = nearest(table.select("row", "url", F.xxhash64("marked", "hashes").alias("lines_hash")))
+    near, other = (table.select(F.col("row").alias(x), F.col("hashes").alias(f"{x}_hashes")) for x in ("near", "other"))
+    rest = table.where("not marked").join(pairs, "row", "left").join(near, "near", "left").join(other, "other", "left").select("page_id", "url", "lines", "hashes", "near_hashes", "other_hashes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = ["\n\n".join(own_lines(lines.as_py(), hashes.as_py(), other.as_py() or [])) for lines, hashes, other in zip(batch.column("lines"), batch.column("hashes"), batch.column("near_hashes"), strict=True)]
+            texts = ["\n\n".join(own_lines(lines.as_py(), hashes.as_py(), near.as_py() or [], other.as_py())) for lines, hashes, near, other in zip(*(batch.column(c) for c in ("lines", "hashes", "near_hashes", "other_hashes")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return marked.unionByName(rest.mapInArrow(run, "page_id long, url string, text string, n_chars long"))

@@ -65,6 +65,36 @@ def test_pages_are_differenced_with_the_nearest(spark):
     assert html_text.main_text(pages).count() == len(rows) and html_text.main_text(pages.limit(0)).count() == 0
 
 
+def test_copies_and_large_frames_are_differenced(spark):
+    menu = [f"<div>menu {k}</div>" for k in range(25)]
+    large = lambda name: "".join([*menu, *[f"<p>{name} {k}</p>" for k in range(5)]])
+    site = lambda own: f"<div>Welcome</div><p>{own} one</p><p>{own} two</p><div>Contact us</div>"
+    rows = [(k, f"http://big.org/a/{k}", large(f"own{k}")) for k in range(3)]
+    rows += [(10, "http://h.org/a/1", site("first")), (11, "http://h.org/a/2", site("second")), (12, "http://h.org/a/2#top", site("second")), (13, "http://www.h.org/a/2?x=1", site("second")), (14, "http://h.org/a/2", site("second"))]
+    rows += [(20, "http://only.org/a", site("alone")), (21, "http://only.org/a?y", site("alone"))]
+    edited = lambda date: site("text") + "".join(f"<p>line {k}</p>" for k in range(20)) + f"<p>{date}</p>"
+    rows += [(30, "http://e.org/a/1", site("before")), (31, "http://e.org/b/1", edited("Monday")), (32, "http://e.org/b/2", edited("Tuesday")), (33, "http://e.org/c/1", site("after"))]
+    out = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for k in range(3):
+        assert out[k] == "\n\n".join(f"own{k} {n}" for n in range(5))
+    assert out[10] == "first one\n\nfirst two" and {out[k] for k in (11, 12, 13, 14)} == {"second one\n\nsecond two"}
+    assert {out[20], out[21]} == {"Welcome\n\nalone one\n\nalone two\n\nContact us"}
+    assert all(f"line {k}" in out[p] for p in (31, 32) for k in range(20)) and "Welcome" not in out[31] + out[32]
+
+
+def test_unlike_neighbours(spark):
+    from pyspark.sql import functions as F
+
+    from clickstrata.llm.common import unlike_neighbours
+
+    rng = random.Random(2)
+    for most in (1, 2, 40):
+        kinds = [k for _ in range(30) for k in [rng.randint(0, 3)] * rng.randint(1, most)]
+        df = spark.createDataFrame(list(enumerate(kinds)), "n int, kind int")
+        out = {r.n: r.ahead for r in unlike_neighbours(df, [F.asc("n")], "ahead", "n", "kind").collect()}
+        assert out == {n: next((m for m in range(n, len(kinds)) if kinds[m] != k), None) for n, k in enumerate(kinds)}
+
+
 def _toxic_corpus(n=600):
     rng = random.Random(6)
     words = [f"{a}{b}" for a in ("tor", "len", "mip", "gras", "sun") for b in ("a", "ing", "os", "ker")]
