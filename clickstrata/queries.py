@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime as dt
 import tempfile
 import uuid
+from itertools import groupby
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -301,16 +302,21 @@ def stream_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.read(spark, lake.table(schemas.MARKETPLACE_QUARANTINE.name), schemas.MARKETPLACE_QUARANTINE).groupBy("reject_reasons").agg(F.count("*").alias("rejects"))
 
 
+def offered(spark: SparkSession, sf_dir: str, store: Serving) -> None:
+    """Offer the live minutes of every day to the store, a day's minutes as a batch of its own, each batch twice."""
+    minutes = marts.live_minute(_silver(spark, sf_dir)).orderBy("minute", "event_type").toLocalIterator()  # a part at a time
+    for batch_id, (_, held) in enumerate(groupby(minutes, lambda r: r["minute"].date())):
+        rows = [r.asDict() for r in held]  # one day's minutes
+        for _ in range(2):
+            store.apply_live("events", batch_id, rows, rows[-1]["minute"], len(rows))
+
+
 def live_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Live minutes after each batch was offered twice."""
+    """One day's live minutes in the store, as the SQL asks, after every day's batches were offered twice."""
     with tempfile.TemporaryDirectory() as folder:
         store = Serving.sqlite(f"{folder}/serving.db")
-        minutes = marts.live_minute(_silver(spark, sf_dir)).withColumn("batch", F.dayofmonth("minute") % 3)
-        rows = [r.asDict() for r in minutes.where(F.to_date("minute") == F.lit(DAY)).collect()]  # one day's minutes
-        for _ in range(2):
-            for i in range(3):
-                store.apply_live("events", i, [r for r in rows if r["batch"] == i], max((r["minute"] for r in rows), default=None), len(rows))
-        found = [(m, t, n, c / 100) for m, t, n, c in store.query("SELECT minute, event_type, events, revenue_cents FROM live_minute")]
+        offered(spark, sf_dir, store)
+        found = [(m, t, n, c / 100) for m, t, n, c in store.query("SELECT minute, event_type, events, revenue_cents FROM live_minute WHERE substr(minute, 1, 10) = ?", str(DAY))]
     return spark.createDataFrame(found, "minute string, event_type string, events bigint, revenue double")
 
 

@@ -29,6 +29,17 @@ def test_query_equals_sql(spark, duck, name):
     assert _rows(df.select(*columns).collect()) == _rows(duck.sql(f"SELECT {names} FROM ({queries.ORACLE_SQL[name]})").fetchall())
 
 
+def test_every_day_passes_the_ledger_once(spark, duck, tmp_path):
+    from clickstrata.plans.serving import Serving
+
+    store = Serving.sqlite(f"{tmp_path}/serving.db")
+    queries.offered(spark, SF, store)
+    expected = duck.sql(queries.ORACLE_SQL["live_minute"]).fetchall()
+    days = {r[0][:10] for r in expected}
+    assert len(days) > 1 and store.query("SELECT count(*) FROM live_batches") == [(len(days),)]
+    assert _rows((m, t, n, c / 100) for m, t, n, c in store.query("SELECT minute, event_type, events, revenue_cents FROM live_minute")) == _rows(expected)
+
+
 def test_generator_is_deterministic_and_noisy(spark):
     one, two = (sorted(map(tuple, queries.synth_noise(spark, SF).collect())) for _ in range(2))
     assert one == two
