@@ -145,7 +145,7 @@ def anchors(texts: DataFrame, windows: Windows) -> DataFrame:
                 sizes.append(len(keys))
             index = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
             none = np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([_signed(np.concatenate([none, *found])), batch.column("did").take(index), batch.column("hash").take(index), pa.array(np.minimum(np.concatenate([none.astype(np.int64), *counts]), 2), pa.int64())], ["anchor", "did", "hash", "n"])
+            yield pa.RecordBatch.from_arrays([_signed(np.concatenate([none, *found])), batch.column("did").take(index), batch.column("hash").take(index), pa.array(np.concatenate([none.astype(np.int64), *counts]), pa.int64())], ["anchor", "did", "hash", "n"])
 
     return texts.select("did", "hash", "text").mapInArrow(run, "anchor long, did long, hash long, n long")
 

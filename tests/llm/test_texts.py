@@ -111,6 +111,22 @@ def _components(nodes, linked):
     return {n: root(n) for n in nodes}
 
 
+def test_anchors_count_every_stretch(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    windows = repeats.Windows("words", 50)
+    same = " ".join(f"same{k}" for k in range(40))
+    text = " ".join(f"{same} " + " ".join(f"r{rng.randint(0, 10**6)}" for _ in range(30)) for _ in range(60))
+    texts = spark.createDataFrame([(1, 2, text, 1)], "did bigint, hash bigint, text string, copies int")
+    counts = {r.anchor: r.n for r in repeats.anchors(texts, windows).collect()}
+    again = F.array(*[F.struct(F.lit(k).alias("anchor"), F.lit(1).alias("parts")) for k, n in counts.items() if n > 1])
+    made = Counter(r.anchor for r in repeats.stretches(texts.withColumn("again", again), windows).where("anchor is not null").collect())
+    assert max(made.values()) > 2 and all(n <= counts[k] for k, n in made.items())
+
+
 def test_simhash_components(spark, monkeypatch):
     monkeypatch.setattr(simhash, "SHARD", 3)
     rows = corpus(n=120)
