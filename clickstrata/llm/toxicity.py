@@ -139,7 +139,7 @@ class Matcher:
             at = end - size + 1
             if at < done or at and (lower[at - 1].isalnum()):
                 continue
-            begin = max((m.end() for m in CLAUSE_END.finditer(lower, max(done, at - 2000), at)), default=max(done, at - 2000))
+            begin = max((m.end() for m in CLAUSE_END.finditer(lower, done, at)), default=done)
             stop = m.start() if (m := CLAUSE_END.search(lower, end)) else len(lower)
             done = stop
             words = WORD.findall(lower[begin:stop])

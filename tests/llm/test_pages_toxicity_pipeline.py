@@ -142,6 +142,13 @@ def test_grammar_paths():
     assert run(list("ToY"))[-1] == "K" and run(list("oY"))[-1] == "o"
 
 
+def test_long_clauses_are_read_whole():
+    held = dict(zip(toxicity.PATHS, toxicity.Matcher({"grimbo": 2.0}).features("he said " + "word " * 1000 + "grimbo"), strict=False))
+    assert held["q"] > 0 and held["I"] == 0
+    held = dict(zip(toxicity.PATHS, toxicity.Matcher({"grimbo": 2.0}).features("he said so. " + "word " * 1000 + "grimbo"), strict=False))
+    assert held["I"] > 0 and held["q"] == 0
+
+
 def test_pipeline_stages_keep_columns(spark, tmp_path):
     import corpus_pipeline
 
