@@ -2,10 +2,12 @@
 
 Method: bounded-space online best-fit. A task holds at most ``open_bins`` open sequences in a bitset keyed by free
 space: the lowest set bit at or above a piece's length is the best fit. Where too many are open, the fullest closes.
-Pieces reach a task longest first, which makes best-fit waste least.
+Pieces reach a task in runs of about ``RUN``, each run longest first: the open sequences then have room for what the
+next run brings, and best-fit wastes little though few are open.
 
-Null texts count as empty: one piece that holds the end id alone. Empty tables give no rows. Repeated rows are packed
-once each. Columns besides id and text are ignored.
+Null texts count as empty: one piece that holds the end id alone. Null ids are packed like others. Empty tables give no
+rows. Repeated rows are packed once each; which of two equal rows comes first is the same in every try of a task. A very
+long text is encoded whole and cut into pieces. Columns besides id and text are ignored.
 """
 
 from __future__ import annotations
@@ -23,15 +25,15 @@ from clickstrata.llm.common import written
 from clickstrata.llm.wordbpe import word_tokens
 
 CAPACITY = 2048
-#: Open sequences a task holds, and pieces that it packs, about: beyond some tens of thousands more pieces fill no better.
-OPEN_BINS, TASK_PIECES = 1 << 16, 1 << 16
+#: Open sequences a task holds; pieces that it packs, and pieces of a run, about.
+OPEN_BINS, TASK_PIECES, RUN = 1 << 10, 1 << 16, 1 << 12
 
 
 class OpenBins:
     """The open sequences of one task."""
 
     def __init__(self, capacity: int, limit: int):
-        self.capacity, self.limit, self.count, self.made, self.free_bits = capacity, limit, 0, 0, 0
+        self.capacity, self.limit, self.count, self.made, self.closed, self.free_bits = capacity, limit, 0, 0, 0, 0
         self.by_free: list[list[int]] = [[] for _ in range(capacity + 1)]
 
     def _take(self, free: int) -> int:
@@ -56,6 +58,7 @@ class OpenBins:
             self.count += 1
             if self.count > self.limit:
                 self._take((self.free_bits & -self.free_bits).bit_length() - 1)
+                self.closed += 1
         return number, self.capacity - free
 
 
@@ -87,7 +90,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: in
 def best_fit(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, task_pieces: int = TASK_PIECES) -> DataFrame:
     """pieces (any rows with doc_id, piece and length) with sequence_id and offset; each row keeps its other columns.
 
-    Pieces are dealt evenly by id and piece into as many tasks as their count asks for; sequence numbers carry the
+    Pieces are dealt evenly by all their values into as many tasks as their count asks for; sequence numbers carry the
     task's number, and the order within a task is total, so that a task that runs again gives the same rows.
     """
     pieces = written(pieces, "pieces")
@@ -100,7 +103,9 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_
             made = [pa.array([first + n for n, _ in placed], pa.int64()), pa.array([at for _, at in placed], pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "sequence_id", "offset"])
 
-    dealt = pieces.repartition(tasks, "doc_id", "piece").sortWithinPartitions(F.desc("length"), "doc_id", "piece", *[c for c in pieces.columns if c not in ("doc_id", "piece", "length")])
+    runs = max(1, math.ceil(task_pieces / RUN))
+    run = F.pmod(F.xxhash64(*pieces.columns), F.lit(runs))
+    dealt = pieces.repartition(tasks, *pieces.columns).sortWithinPartitions(run, F.desc("length"), "doc_id", "piece", *[c for c in pieces.columns if c not in ("doc_id", "piece", "length")])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
     return dealt.mapInArrow(pack, f"{fields}, sequence_id long, offset long")
 

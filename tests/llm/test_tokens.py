@@ -1,4 +1,5 @@
 import random
+import zlib
 from array import array
 from hashlib import sha256
 
@@ -86,6 +87,23 @@ def test_packing(spark, rows):
     total = sum(len(tokens.ids(r[1] or "")) // 4 + 1 for r in corpus())
     assert sum(r["length"] for r in out) == total and len(per_sequence) <= -(-total // 2048) + 1
     assert all(r["start"] == 2048 * r["piece"] for r in out)
+    library, expected = Tokenizer.from_file(WORD), []
+    for r in corpus():
+        ids = array("I", [*library.encode(r[1] or "", add_special_tokens=False).ids, 0])
+        expected += [(r[0], k // 2048, k, len(ids[k : k + 2048]), zlib.crc32(ids[k : k + 2048].tobytes())) for k in range(0, len(ids), 2048)]
+    assert sorted(((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out), key=repr) == sorted(expected, key=repr)
+
+
+def test_few_open_sequences_fill_well_in_runs():
+    rng = random.Random(4)
+    lengths = [min(2048, int(rng.lognormvariate(6.3, 1)) + 1) for _ in range(packing.TASK_PIECES // 2)]
+    bins, most = packing.OpenBins(packing.CAPACITY, packing.OPEN_BINS), 0
+    for k in range(0, len(lengths), packing.RUN):
+        for n in sorted(lengths[k : k + packing.RUN], reverse=True):
+            bins.place(n)
+            most = max(most, bins.count)
+    assert most == packing.OPEN_BINS < packing.RUN < packing.TASK_PIECES and bins.closed > 0
+    assert bins.made <= 1.01 * sum(lengths) / packing.CAPACITY
 
 
 def test_packing_deals_many_tasks(spark):
