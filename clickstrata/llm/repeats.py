@@ -1,18 +1,23 @@
 """Repeated passages: every unit covered by a window of ``window`` units that also starts anywhere else.
 
 Method: a radix sort of suffixes, most significant digit first, that stops at the depth of the threshold; groups of
-equal suffixes at that depth are exactly the repeated windows. Digits are 64-bit digests of blocks, and order within a
-group does not matter, so a pass is a shuffle by digest:
-
-1. First digit: in each window the block with the least digest is its anchor (the last, if several are least). Windows
-   that are equal have equal anchors, so anchors that occur once end all their windows: most of the text goes here.
-2. Remaining digits: for each anchor that occurs again, the stretch of text that its windows cover goes to the anchor's
-   group, where all windows are ordered by their digest to full depth. Equal ones cover their text. Groups over
-   ``GROUP`` stretches are dealt to several tasks; what such a task finds once goes by its own digest to a third pass.
-
-Equal texts are taken once: with a copy, all their windows are repeated. Bytes or words serve as units. Null texts count
-as empty. Empty tables give no rows. Repeated rows are copies of each other. Other columns pass through where the
-caller joins them; they are not read here.
+equal suffixes at that depth are exactly the repeated windows.
+
+1. Choice of suffixes. In each window the block with the least digest is its anchor (the last, if several are least).
+   Equal windows have equal anchors, so a window whose anchor stands nowhere else is in no group, and its suffix need
+   not be sorted. This spares the shuffle of a row for each byte of the input; no repeated window is lost by it.
+2. Dealing. The stretches of text that the other windows cover go to the task of their anchor.
+3. Passes. Each task sorts its suffixes by one digit after the other (eight bytes, or one word), and goes on only with
+   groups of two or more, until the threshold's depth. What is left are equal windows, compared unit by unit; they
+   cover their text. The windows that one text itself repeats are found by the same passes before the dealing.
+4. An anchor of over ``GROUP`` stretches is dealt to several tasks. Windows that such a task meets once go by a 128-bit
+   digest of their units to one more grouping over all tasks.
+
+Equal texts are taken once: with a copy, all their windows are repeated, and all of a text of ``window`` units or more
+goes, the first copy's too. Every occurrence of a repeated passage goes, the first too. Bytes or words serve as units.
+Null texts count as empty; null ids are kept. Empty tables give no rows. Repeated rows are copies of each other. A very
+long text is worked on whole: about 40 times its bytes in memory for a while. Other columns pass through where the
+caller asks for them by ``columns``, and are not read otherwise.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from clickstrata.llm.common import BLANKS, table_path, written
+from clickstrata.llm.common import BLANKS, small_batches, table_path, written
 
 #: Stretches of one anchor that a task holds at once (of some 700 bytes each), and stretches that are worked on together.
-GROUP, BLOCK = 16_384, 2000
+GROUP, BLOCK = 8192, 2000
 WORD = re.compile(f"[^{BLANKS}]+".encode())
 #: Odd multipliers of the digests (from the golden ratio and its square root).
 ONE, TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -123,6 +129,45 @@ def spans_of(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def digits_of(raw: bytes, windows: Windows) -> np.ndarray:
+    """The radix digit that begins at each unit: eight bytes as a number in the order of the bytes, or a word's code."""
+    if windows.units == "words":
+        return np.frombuffer(raw, np.uint64)
+    return np.ndarray((len(raw),), ">u8", raw + bytes(7), 0, (1,)).astype(np.uint64)
+
+
+def equal_suffixes(digits: np.ndarray, starts: np.ndarray, group: np.ndarray, windows: Windows) -> tuple[np.ndarray, np.ndarray]:
+    """Radix sort, most significant digit first, of the suffixes that begin at ``starts`` (indices of ``digits``), to the depth
+    of the window. ``group`` is what is sorted already: numbers in ascending order.
+
+    Gives places in ``starts`` and their group's number, in ascending order of it, for the groups of two or more.
+    """
+    step = min(8, windows.window) if windows.units == "bytes" else 1
+    shift = np.uint64(8 * (8 - step)) if windows.units == "bytes" else np.uint64(0)
+    places = np.arange(len(starts))
+    depths = [*range(0, windows.window - step, step), windows.window - step]
+    for depth in depths:
+        key = digits[starts[places] + depth]
+        if shift:
+            key = key >> shift
+        same = group[1:] == group[:-1]
+        differs = same & (key[1:] != key[:-1])
+        if differs.any():
+            number = np.cumsum(np.concatenate(([0], ~same)))
+            mixed = np.zeros(number[-1] + 1, bool)
+            mixed[number[1:][differs]] = True
+            rows = np.flatnonzero(mixed[number])
+            order = rows[np.lexsort((key[rows], number[rows]))]
+            places[rows], key[rows] = places[order], key[order]
+            differs = same & (key[1:] != key[:-1])
+        number = np.cumsum(np.concatenate(([0], ~same | differs))) if len(places) else places
+        kept = np.bincount(number)[number] > 1 if len(places) else np.zeros(0, bool)
+        places, group = places[kept], number[kept]
+        if not len(places):
+            break
+    return places, group
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
 
@@ -166,7 +211,7 @@ def stretches(texts: DataFrame, windows: Windows) -> DataFrame:
             for did, hash_, text, copies, again in zip(*(batch.column(c) for c in ("did", "hash", "text", "copies", "again")), strict=True):
                 raw = text.as_py().encode("utf-8", "replace")
                 codes, _ = coded(raw, windows)
-                blocks, whole = digests(codes, windows.block, windows.window)
+                (blocks,) = digests(codes, windows.block)
                 first, last, keys = anchored(blocks, windows)
                 parts = {k & (1 << 64) - 1: p for k, p in ((e["anchor"], e["parts"]) for e in again.as_py())}
                 kept = np.isin(keys, np.fromiter(parts, np.uint64, len(parts)))
@@ -175,19 +220,22 @@ def stretches(texts: DataFrame, windows: Windows) -> DataFrame:
                     continue
                 first, last, keys = first[kept], last[kept], keys[kept]
                 lengths = last - first + 1
-                at = np.repeat(first, lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                _, earliest, inverse, counts = np.unique(whole[at], return_index=True, return_inverse=True, return_counts=True)
-                twice = at[counts[inverse] > 1]
+                at = (np.repeat(first, lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int64)
+                held = raw if windows.units == "bytes" else codes.tobytes()
+                twice, group = equal_suffixes(digits_of(held, windows), at, np.zeros(len(at), np.int64), windows)
                 if len(twice) and copies.as_py() == 1:
-                    rows += [(None, 0, 1, *place, int(a), int(b - a), None) for a, b in covered(twice, windows.window)]
-                fresh = np.zeros(len(at), bool)
-                fresh[earliest] = True
+                    rows += [(None, 0, 1, *place, int(a), int(b - a), None) for a, b in covered(at[twice], windows.window)]
+                fresh = np.ones(len(at), bool)
+                fresh[twice] = False
+                if len(twice):  # of each group the earliest
+                    order = np.lexsort((at[twice], group))
+                    fresh[twice[order][np.flatnonzero(np.concatenate(([True], np.diff(group[order]) > 0)))]] = True
                 runs = np.logical_or.reduceat(fresh, np.cumsum(lengths) - lengths)
                 weight = 1 if copies.as_py() == 1 else 2
+                size = 1 if windows.units == "bytes" else 8
                 for a, b, k in zip(first[runs].tolist(), last[runs].tolist(), keys[runs].tolist(), strict=True):
                     n = parts[k]
-                    held = raw[a : b + windows.window] if windows.units == "bytes" else codes[a : b + windows.window].tobytes()
-                    rows.append((k - (1 << 64) if k >> 63 else k, (place[1] ^ a) % n, n, *place, a, weight, held))
+                    rows.append((k - (1 << 64) if k >> 63 else k, (place[1] ^ a) % n, n, *place, a, weight, held[a * size : (b + windows.window) * size]))
             yield pa.RecordBatch.from_pylist([], schema=_STRETCH) if not rows else pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _STRETCH, strict=True)], schema=_STRETCH)
 
     return texts.select("did", "hash", "text", "copies", "again").mapInArrow(run, STRETCH)
@@ -203,50 +251,50 @@ def covered(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
     return [(int(s[0]), int(s[-1]) + window) for s in np.split(starts, cut)]
 
 
-FOUND = "did long, hash long, begin long, stop long, digest long, weight int"
+FOUND = "did long, hash long, begin long, stop long, digest binary, weight int"
+_FOUND = pa.schema([("did", pa.int64()), ("hash", pa.int64()), ("begin", pa.int64()), ("stop", pa.int64()), ("digest", pa.binary()), ("weight", pa.int32())])
 
 
 def ordered(dealt: DataFrame, windows: Windows) -> DataFrame:
-    """Covered stretches (did, hash, begin, stop) of each anchor's group; for parts of a large group also, with a digest,
-    the windows met once and, without a place, one row for each window met again."""
+    """Covered stretches (did, hash, begin, stop) of each anchor's suffixes, sorted; for parts of a large anchor also, with a
+    digest, the windows met once and, without a place, one row for each window met again."""
 
     def work(rows: list[tuple]) -> pa.RecordBatch:
+        """rows: stretches in the order of their anchor and part."""
         out: list[tuple] = []
         w, scale = windows.window, 1 if windows.units == "bytes" else 8
-        number = np.array([len(r[7]) // scale for r in rows]) - w + 1
+        held = b"".join(r[7] for r in rows)
+        sizes = np.array([len(r[7]) // scale for r in rows])
+        number = sizes - w + 1
         owner = np.repeat(np.arange(len(rows)), number)
         offset = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
-        anchor = np.array([r[0] for r in rows], np.int64).view(np.uint64)
-        parts = []
-        for at in range(0, len(rows), BLOCK):  # digests of a large group take far more room than its windows
-            held = b"".join(r[7] for r in rows[at : at + BLOCK])
-            (whole,) = digests(BYTE_CODES[np.frombuffer(held, np.uint8)] if scale == 1 else np.frombuffer(held, np.uint64), w)
-            sizes = number[at : at + BLOCK] + w - 1
-            here = (owner >= at) & (owner < at + BLOCK) if len(rows) > BLOCK else slice(None)
-            parts.append(whole[(np.cumsum(sizes) - sizes)[owner[here] - at] + offset[here]])
-        plain = _joined(np.concatenate(parts), anchor[owner])
-        group = anchor * TWO + np.array([r[1] for r in rows], np.uint64)
-        key = _joined(plain, group[owner])
-        _, inverse = np.unique(key, return_inverse=True)
-        again = np.bincount(inverse, weights=np.array([r[6] for r in rows])[owner])[inverse] > 1
+        starts = (np.cumsum(sizes) - sizes)[owner] + offset
+        anchor = np.array([r[0] for r in rows])
+        part = np.array([r[1] for r in rows])
+        dealt_to = np.cumsum(np.concatenate(([0], (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1]))))
+        places, group = equal_suffixes(digits_of(held, windows), starts, dealt_to[owner], windows)
         lowest = np.full(len(rows), 1 << 62)
         highest = np.full(len(rows), -1)
-        np.minimum.at(lowest, owner[again], offset[again])
-        np.maximum.at(highest, owner[again], offset[again])
+        np.minimum.at(lowest, owner[places], offset[places])
+        np.maximum.at(highest, owner[places], offset[places])
         for i in np.flatnonzero(highest >= 0).tolist():
             _, _, _, did, hash_, first, weight, _ = rows[i]
             if weight == 1:
                 out.append((did, hash_, first + int(lowest[i]), first + int(highest[i]) + w, None, 0))
-        large = np.array([r[2] for r in rows])[owner] > 1
+        large = np.array([r[2] > 1 for r in rows])[owner]
         if large.any():
-            for j in np.flatnonzero(large & ~again).tolist():
+            digest = lambda j: md5(rows[owner[j]][0].to_bytes(8, "little", signed=True) + held[starts[j] * scale : (starts[j] + w) * scale], usedforsecurity=False).digest()
+            copied = np.array([r[6] > 1 for r in rows])[owner]
+            again = np.zeros(len(owner), bool)
+            again[places] = True
+            for j in np.flatnonzero(large & ~again & ~copied).tolist():
                 r = rows[owner[j]]
                 at = r[5] + int(offset[j])
-                out.append((r[3], r[4], at, at + w, int(plain[j].view(np.int64)), 1))
-            for x in np.unique(plain[large & again]).view(np.int64).tolist():
-                out.append((None, None, None, None, x, 2))
-        schema = pa.schema([("did", pa.int64()), ("hash", pa.int64()), ("begin", pa.int64()), ("stop", pa.int64()), ("digest", pa.int64()), ("weight", pa.int32())])
-        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema) if out else pa.RecordBatch.from_pylist([], schema=schema)
+                out.append((r[3], r[4], at, at + w, digest(j), 1))
+            one_each = places[np.concatenate(([True], np.diff(group) > 0))] if len(places) else places
+            for j in [*one_each[large[one_each]].tolist(), *np.flatnonzero(large & ~again & copied).tolist()]:
+                out.append((None, None, None, None, digest(j), 2))
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), _FOUND, strict=True)], schema=_FOUND) if out else pa.RecordBatch.from_pylist([], schema=_FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -289,33 +337,36 @@ def covers(texts: DataFrame, windows: Windows) -> DataFrame:
 
 
 def distinct_texts(docs: DataFrame, id_col: str, text_col: str, columns: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, the other columns asked for, did, hash: their class) and the classes' texts (did, hash, text, copies), bucketed by class.
+    """The distinct texts (did, hash: the class; doc_id and row: the other columns asked for, of a text without copies; text,
+    copies), bucketed by class, and the rows (doc_id, row, did, hash) of texts with copies.
 
     A class is named by its least id and its text's hash; texts move once, and later joins find them in place.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    kept = F.struct(*[F.col(c) for c in columns] or [F.lit(True).alias("none")]).alias("kept")
-    named = docs.select(F.col(id_col).alias("doc_id"), kept, F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("did"), text.alias("text"))
+    others = F.struct(*[F.col(c) for c in columns] or [F.lit(True).alias("none")]).alias("row")
+    named = docs.select(F.col(id_col).alias("doc_id"), others, F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("did"), text.alias("text"))
     named = named.withColumn("hash", F.xxhash64("text"))
-    rows = written(named.select("doc_id", "kept", "did", "hash", F.unhex(F.md5("text")).alias("digest")), "digests")
+    rows = written(named.select("doc_id", "row", "did", "hash", F.unhex(F.md5("text")).alias("digest")), "digests")
     classes = written(rows.groupBy("digest").agg(F.min("did").alias("class_did"), F.first("hash").alias("class_hash"), F.count("*").alias("copies")), "classes")
-    members = rows.join(classes.select("digest", "class_did", "class_hash"), "digest").select("doc_id", *[F.col(f"kept.`{c}`") for c in columns], F.col("class_did").alias("did"), F.col("class_hash").alias("hash"))
+    members = rows.join(classes.where("copies > 1").select("digest", "class_did", "class_hash"), "digest").select("doc_id", "row", F.col("class_did").alias("did"), F.col("class_hash").alias("hash"))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chosen = classes.select(F.col("class_did").alias("did"), F.col("class_hash").alias("hash"), "copies").repartition(buckets, "did", "hash")
     # repeated ids with equal texts come several times: one of them stays
-    held = named.select("did", "hash", "text").repartition(buckets, "did", "hash").join(chosen, ["did", "hash"]).withColumn("copies", F.col("copies").cast("int")).dropDuplicates(["did", "hash"])
+    held = named.repartition(buckets, "did", "hash").join(chosen, ["did", "hash"]).withColumn("copies", F.col("copies").cast("int")).dropDuplicates(["did", "hash"])
     name = f"texts_{uuid.uuid4().hex}"
     held.write.format("parquet").option("compression", "zstd").option("path", table_path(spark, "texts")).bucketBy(buckets, "did", "hash").saveAsTable(name)
-    return members, spark.table(name)
-
-
-CUT = "did long, hash long, kept binary, n_bytes long, n_removed long, spans array<struct<begin:long,stop:long>>"
+    texts = spark.table(name)
+    texts.schema  # noqa: B018  resolved, with its buckets, before the catalog forgets the name; the files stay
+    spark.sql(f"DROP TABLE {name}")
+    return members, texts
 
 
 def cut(texts: DataFrame, windows: Windows) -> DataFrame:
-    """Texts (did, hash, text, copies, spans) without their covered units; spans are byte offsets in the input."""
+    """did, hash, doc_id, row, kept bytes, n_bytes, n_removed, spans (byte offsets in the input) of texts (did, hash, doc_id,
+    row, text, copies, spans: of units)."""
     fields = pa.list_(pa.struct([("begin", pa.int64()), ("stop", pa.int64())]))
+    through = ["did", "hash", "doc_id", "row"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -341,17 +392,24 @@ def cut(texts: DataFrame, windows: Windows) -> DataFrame:
                 n_bytes.append(len(raw))
                 removed.append(len(raw) - len(kept[-1]))
                 spans.append([{"begin": a, "stop": b} for a, b in where])
-            yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("hash"), pa.array(kept, pa.binary()), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, fields)], ["did", "hash", "kept", "n_bytes", "n_removed", "spans"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in through], pa.array(kept, pa.binary()), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, fields)], [*through, "kept", "n_bytes", "n_removed", "spans"])
 
-    return texts.select("did", "hash", "text", "copies", "spans").mapInArrow(run, CUT)
+    made = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in through)
+    return texts.select(*through, "text", "copies", "spans").mapInArrow(run, f"{made}, kept binary, n_bytes long, n_removed long, spans array<struct<begin:long,stop:long>>")
 
 
 def without_repeats(docs: DataFrame, windows: Windows = Windows(), id_col: str = "doc_id", text_col: str = "text", columns: tuple[str, ...] = (), digest_only: bool = False) -> DataFrame:  # noqa: B008
     """doc_id, the other ``columns`` asked for, n_bytes, n_removed, spans (byte offsets) and the kept bytes, or with
     ``digest_only`` their sha256, of every row."""
+    small_batches(docs.sparkSession)
     members, texts = distinct_texts(docs, id_col, text_col, columns)
     found = covers(texts.where(F.octet_length("text") >= windows.window), windows)
-    done = cut(texts.join(found, ["did", "hash"], "left"), windows)
+    none = F.lit(None).cast("array<struct<begin:bigint,stop:bigint>>")
+    outcome = ["n_bytes", "n_removed", "spans", "kept"]
+    single = cut(texts.where("copies = 1").join(found, ["did", "hash"], "left"), windows).select("doc_id", "row", *outcome)
+    # of a text with copies nothing is kept, or it is shorter than a window: what its rows are joined with is narrow
+    shared = written(cut(texts.where("copies > 1").withColumn("spans", none), windows).select("did", "hash", *outcome), "shared-texts")
+    done = single.unionByName(members.join(shared, ["did", "hash"]).select("doc_id", "row", *outcome))
     if digest_only:
-        done = written(done.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept"), "cut")
-    return members.join(done, ["did", "hash"]).drop("did", "hash")
+        done = done.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+    return done.select("doc_id", *[F.col(f"row.`{c}`") for c in columns], *[c for c in done.columns if c not in ("doc_id", "row")])
