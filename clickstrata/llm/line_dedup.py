@@ -1,12 +1,13 @@
 """Line or paragraph deduplication by hashing.
 
-Method: each text is cut into units; units are normalised (lower case, white space to single spaces) and hashed to 128
-bits; digests are grouped over all texts; the earliest occurrence by (id, unit) stays and the others are removed. The
-places of removed units in the input are kept, in code points.
-
-Units of fewer than ``least_words`` words are never removed: that they are equal says nothing about copying. Null texts
-count as empty. Repeated rows (id and text equal) are one document and are returned each time; rows that share an id but
-not their text rank by their text's hash. A null id ranks first. Empty tables give no rows. Other columns are ignored.
+Method: each text is cut into units; units are normalised (lower case, the six ASCII blanks to single spaces) and hashed
+to 128 bits; digests are grouped over all texts; the earliest occurrence by (id, unit) stays and the others are removed.
+The places of removed units in the input are kept, in code points.
+
+Every unit with a word is hashed; ``least_words`` spares units of fewer words, and units without words are never removed.
+Null texts count as empty. Repeated rows (id and text equal) are one document and are returned each time; rows that share
+an id but not their text rank by their text's hash. A null id ranks first. A very long text is cut whole; a batch holds
+at most 16 MB of texts, or one text. Empty tables give no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickstrata.llm.common import written
+from clickstrata.llm.common import small_batches, written
 
 #: What ends a unit.
 BREAKS = {"line": "\n", "paragraph": "\n\n"}
-LEAST_WORDS = 8
+LEAST_WORDS = 1
 
 
 def unit_digests(texts: DataFrame, end: str, least_words: int) -> DataFrame:
@@ -33,11 +34,11 @@ def unit_digests(texts: DataFrame, end: str, least_words: int) -> DataFrame:
             index, units, digests = [], [], []
             for row, text in enumerate(batch.column("text")):
                 for unit, held in enumerate(text.as_py().split(end)):
-                    words = held.lower().split()
-                    if len(words) >= least_words:
+                    words = held.lower().encode("utf-8", "replace").split()  # bytes split at the six ASCII blanks only
+                    if words and len(words) >= least_words:
                         index.append(row)
                         units.append(unit)
-                        digests.append(md5(" ".join(words).encode("utf-8", "replace"), usedforsecurity=False).digest())
+                        digests.append(md5(b" ".join(words), usedforsecurity=False).digest())
             rows = pa.array(index, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("did").take(rows), batch.column("hash").take(rows), pa.array(units, pa.int32()), pa.array(digests, pa.binary())], ["did", "hash", "unit", "digest"])
 
@@ -73,6 +74,7 @@ def cut(texts: DataFrame, end: str) -> DataFrame:
 def without_copies(docs: DataFrame, unit: str = "line", least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_units, n_removed, spans (start and length of removed units) and the kept text of every row."""
     end = BREAKS[unit]
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("did"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
     units = written(unit_digests(texts, end, least_words), "units")
     rank = F.struct("did", "hash", "unit")
