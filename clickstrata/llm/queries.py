@@ -44,8 +44,10 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repeats.without_repeats(read_table(spark, sf_dir, "documents"), digest_only=True)
-    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+    found = repeats.without_repeats(read_table(spark, sf_dir, "documents"))
+    # cuts may fall inside a character: the digest is over the bytes, the text shows such remains as U+FFFD
+    text = F.make_valid_utf8(F.col("kept").cast("string"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), text.alias("text"))
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +57,7 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.without_copies(read_table(spark, sf_dir, "documents"))
     places = F.array_join(F.transform("spans", lambda s: F.concat_ws("+", s["start"].cast("string"), s["length"].cast("string"))), " ")
-    return found.select("doc_id", "n_units", "n_removed", places.alias("removed"), F.length("kept").cast("long").alias("n_kept_chars"), F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_units", "n_removed", places.alias("removed"), F.length("kept").cast("long").alias("n_kept_chars"), F.sha2("kept", 256).alias("kept_sha256"), F.col("kept").alias("text"))
 
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_spot_signatures, op3_quality_rules, op4_token_counts, op5_toxicity, op6_simhash, op7_bpe_round_trip, op8_repeated_substrings, op9_html_text, op10_line_dedup)}
@@ -69,6 +71,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, count(*) AS n_units, count(*) FILTER (WHERE gone) AS n_removed,
             coalesce(string_agg(start || '+' || length(line), ' ' ORDER BY no) FILTER (WHERE gone), '') AS removed,
             length(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (WHERE NOT gone), '')) AS n_kept_chars,
-            sha256(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (WHERE NOT gone), '')) AS kept_sha256
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (WHERE NOT gone), '')) AS kept_sha256,
+            coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (WHERE NOT gone), '') AS text
         FROM ranked GROUP BY doc_id""",
 }

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -70,6 +71,49 @@ def test_repeated_bytes(spark, monkeypatch, group):
     assert sorted_rows(out.selectExpr("doc_id", "n_bytes", "n_removed", "size(spans)", "kept_sha256")) == sorted(expected, key=repr)
 
 
+def _passages(seed=11):
+    """Texts with repeated passages around the threshold of 400 bytes, within and across texts, overlapping and cut by edits."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdeé ") for _ in range(rng.randint(1, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    shared = [prose(n).encode()[:size].decode("utf-8", "ignore") for n, size in ((200, 399), (200, 400), (200, 401), (300, 700), (20, 30))]
+    texts = [None, "", "x" * 399, "y" * 400, "z" * 401, "ab" * 900]
+    for _ in range(40):
+        parts = [prose(rng.randint(1, 60)) for _ in range(rng.randint(1, 4))]
+        for _ in range(rng.randint(0, 3)):
+            parts.insert(rng.randrange(len(parts) + 1), rng.choice(shared))
+        texts.append("".join(parts))
+    texts += [shared[3][50:650] + prose(20) + shared[3], texts[9], texts[10], shared[1] + "q" + shared[1]]
+    return [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("group", [2, 8192])
+def test_repeated_bytes_at_the_production_window(spark, monkeypatch, group):
+    monkeypatch.setattr(repeats, "GROUP", group)
+    rows = _passages()
+    expected = []
+    for r, gone in zip(rows, _removed([r[1] or "" for r in rows], 400, "bytes"), strict=True):
+        raw = (r[1] or "").encode()
+        kept = bytes(x for i, x in enumerate(raw) if i not in gone)
+        expected.append((r[0], len(raw), len(gone), sum(1 for i in gone if i - 1 not in gone), hashlib.sha256(kept).hexdigest()))
+    out = repeats.without_repeats(frame(spark, rows), digest_only=True)
+    assert sorted_rows(out.selectExpr("doc_id", "n_bytes", "n_removed", "size(spans)", "kept_sha256")) == sorted(expected, key=repr)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("texts_")]
+
+
+def test_radix_passes_give_the_groups_of_equal_suffixes():
+    rng = random.Random(2)
+    raw = "".join(rng.choice("ab") for _ in range(900)).encode() + b"a" * 60
+    for window in (3, 8, 13, 40):
+        windows = repeats.Windows("bytes", window)
+        starts = np.arange(len(raw) - window + 1)
+        places, group = repeats.equal_suffixes(repeats.digits_of(raw, windows), starts, np.zeros(len(starts), np.int64), windows)
+        held = Counter(raw[i : i + window] for i in starts)
+        assert sorted(places.tolist()) == [i for i in starts.tolist() if held[raw[i : i + window]] > 1]
+        kinds = [raw[i : i + window] for i in places.tolist()]
+        assert kinds == sorted(kinds) and len(set(zip(group.tolist(), kinds, strict=True))) == len(set(kinds)) == len(set(group.tolist()))
+
+
 def test_repeated_words(spark):
     rows = [r for r in corpus() if r[1] is None or len(r[1]) < 4000]
     texts = [r[1] or "" for r in rows]
@@ -221,15 +265,16 @@ def test_near_duplicates_that_share_no_band(spark, monkeypatch):
     assert sorted(r.doc_id for r in simhash.first_of_each_group(frame(spark, rows), alone).collect()) == _near(rows)
 
 
-def test_lines_keep_the_first(spark):
-    rows = corpus()
+@pytest.mark.parametrize("least", [1, 8])
+def test_lines_keep_the_first(spark, least):
+    rows = [*corpus(), (900, "a\u00a0b c\nA b\x0bc\n a B  C \n...\n...", "en", "s1", 1)]
     seen, expected = {}, []
     ranked = sorted({(r[0] if r[0] is not None else -(1 << 63), _xx(spark, r[1] or ""), r[1] or "") for r in rows})
     gone = {}
     for did, h, text in ranked:
         for k, line in enumerate(text.split("\n")):
-            words = line.lower().split()
-            if len(words) >= 8:
+            words = [w for w in re.split("[ \\t\\n\\x0b\\x0c\\r]+", line.lower()) if w]
+            if len(words) >= least:
                 gone[did, h, k] = " ".join(words) in seen
                 seen.setdefault(" ".join(words), (did, h, k))
     for r in rows:
@@ -237,14 +282,14 @@ def test_lines_keep_the_first(spark):
         lines = text.split("\n")
         drop = [k for k in range(len(lines)) if gone.get((did, h, k))]
         expected.append((r[0], len(lines), len(drop), "\n".join(x for k, x in enumerate(lines) if k not in drop)))
-    out = line_dedup.without_copies(frame(spark))
+    out = line_dedup.without_copies(frame(spark, rows), least_words=least)
     assert sorted_rows(out.select("doc_id", "n_units", "n_removed", "kept")) == sorted(expected, key=repr)
     for r in out.collect():
         source = next(x[1] for x in rows if x[0] == r.doc_id and len((x[1] or "").split("\n")) == r.n_units) if r.n_removed else ""
         for s in r.spans:
-            assert "\n" not in source[s.start : s.start + s.length] and len(source[s.start : s.start + s.length].split()) >= 8
+            assert "\n" not in source[s.start : s.start + s.length] and len(source[s.start : s.start + s.length].split()) >= least
     assert line_dedup.without_copies(frame(spark, [])).count() == 0
-    assert line_dedup.without_copies(frame(spark), unit="paragraph").count() == len(rows)
+    assert line_dedup.without_copies(frame(spark, rows), unit="paragraph").count() == len(rows)
 
 
 _hashes = {}
