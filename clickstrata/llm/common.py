@@ -91,16 +91,17 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """node, root (the least node of its component) for each node of the undirected edges (a, b).
 
     Alternating large-star and small-star steps, each written to the shared folder. A node's neighbours meet only in
-    a partially aggregated minimum and in an equi-join, which Spark splits where one node has very many.
+    a partially aggregated minimum and in an equi-join, which Spark splits where one node has very many: it can, since
+    the minima are written apart and no aggregate shares the join's exchange.
     """
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "large-star-least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = written(large, "large-star")
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        down = written(large.groupBy("u").agg(F.min("v").alias("m")), "small-star-least")
         small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         edges = written(small, "small-star")
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -7,16 +7,22 @@ to their parent, and each fingerprint of the shard follows only the edges within
 its links; stars over the forests of all shards give the components.
 
 Trees are not broadcast: their size grows with the corpus and has no bound. They are dealt to tasks instead. A shard
-over ``SHARD`` rows is dealt as several trees, each searched by every fingerprint of the shard, so no task holds more.
-
-Null texts and texts without words have fingerprint zero. Empty tables give no rows. Repeated rows share a class.
-Columns besides id and text are ignored.
+over ``SHARD`` rows is cut into parts of about so many; each part is a tree, and each part searches each tree in a task
+of its own, so that a task holds one tree and one part's queries, however large the shard is.
+
+Null texts and texts without words have fingerprint zero. Null ids are kept; a class of only null ids has a null
+component_id, and in ``first_of_each_group`` a null id ranks before all others. Ties: rows equal in id and text are one
+row to ``first_of_each_group``, and rows that share only their id rank by their text's hash. A very long text is hashed
+whole, 8,192 shingles at a time; its task holds all its shingles' hashes. Empty tables give no rows. Repeated rows
+share a class. Columns besides id and text are ignored, and returned as they are by ``first_of_each_group``.
 """
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import combinations
 
 import numpy as np
@@ -28,8 +34,10 @@ from xxhash import xxh64_intdigest
 from clickstrata.llm.common import components, written
 
 SEED = 42
-#: Tree rows that a shard's task holds.
+#: Tree rows that a shard's task holds, and queries, about.
 SHARD = 4000
+#: What ``plain`` shingles take for words: runs of letters and digits.
+WORD = re.compile(r"[^\W_]+")
 
 
 @dataclass(frozen=True)
@@ -37,7 +45,8 @@ class Links:
     """How fingerprints are compared: words in a shingle, bits, radius, blocks and how many of them a shard's key takes.
 
     Every link is found if radius <= blocks - equal; else two fingerprints meet with the probability that ``equal``
-    blocks agree. If ``once``, a shingle votes once however often the text repeats it.
+    blocks agree. If ``once``, a shingle votes once however often the text repeats it. If ``plain``, words are runs of
+    letters and digits in lower case, so that edits of punctuation and case change no shingle.
     """
 
     shingle: int = 3
@@ -46,6 +55,7 @@ class Links:
     blocks: int = 4
     equal: int = 2
     once: bool = False
+    plain: bool = False
 
     def cuts(self) -> list[tuple[int, int]]:
         """Shift and mask of each block."""
@@ -53,18 +63,20 @@ class Links:
         return [(a, (1 << (b - a)) - 1) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def shingles(text: str, size: int) -> list[bytes]:
-    """Word shingles, repeats included, of the text with A-Z in lower case; fewer words are one shingle."""
-    words = text.encode("utf-8", "replace").lower().split()
+def shingles(text: str, size: int, plain: bool = False) -> list[bytes]:
+    """Word shingles, repeats included, of the text with A-Z in lower case; fewer words are one shingle. ``plain`` words are
+    those of ``WORD``; a text without any is taken as if it were not plain."""
+    words = " ".join(WORD.findall(text.lower())).encode("utf-8", "replace").split() if plain else []
+    words = words or text.encode("utf-8", "replace").lower().split()
     if len(words) < size:
         return [b" ".join(words)] if words else []
     return list(map(b" ".join, zip(*(words[k:] for k in range(size)), strict=False)))
 
 
-def fingerprint(text: str, size: int, bits: int, once: bool = False) -> bytes:
+def fingerprint(text: str, size: int, bits: int, once: bool = False, plain: bool = False) -> bytes:
     """Big-endian; a bit is set if over half of the shingles' hashes have it. Bits beyond 64 come
     from the same hashes, mixed again."""
-    held = shingles(text, size)
+    held = shingles(text, size, plain)
     if once:
         held = list(set(held))
     if not held:
@@ -100,7 +112,7 @@ def fingerprints(docs: DataFrame, links: Links, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [fingerprint(x.as_py() or "", links.shingle, links.bits, links.once) for x in batch.column(1)]
+            made = [fingerprint(x.as_py() or "", links.shingle, links.bits, links.once, links.plain) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["doc_id", "fingerprint"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fingerprint binary")
@@ -144,7 +156,8 @@ class BKTree:
 
 
 def forest(values: list[int], trees: int, radius: int) -> list[tuple[int, int]]:
-    """Links that connect the values: the first ``trees`` are the tree, all search it. Pairs of places."""
+    """Links that connect the values: the first ``trees`` are the tree; where others follow, they search it, else the tree's
+    own values do. Pairs of places."""
     parent = list(range(len(values)))
 
     def root(x: int) -> int:
@@ -153,8 +166,9 @@ def forest(values: list[int], trees: int, radius: int) -> list[tuple[int, int]]:
         return x
 
     tree, out = BKTree(), []
+    alone = trees == len(values)
     for place, value in enumerate(values):
-        for hit in tree.within(value, radius):
+        for hit in tree.within(value, radius) if alone or place >= trees else ():
             a, b = root(hit), root(place)
             if a != b:
                 parent[b] = a
@@ -180,10 +194,11 @@ def shard_links(classes: DataFrame, links: Links) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column("node").take(pa.array(index)), batch.column("fingerprint").take(pa.array(index))], ["shard", "node", "fingerprint"])
 
     rows = classes.select("node", "fingerprint").mapInArrow(deal, "shard binary, node long, fingerprint binary")
-    sizes = rows.select("shard").groupBy("shard").count().where("count > 1").withColumn("trees", F.ceil(F.col("count") / SHARD).cast("int")).select("shard", "trees")
-    met = rows.join(sizes, "shard").withColumn("own", F.pmod(F.xxhash64("node"), F.col("trees")).cast("int"))
-    met = met.withColumn("tree", F.explode(F.sequence(F.lit(0), F.col("own"))))
-    met = met.repartition("shard", "tree").sortWithinPartitions("shard", "tree", F.desc(F.col("tree") == F.col("own")), "node")
+    sizes = written(rows.select("shard").groupBy("shard").count().where("count > 1").withColumn("parts", F.ceil(F.col("count") / SHARD).cast("int")).select("shard", "parts"), "shards")
+    met = rows.join(sizes, "shard").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    # a part is the tree of its own task and of those of the parts after it, and the queries of the trees before it
+    met = met.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"tree": F.least("own", "with"), "part": F.greatest("own", "with")})
+    met = met.repartition("shard", "tree", "part").sortWithinPartitions("shard", "tree", "part", F.desc(F.col("tree") == F.col("own")), "node")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, nodes, values, trees = None, [], [], 0
@@ -193,11 +208,11 @@ def shard_links(classes: DataFrame, links: Links) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([nodes[a] for a, _ in found], pa.int64()), pa.array([nodes[b] for _, b in found], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for shard, tree, node, print_, own in zip(*(batch.column(c).to_pylist() for c in ("shard", "tree", "node", "fingerprint", "own")), strict=True):
-                if key != (shard, tree):
+            for shard, tree, part, node, print_, own in zip(*(batch.column(c).to_pylist() for c in ("shard", "tree", "part", "node", "fingerprint", "own")), strict=True):
+                if key != (shard, tree, part):
                     if len(nodes) > 1:
                         yield linked()
-                    key, nodes, values, trees = (shard, tree), [], [], 0
+                    key, nodes, values, trees = (shard, tree, part), [], [], 0
                 nodes.append(node)
                 values.append(int.from_bytes(print_))
                 trees += own == tree
@@ -219,16 +234,24 @@ def near_duplicates(docs: DataFrame, links: Links = Links(), id_col: str = "doc_
 
 
 #: Links for near-duplicate texts: wide fingerprints of five-word shingles, a radius that reaches well past a similarity of 0.8.
-WIDE = Links(shingle=5, bits=384, radius=84, blocks=30, equal=1, once=True)
+WIDE = Links(shingle=5, bits=384, radius=84, blocks=32, equal=1, once=True, plain=True)
+#: Fingerprints that share a band by chance, about: bands widen with the corpus so that it stays so many.
+CHANCE = 16
 #: Texts of one candidate component that are compared in one task.
 COMPARED = 1500
 #: Shingles that are counted together, and the least number of parts they are dealt to.
 COUNTED, LEAST_PARTS = 2_000_000, 64
 
 
-def shingle_set(text: str, size: int) -> bytes:
-    """The sorted set of the shingles' 32-bit hashes."""
-    return np.unique(np.array([_hash(x) for x in shingles(text, size)], np.uint64).astype(np.uint32)).tobytes()
+def widened(links: Links, n: int) -> Links:
+    """links for n fingerprints: fewer and wider bands where ``n`` is so large that many would share one by chance."""
+    width = max(links.bits // links.blocks, math.ceil(math.log2(max(n, 1) / CHANCE)) if n > CHANCE else 0)
+    return replace(links, blocks=links.bits // width)
+
+
+def shingle_set(text: str, size: int, plain: bool = False) -> bytes:
+    """The sorted set of the shingles' 64-bit hashes."""
+    return np.unique(np.fromiter(map(_hash, shingles(text, size, plain)), np.uint64)).tobytes()
 
 
 def _packed(key: np.ndarray, parts: int, *columns: np.ndarray) -> Iterator[tuple]:
@@ -263,7 +286,7 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str, columns: dict[str, type
         yield joined()
 
 
-def rare_links(texts: DataFrame, shingle: int, least: float) -> DataFrame:
+def rare_links(texts: DataFrame, shingle: int, least: float, plain: bool = False) -> DataFrame:
     """Links (a, b) that connect all texts (node, text) whose shingle sets can have Jaccard similarity ``least`` or more.
 
     Prefix filter: two such sets share one of the n - ceil(least n) + 1 shingles of each that come first in any order
@@ -287,7 +310,7 @@ def rare_links(texts: DataFrame, shingle: int, least: float) -> DataFrame:
                 if node in seen:
                     continue
                 seen.add(node)
-                own = np.unique(np.fromiter(map(_hash, shingles(text.as_py(), shingle)), np.uint64))
+                own = np.unique(np.fromiter(map(_hash, shingles(text.as_py(), shingle, plain)), np.uint64))
                 if len(own):
                     nodes.append(node)
                     sets.append(own)
@@ -366,7 +389,7 @@ def similar(sets: list[np.ndarray], left: int, least: float) -> list[tuple[int,
     return out
 
 
-def verified_links(texts: DataFrame, shingle: int, least: float) -> DataFrame:
+def verified_links(texts: DataFrame, shingle: int, least: float, plain: bool = False) -> DataFrame:
     """Links (a, b) that connect texts (root: candidate component, node, text) with shingle similarity at ``least`` or more.
 
     A component of over ``COMPARED`` texts is dealt in blocks, each block with each other one, so no task holds more than two.
@@ -374,7 +397,7 @@ def verified_links(texts: DataFrame, shingle: int, least: float) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [shingle_set(x.as_py() or "", shingle) for x in batch.column("text")]
+            made = [shingle_set(x.as_py() or "", shingle, plain) for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("root"), batch.column("node"), batch.column("parts"), pa.array(made, pa.binary())], ["root", "node", "parts", "shingles"])
 
     sizes = written(texts.groupBy("root").count().select("root", F.ceil(F.col("count") / COMPARED).cast("int").alias("parts")), "component-sizes")
@@ -397,7 +420,7 @@ def verified_links(texts: DataFrame, shingle: int, least: float) -> DataFrame:
                         yield linked()
                     key, nodes, found, left = (root, i, j), [], [], 0
                 nodes.append(node)
-                found.append(np.frombuffer(raw, np.uint32))
+                found.append(np.frombuffer(raw, np.uint64))
                 left += own == i
         if len(nodes) > 1:
             yield linked()
@@ -415,17 +438,17 @@ def first_of_each_group(docs: DataFrame, links: Links = WIDE, least: float = 0.8
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [fingerprint(x.as_py(), links.shingle, links.bits, links.once) for x in batch.column("text")]
+            made = [fingerprint(x.as_py(), links.shingle, links.bits, links.once, links.plain) for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("hash"), batch.column("digest"), pa.array(made, pa.binary())], ["did", "hash", "digest", "fingerprint"])
 
     rows = texts.select("did", "hash", F.unhex(F.md5("text")).alias("digest"), "text").mapInArrow(prints, "did long, hash long, digest binary, fingerprint binary")
     classes = written(rows.groupBy("digest").agg(F.min(F.struct("did", "hash")).alias("first"), F.first("fingerprint").alias("fingerprint")).select("first.*", "digest", "fingerprint").withColumn("node", F.xxhash64("digest")), "text-classes")
     nodes = texts.select(F.xxhash64(F.unhex(F.md5("text"))).alias("node"), "text")
-    candidates = components(shard_links(classes, links).unionByName(rare_links(nodes, links.shingle, least)))
+    candidates = components(shard_links(classes, widened(links, classes.count())).unionByName(rare_links(nodes, links.shingle, least, links.plain)))
     near = written(classes.join(candidates, "node").select("did", "hash", "node", "root"), "candidates")
     # rows that share id and text are equal: one of them speaks for all
     moved = written(texts.join(near, ["did", "hash"]).dropDuplicates(["node"]).select("root", "node", "text"), "candidate-texts")
-    groups = components(verified_links(moved, links.shingle, least))
+    groups = components(verified_links(moved, links.shingle, least, links.plain))
     stay = classes.select("did", "hash", "node").join(groups, "node", "left").groupBy(F.coalesce("root", "node").alias("group")).agg(F.min(F.struct("did", "hash")).alias("first"))
     stay = stay.select(F.col("first.did").alias("__did"), F.col("first.hash").alias("__hash"))
     return keyed.join(stay, ["__did", "__hash"]).dropDuplicates(["__did", "__hash"]).select(*[F.col(c) for c in docs.columns])
