@@ -1,13 +1,19 @@
 """Quality rules: base statistics of a text, and robust multivariate outliers per language and source.
 
-Method: each text's statistics are transformed to a vector. For each language and source a minimum-covariance-
-determinant estimate is found by concentration: from medians and median deviations on, the share ``COVERAGE`` of rows
-with the least Mahalanobis distance gives the next mean and covariance. Rows beyond the chi-square ``CUTOFF`` are
-rejected. DataFrame functions only; each step is one partially aggregated pass over the narrow statistics.
-
-Null texts have no words and fail the base rule. Null languages and sources count as empty strings. A group of fewer
-than ``LEAST_ROWS`` rows is judged by the estimate over all rows. Empty tables give no rows. Repeated rows are judged
-each. Other columns are ignored.
+Method: each text's statistics are transformed to a vector. For each language and source the minimum-covariance-
+determinant estimate is sought: the mean and covariance of those rows, a share ``COVERAGE`` of the group, whose
+covariance has the least determinant. Several starts (medians, all rows, spatial signs, the core of the scaled rows,
+random subsets) each take ``TRIAL_STEPS`` concentration steps: the rows with the least Mahalanobis distances give the
+next mean and covariance. The start with the least determinant goes on until its determinant falls no more. Rows beyond
+the chi-square ``CUTOFF`` are rejected. DataFrame functions only; each step is two partially aggregated passes over the
+narrow statistics. The rows of a core are counted by approximate percentiles (exact in groups of up to ``ACCURACY``
+rows), and a covariance is regularised by ``FLOORS``.
+
+Null texts have no words and fail the base rule. Null languages and sources count as empty strings; null ids are kept. A
+group of fewer than ``LEAST_ROWS`` rows that pass the base rule, ten for each dimension, is judged by the estimate over
+all rows. Tied distances lie in the core together. Empty tables give no rows. Repeated rows are judged each. A very long
+text is one row: its words and their window hashes, some 30 bytes a word, are in one task's memory at once. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,8 +28,12 @@ from clickstrata.llm.common import BLANKS, let, written
 SYMBOLS = "[#*$%&|<>]"
 #: Words of a repeated window, fewest words, and the largest share of repeated words in per cent.
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
-#: Share of rows that shape the estimate, rows below which a group has no estimate of its own, steps, accepted probability.
-COVERAGE, LEAST_ROWS, STEPS, ACCEPTED = 0.6, 100, 4, 0.9999
+#: Share of rows that shape the estimate, rows below which a group has no estimate of its own, accepted probability.
+COVERAGE, LEAST_ROWS, ACCEPTED = 0.6, 60, 0.9999
+#: Steps of each start, steps at most, the fall of the determinant's logarithm that ends them, rows that percentiles count exactly.
+TRIAL_STEPS, MOST_STEPS, TOLERANCE, ACCURACY = 2, 40, 1e-6, 1000
+#: Random starts, and rows of each, about.
+RANDOM_STARTS, SUBSET = 4, 12
 #: Groups whose estimates (some 300 bytes each) are broadcast, and salts of the keys beyond that.
 BROADCAST_GROUPS, SALTS = 20_000, 64
 #: The vector, and the standard deviation that is added to each part: shares are zero in most texts, where a
@@ -33,8 +43,7 @@ VECTOR = tuple(FLOORS)
 
 
 def split_words(text: Column) -> Column:
-    trimmed = F.regexp_replace(text, f"^[{BLANKS}]+|[{BLANKS}]+$", "")
-    return F.when(F.length(trimmed) == 0, F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{BLANKS}]+"))
+    return F.filter(F.split(text, f"[{BLANKS}]+"), lambda w: w != "")
 
 
 def _pairs(items: Column, gap: int, join) -> Column:
@@ -122,8 +131,12 @@ def chi_square_quantile(p: float, k: int) -> float:
     return (low + high) / 2
 
 
-def _whitening(moments: DataFrame) -> DataFrame:
-    """From means m_x and covariances c_x_y (y up to x) the rows of the inverse Cholesky factor, i_x_y."""
+GROUP = ["g_lang", "g_source"]
+
+
+def _whitening(moments: DataFrame, keys: list[str]) -> DataFrame:
+    """From means m_x and covariances c_x_y (y up to x) the rows of the inverse Cholesky factor, i_x_y, and ``log_det``, the
+    logarithm of the covariance's determinant."""
     names = VECTOR
     held = moments
     for j, b in enumerate(names):
@@ -132,7 +145,8 @@ def _whitening(moments: DataFrame) -> DataFrame:
     for i, a in enumerate(names):
         held = held.withColumn(f"i_{a}_{a}", 1 / F.col(f"l_{a}_{a}"))
         held = held.withColumns({f"i_{a}_{b}": -sum((F.col(f"l_{a}_{x}") * F.col(f"i_{x}_{b}") for x in names[j:i]), F.lit(0.0)) / F.col(f"l_{a}_{a}") for j, b in enumerate(names[:i])})
-    return held.select("g_lang", "g_source", *[f"m_{a}" for a in names], *[f"i_{a}_{b}" for i, a in enumerate(names) for b in names[: i + 1]])
+    log_det = sum((2 * F.ln(F.col(f"l_{a}_{a}")) for a in names), F.lit(0.0))
+    return held.select(*keys, *[f"m_{a}" for a in names], *[f"i_{a}_{b}" for i, a in enumerate(names) for b in names[: i + 1]], log_det.alias("log_det"))
 
 
 def _distance() -> Column:
@@ -140,40 +154,83 @@ def _distance() -> Column:
     return sum((sum((F.col(f"i_{a}_{b}") * (F.col(b) - F.col(f"m_{b}")) for b in VECTOR[: i + 1]), F.lit(0.0)) ** 2 for i, a in enumerate(VECTOR)), F.lit(0.0))
 
 
-def _joined(rows: DataFrame, groups: DataFrame, n_groups: int, how: str = "inner") -> DataFrame:
+def _joined(rows: DataFrame, groups: DataFrame, n_groups: int, how: str = "inner", keys: list[str] = GROUP) -> DataFrame:  # noqa: B006
     """rows with their group's columns: the groups are broadcast while they are few, else dealt to salted keys, so that a
     group of a third of all rows is no task's alone."""
-    keys = ["g_lang", "g_source"]
     if n_groups <= BROADCAST_GROUPS:
         return rows.join(F.broadcast(groups), keys, how)
     salted = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).join(salted, [*keys, "__salt"], how).drop("__salt")
 
 
+def _covariances(scale: float) -> list[Column]:
+    """Aggregates: means, and covariances times ``scale``, regularised."""
+    return [*[F.avg(x).alias(f"m_{x}") for x in VECTOR], *[(F.covar_pop(a, b) * scale + F.lit(FLOORS[a] ** 2 if a == b else 0.0)).alias(f"c_{a}_{b}") for i, a in enumerate(VECTOR) for b in VECTOR[: i + 1]]]
+
+
+def starts(sample: DataFrame, n_groups: int) -> DataFrame:
+    """Each group's first estimates: GROUP, start, and what ``_whitening`` gives."""
+    middle = written(sample.groupBy(*GROUP).agg(*[F.percentile_approx(x, 0.5, ACCURACY).alias(f"m_{x}") for x in VECTOR], F.count("*").alias("n")), "medians")
+    spread = written(_joined(sample, middle, n_groups).groupBy(*GROUP).agg(*[F.first(c).alias(c) for c in middle.columns[2:]], *[F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{x}")), 0.5, ACCURACY).alias(f"d_{x}") for x in VECTOR]), "spreads")
+    scale = {x: F.sqrt((F.col(f"d_{x}") * 1.4826) ** 2 + FLOORS[x] ** 2) for x in VECTOR}
+    spread = spread.withColumns({f"s_{x}": scale[x] for x in VECTOR})
+    norm = sum((((F.col(x) - F.col(f"m_{x}")) / F.col(f"s_{x}")) ** 2 for x in VECTOR), F.lit(0.0))
+    scaled = _joined(sample, spread, n_groups).withColumn("norm", norm)
+    inner = written(scaled.groupBy(*GROUP).agg(F.percentile_approx("norm", 0.5, ACCURACY).alias("inner")), "norms")
+    drawn = lambda k: F.pmod(F.xxhash64(F.lit(k), *VECTOR), F.lit(1 << 30)) * F.col("n") < SUBSET * (1 << 30)
+    chosen = F.array(F.lit("all"), F.when(F.col("norm") <= F.col("inner"), "core"), *[F.when(drawn(k), f"random {k}") for k in range(RANDOM_STARTS)])
+    subsets = _joined(scaled, inner, n_groups).select(*GROUP, *VECTOR, F.explode(F.array_compact(chosen)).alias("start")).groupBy(*GROUP, "start").agg(*_covariances(1.0))
+    # the diagonal of the medians' deviations, and the covariance of the scaled rows' directions, in the scale of the rows
+    unit = {x: F.coalesce(F.try_divide(F.col(x) - F.col(f"m_{x}"), F.col(f"s_{x}") * F.sqrt("norm")), F.lit(0.0)) for x in VECTOR}
+    turned = scaled.groupBy(*GROUP).agg(*[F.first(f"{k}_{x}").alias(f"{k}_{x}") for x in VECTOR for k in "ms"], *[F.avg(unit[a] * unit[b]).alias(f"u_{a}_{b}") for i, a in enumerate(VECTOR) for b in VECTOR[: i + 1]])
+    turned = written(turned, "directions")
+    pairs = [(a, b) for i, a in enumerate(VECTOR) for b in VECTOR[: i + 1]]
+    centre = [*GROUP, *[f"m_{x}" for x in VECTOR]]
+    medians = turned.select(*centre, *[(F.col(f"s_{a}") ** 2 if a == b else F.lit(0.0)).alias(f"c_{a}_{b}") for a, b in pairs], F.lit("medians").alias("start"))
+    signs = turned.select(*centre, *[(len(VECTOR) * F.col(f"s_{a}") * F.col(f"s_{b}") * F.col(f"u_{a}_{b}") + F.lit(FLOORS[a] ** 2 if a == b else 0.0)).alias(f"c_{a}_{b}") for a, b in pairs], F.lit("signs").alias("start"))
+    return written(_whitening(subsets.unionByName(medians).unionByName(signs), [*GROUP, "start"]), "starts")
+
+
+def concentrated(sample: DataFrame, estimate: DataFrame, n_groups: int, keys: list[str]) -> DataFrame:
+    """The next estimate by each of ``keys``: of the rows, a share ``COVERAGE``, with the least distances."""
+    p = len(VECTOR)
+    consistent = COVERAGE / chi_square(chi_square_quantile(COVERAGE, p), p + 2)
+    far = _joined(sample, estimate, n_groups).select(*keys, *VECTOR, _distance().alias("distance"))
+    edge = written(far.groupBy(*keys).agg(F.percentile_approx("distance", COVERAGE, ACCURACY).alias("edge")), "edges-of-cores")
+    core = _joined(far, edge, n_groups, keys=keys).where("distance <= edge")
+    return written(_whitening(core.groupBy(*keys).agg(*_covariances(consistent)), keys), "estimate")
+
+
+def least_determinant(sample: DataFrame, n_groups: int) -> DataFrame:
+    """The estimate (GROUP, m_x, i_x_y, log_det) of each group of sample (GROUP and VECTOR): the best start, to its end."""
+    trial = starts(sample, n_groups)
+    n_starts = RANDOM_STARTS + 4
+    for _ in range(TRIAL_STEPS):
+        trial = concentrated(sample, trial, n_groups * n_starts, [*GROUP, "start"])
+    columns = [c for c in trial.columns if c not in (*GROUP, "start")]
+    least = lambda df: df.groupBy(*GROUP).agg(F.min_by(F.struct(*columns), F.struct("log_det", *columns)).alias("e")).select(*GROUP, "e.*")
+    best = written(least(trial), "best-start")
+    for _ in range(MOST_STEPS):
+        after = concentrated(sample, best, n_groups, GROUP)
+        fall = best.select(*GROUP, F.col("log_det").alias("before")).join(after, GROUP).agg(F.max(F.col("before") - F.col("log_det"))).first()[0]
+        best = written(least(best.unionByName(after)), "best")
+        if fall is None or fall <= TOLERANCE:
+            break
+    return best
+
+
 def judged(stats: DataFrame) -> DataFrame:
     """stats with ``distance`` (squared Mahalanobis, null where no estimate exists) and ``kept``."""
-    keys = ["g_lang", "g_source"]
-    counts = stats.where(~F.col("base_failed")).groupBy(*keys).agg(F.count("*").alias("__n"))
-    large = written(counts.where(F.col("__n") >= LEAST_ROWS).select(*keys, F.lit(True).alias("__own")), "groups")
+    counts = stats.where(~F.col("base_failed")).groupBy(*GROUP).agg(F.count("*").alias("__n"))
+    large = written(counts.where(F.col("__n") >= LEAST_ROWS).select(*GROUP, F.lit(True).alias("__own")), "groups")
     n_groups = large.count() + 1
-    own = _joined(stats, large, n_groups, "left").withColumns({k: F.when(F.col("__own"), F.col(k)).otherwise("*") for k in keys}).drop("__own")
+    own = _joined(stats, large, n_groups, "left").withColumns({k: F.when(F.col("__own"), F.col(k)).otherwise("*") for k in GROUP}).drop("__own")
     table = written(own, "vectors")
     sound = table.where(~F.col("base_failed"))
     # the group "*" stands for all rows
-    sample = sound.select(*keys, *VECTOR).where("g_lang <> '*'").unionByName(sound.select(F.lit("*").alias("g_lang"), F.lit("*").alias("g_source"), *VECTOR))
-    middle = written(sample.groupBy(*keys).agg(*[F.percentile_approx(x, 0.5, 1000).alias(f"m_{x}") for x in VECTOR]), "medians")
-    spread = _joined(sample, middle, n_groups).groupBy(*keys).agg(*[F.first(f"m_{x}").alias(f"m_{x}") for x in VECTOR], *[F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{x}")), 0.5, 1000).alias(f"d_{x}") for x in VECTOR])
-    diagonal = {f"c_{a}_{b}": (F.col(f"d_{a}") * 1.4826) ** 2 + FLOORS[a] ** 2 if a == b else F.lit(0.0) for i, a in enumerate(VECTOR) for b in VECTOR[: i + 1]}
-    estimate = written(_whitening(spread.withColumns(diagonal)), "estimate")
-    p = len(VECTOR)
-    consistent = COVERAGE / chi_square(chi_square_quantile(COVERAGE, p), p + 2)
-    for _ in range(STEPS):
-        far = _joined(sample, estimate, n_groups).select(*keys, *VECTOR, _distance().alias("distance"))
-        edge = written(far.groupBy(*keys).agg(F.percentile_approx("distance", COVERAGE, 1000).alias("edge")), "edges-of-cores")
-        core = _joined(far, edge, n_groups).where("distance <= edge")
-        moments = core.groupBy(*keys).agg(*[F.avg(x).alias(f"m_{x}") for x in VECTOR], *[(F.covar_pop(a, b) * consistent + F.lit(FLOORS[a] ** 2 if a == b else 0.0)).alias(f"c_{a}_{b}") for i, a in enumerate(VECTOR) for b in VECTOR[: i + 1]])
-        estimate = written(_whitening(moments), "estimate")
-    cut = chi_square_quantile(ACCEPTED, p)
+    sample = sound.select(*GROUP, *VECTOR).where("g_lang <> '*'").unionByName(sound.select(F.lit("*").alias("g_lang"), F.lit("*").alias("g_source"), *VECTOR))
+    estimate = least_determinant(sample, n_groups)
+    cut = chi_square_quantile(ACCEPTED, len(VECTOR))
     return _joined(table, estimate, n_groups, "left").withColumn("distance", _distance()).withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cut))
 
 
