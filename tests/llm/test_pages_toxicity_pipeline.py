@@ -24,15 +24,60 @@ from .helpers import SCHEMA, corpus, frame, sorted_rows
         ("<article><p>one<p>two<ul><li>three<li>four</ul></article>", "one\n\ntwo\n\nthree\n\nfour"),
         ("<article><p>open <b>never closed", "open never closed"),
         ("<div class='site-header'>logo</div><div id='content'><div class='post-header'>title</div><p>x</p></div><div>after</div>", "title\n\nx"),
+        ("<article><p>a <span class='ad'>buy <span>now</span> here</span> b</p><p>c</p></article>", "a b\n\nc"),
+        ("<article><p>a</p><p title='x > y'>b</p><!-- --><p>c <!----> d</p></article>", "a\n\nb\n\nc d"),
+        ("<article><p>a</p><a href=\"x>text", "a"),
+        ("<article><p>a</p></ p><?php x ?><p>b<p class=''>c", "a\n\nb\n\nc"),
         ("<div class=\"post-body\">x</div><article class='comment'>reader</article><div class='cookie-notice'>we</div>", "x"),
     ],
 )
 def test_blocks(html, text):
     found = html_text.blocks(html or "")
-    main = [x for x, m in found if m] or [x for x, _ in found]
+    main = [x for x, m in found if m == html_text.MAIN_LINE] or [x for x, m in found if m == html_text.OTHER]
     assert "\n\n".join(main) == text
 
 
+@pytest.mark.parametrize("piece", ["<a href=\"", "<a href='", "<", "<!--", "</", "<p", "<p =", "<div>", "</div>", "<div></p>", "<span class=ad>", "<script>", "&", "\"'>", "<a b "])
+def test_broken_markup_takes_linear_time(piece):
+    import time
+
+    began = time.process_time()
+    html_text.blocks("<article><p>x</p>" + piece * 100_000)
+    assert time.process_time() - began < 3
+
+
+def test_lines_of_the_site_go_from_articles_and_quotations_stay(spark):
+    quoted = "As the old saying goes."
+    page = lambda k: f"<nav>menu {k % 3}</nav><article><p>own {k} first</p><p>Read our terms before you go on.</p><p>own {k} last</p>{f'<p>{quoted}</p>' if k in (3, 4, 5) else ''}</article><div class=ad>buy {k}</div><footer>site</footer>"
+    rows = [(k, f"http://h.org/a/{k:02d}", page(k)) for k in range(12)]
+    out = {r.page_id: r for r in html_text.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for k in range(12):
+        assert out[k].text == f"own {k} first\n\nown {k} last" + (f"\n\n{quoted}" if k in (3, 4, 5) else "")
+        assert out[k].n_chars == len(out[k].text) and out[k].n_shared >= 2
+
+
+def test_differencing_alone_finds_the_frame_of_whole_tables(spark):
+    """Pages of the table, their tags taken away, in frames of their hosts' own: what is left are the lines that no neighbour has."""
+    import os
+    import re
+
+    sf = "/root/testdata/sf0.01"
+    if not os.path.exists(sf):
+        pytest.skip("no tables")
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    rows, own = [], {}
+    for p in pages:
+        host = re.search("//([^/?#]*)", p.url)[1].removeprefix("www.")
+        lines = [x for x, kind in html_text.blocks(p.html) if kind == html_text.MAIN_LINE]
+        own[p.page_id] = lines
+        frame = [f"{host} menu {k}" for k in range(4)], [f"{host} foot {k}" for k in range(3)]
+        rows.append((p.page_id, p.url, "".join(f"<div>{x.replace('&', '&amp;').replace('<', '&lt;')}</div>" for x in [*frame[0], *lines, *frame[1]])))
+    out = html_text.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    framed = sum(" menu " in r.text or " foot " in r.text for r in out)
+    exact = sum(r.text == "\n\n".join(own[r.page_id]) for r in out)
+    assert framed <= 0.1 * len(out) and exact >= 0.8 * len(out), (framed, exact, len(out))
+
+
 def test_common_lines_is_longest():
     rng = random.Random(0)
     for _ in range(300):
