@@ -50,7 +50,7 @@ def labelled(bronze: DataFrame, profile: Profile, floor: str | None = None, now:
 def valid_events(rows: DataFrame, profile: Profile) -> DataFrame:
     """Labelled rows without reasons, as silver events (not yet de-duplicated)."""
     held = rows.where("reject_reasons = ''").withColumns({"event_date": F.to_date("event_ts"), "price": money(F.col("price"))})
-    if profile is STOREFRONT:
+    if profile.name == STOREFRONT.name:
         held = held.withColumn("order_value", money(F.col("order_value")))
     else:
         kind = F.col("event_type")

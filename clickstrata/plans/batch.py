@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,11 +21,16 @@ def upserted(existing: DataFrame, arrived: DataFrame) -> DataFrame:
     return keep_first(existing.unionByName(arrived))
 
 
-def refresh_silver(spark: SparkSession, lake: Lake, profile: Profile = STOREFRONT, low: dt.date | None = None, high: dt.date | None = None, everything: bool = False, now: dt.datetime | None = None) -> dict[str, int]:
+#: Days around those that arrive in which copies of an id are looked for.
+LOOKBACK_DAYS = 7
+
+
+def refresh_silver(spark: SparkSession, lake: Lake, profile: Profile = STOREFRONT, low: dt.date | None = None, high: dt.date | None = None, everything: bool = False, now: dt.datetime | None = None, lookback_days: int | None = LOOKBACK_DAYS) -> dict[str, int]:
     """Rebuild the event days that the bronze days touch, and the quarantine of those bronze days.
 
-    Copies of an id on other event days of silver also count: the ids that arrive are looked up in all of silver, so an
-    id stays once even if its copies carry different times.
+    The ids that arrive are looked up in the days of silver around theirs, ``lookback_days`` to either side (None: in all),
+    so an id stays once even if its copies carry different days of that span; each day that loses a copy is rebuilt too. The
+    span bounds what is read of silver: whole partitions elsewhere, and of those within only the ids, are left alone.
     """
     bronze = read(spark, lake.table(profile.raw.name), profile.raw)
     if not everything:
@@ -35,14 +41,18 @@ def refresh_silver(spark: SparkSession, lake: Lake, profile: Profile = STOREFRON
         arrived = valid_events(rows, profile)
         silver = read(spark, lake.table(profile.events.name), profile.events)
         days = [r[0] for r in arrived.select("event_date").distinct().collect()]  # one row for each day
-        copies = silver.where(~F.col("event_date").isin(days)).join(arrived.select("event_id").distinct(), "event_id", "left_semi") if days else silver.limit(0)
-        merged = upserted(silver.where(F.col("event_date").isin(days)).unionByName(copies), arrived).where(F.col("event_date").isin(days)) if days else arrived
-        # the table that is read is also written: its rows are fixed in the shared checkpoint folder first
-        fixed = merged.checkpoint() if spark.sparkContext.getCheckpointDir() else merged.persist()
-        n_events = fixed.count()
+        n_events = 0
         if days:
-            overwrite_partitions(fixed, lake.table(profile.events.name), profile.events, days)
-        bad = rejects(rows, profile).persist()
+            near = silver
+            if lookback_days is not None:
+                span = dt.timedelta(days=lookback_days)
+                near = silver.where(F.col("event_date").between(F.lit(min(days) - span), F.lit(max(days) + span)))
+            others = near.where(~F.col("event_date").isin(days)).select("event_id", "event_date")
+            days += [r[0] for r in others.join(arrived.select("event_id").distinct(), "event_id", "left_semi").select("event_date").distinct().collect()]
+            merged = upserted(silver.where(F.col("event_date").isin(days)), arrived)
+            overwrite_partitions(merged, lake.table(profile.events.name), profile.events, days)
+            n_events = read(spark, lake.table(profile.events.name), profile.events).where(F.col("event_date").isin(days)).count()
+        bad = rejects(rows, profile)
         n_bad = bad.count()
         bronze_days = [r[0] for r in bronze.select("ingest_date").distinct().collect()]
         if bronze_days:
@@ -60,7 +70,7 @@ def build_gold(spark: SparkSession, lake: Lake, profile: Profile, low: dt.date,
     """Sessions and marts of the days from low to high, written by partition; days without rows are cleared."""
     events = read(spark, lake.table(profile.events.name), profile.events)
     near = sessions.event_window(events, low, high)
-    marketplace = profile is MARKETPLACE
+    marketplace = profile.name == MARKETPLACE.name
     tables = (schemas.MARKETPLACE_SESSIONS, schemas.MARKETPLACE_FUNNEL) if marketplace else (schemas.STOREFRONT_SESSIONS, schemas.STOREFRONT_FUNNEL)
     made = sessions.starting_in((sessions.marketplace_sessions if marketplace else sessions.storefront_sessions)(near, gap_seconds), low, high)
     days = days_between(low, high)
@@ -86,9 +96,17 @@ def check_day(spark: SparkSession, lake: Lake, stage: str, day: dt.date, min_row
     return checks.gold_checks(events, of(schemas.MARKETPLACE_CATEGORIES), of(schemas.MARKETPLACE_FUNNEL))
 
 
-def register(spark: SparkSession, lake: Lake) -> None:
-    """Create databases and external tables over the lake's folders and pick up partitions written by path."""
+def register(spark: SparkSession, lake: Lake, prefix: str = "") -> None:
+    """Create databases, their names after the prefix, and external tables over the lake's folders, and pick up partitions
+    written by path."""
     for table in schemas.TABLES.values():
         make_folder(spark, lake.table(table.name))
-        table.create(spark, lake.table(table.name))
-        spark.sql(f"MSCK REPAIR TABLE {table.name}")
+        named = replace(table, name=f"{prefix}{table.name}")
+        named.create(spark, lake.table(table.name))
+        spark.sql(f"MSCK REPAIR TABLE {named.name}")
+
+
+def unregister(spark: SparkSession, prefix: str = "") -> None:
+    """Drop the databases of ``register``; the folders stay."""
+    for layer in {name.split(".")[0] for name in schemas.TABLES}:
+        spark.sql(f"DROP DATABASE IF EXISTS {prefix}{layer} CASCADE")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -13,10 +12,13 @@ from clickstrata.schemas import Table
 
 
 def read(spark: SparkSession, path: str, table: Table) -> DataFrame:
-    """A table by path with its declared schema; empty where nothing has been written."""
-    with contextlib.suppress(AnalysisException):
+    """A table by path with its declared schema; empty where nothing has been written, and only there."""
+    try:
         return spark.read.schema(table.struct).format(table.format).load(path).select(*table.fields)
-    return spark.createDataFrame([], table.struct)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], table.struct)
 
 
 def _store(spark: SparkSession, path: str):
@@ -37,17 +39,29 @@ def make_folder(spark: SparkSession, path: str) -> None:
     fs.mkdirs(to_path(path))
 
 
-def overwrite_partitions(df: DataFrame, path: str, table: Table, days: list | None = None) -> None:
-    """Replace the partitions in df; with ``days`` also clear those of the days that df has no rows for."""
+def overwrite_partitions(df: DataFrame, path: str, table: Table, days: list | None = None) -> list[str]:
+    """Replace the partitions in df; with ``days`` also clear those of the days that df has no rows for.
+
+    Rows are computed once, into a staging folder; only then each partition's folder is replaced by renaming. So df may
+    read the table itself, and a run that fails before the renames changes nothing. Where a store renames by copying, the
+    exchange takes as long as the copies. Gives the names of the replaced partitions.
+    """
     spark = df.sparkSession
-    rows = df.select(*table.fields)
-    rows.write.mode("overwrite").format(table.format).option("partitionOverwriteMode", "dynamic").partitionBy(table.partition).save(path)
-    if days:
-        left = {r[0] for r in read(spark, path, table).where(F.col(table.partition).isin(days)).select(table.partition).distinct().collect()}
-        if left:
-            made = {r[0] for r in rows.select(table.partition).distinct().collect()}
-            for day in left - made:
-                _remove(spark, f"{path}/{table.partition}={day}")
+    staged = f"{path}/_staging/{uuid.uuid4().hex}"
+    df.select(*table.fields).write.format(table.format).partitionBy(table.partition).save(staged)
+    fs, to_path = _store(spark, path)
+    made = [s.getPath().getName() for s in fs.globStatus(to_path(f"{staged}/{table.partition}=*")) or []]
+    for name in made:
+        target = to_path(f"{path}/{name}")
+        if fs.exists(target):
+            fs.delete(target, True)
+        if not fs.rename(to_path(f"{staged}/{name}"), target):
+            raise OSError(f"{staged}/{name} could not be moved")
+    for day in days or []:
+        if f"{table.partition}={day}" not in made:
+            _remove(spark, f"{path}/{table.partition}={day}")
+    fs.delete(to_path(staged), True)
+    return made
 
 
 def append_batch(df: DataFrame, path: str, table: Table, batch_id: int, query: str) -> int:
@@ -79,11 +93,7 @@ def append_batch(df: DataFrame, path: str, table: Table, batch_id: int, query: s
 
 def compact(spark: SparkSession, path: str, table: Table, day, files: int = 1) -> None:
     """Rewrite one partition as few files."""
-    rows = read(spark, path, table).where(F.col(table.partition) == F.lit(day))
-    staged = f"{path}/../_compact_{table.name.replace('.', '_')}_{day}"
-    rows.repartition(files).write.mode("overwrite").format(table.format).save(staged)
-    spark.read.schema(table.struct).format(table.format).load(staged).select(*table.fields).write.mode("overwrite").format(table.format).option("partitionOverwriteMode", "dynamic").partitionBy(table.partition).save(path)
-    _remove(spark, staged)
+    overwrite_partitions(read(spark, path, table).where(F.col(table.partition) == F.lit(day)).repartition(files), path, table)
 
 
 def land(payloads: DataFrame, path: str) -> None:
@@ -99,3 +109,34 @@ def kafka_options(bootstrap: str, topic: str) -> dict[str, str]:
 def to_kafka(events: DataFrame, bootstrap: str, topic: str) -> None:
     """Rows (user_id, payload), keyed by user so that each user's order holds."""
     events.select(F.col("user_id").cast("string").alias("key"), F.col("payload").alias("value")).write.format("kafka").options(**kafka_options(bootstrap, topic)).save()
+
+
+class KafkaProducer:
+    """Sends one record after the other through the client library, with the options of ``kafka_options``.
+
+    Without ``producer`` the library is imported when it is needed: the engine itself does without it.
+    """
+
+    def __init__(self, bootstrap: str, topic: str, producer=None):
+        if producer is None:
+            from confluent_kafka import Producer
+
+            producer = Producer({"bootstrap.servers": bootstrap, "enable.idempotence": True, "acks": "all", "compression.type": "lz4", "linger.ms": 20})
+        self.producer, self.topic, self.failed = producer, topic, 0
+
+    def _delivered(self, error, _message) -> None:
+        self.failed += error is not None
+
+    def send(self, key: str | None, payload: str) -> None:
+        """Keyed by user, so that each user's order holds; waits where the client's queue is full."""
+        while True:
+            try:
+                self.producer.produce(self.topic, value=payload.encode(), key=None if key is None else key.encode(), on_delivery=self._delivered)
+                break
+            except BufferError:
+                self.producer.poll(0.5)
+        self.producer.poll(0)
+
+    def close(self, seconds: float = 60) -> int:
+        """Records that failed or were not acknowledged in time."""
+        return self.producer.flush(seconds) + self.failed

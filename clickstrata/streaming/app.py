@@ -67,7 +67,6 @@ def silver_stream(rows: DataFrame, profile: Profile, watermark: str) -> DataFram
 
 def silver_query(spark: SparkSession, lake: Lake, profile: Profile, options: Options, serving: Serving | None = None) -> StreamingQuery:
     """Valid events; with a serving store also the live minutes of each batch, whose failure never stops the stream."""
-    spark.conf.set("spark.sql.shuffle.partitions", options.state_partitions)
     path, name = lake.table(profile.events.name), f"silver_{profile.name}"
     checkpoint = lake.checkpoint(name)
 
@@ -86,7 +85,13 @@ def silver_query(spark: SparkSession, lake: Lake, profile: Profile, options: Opt
             df.unpersist()
 
     writer = silver_stream(_checked(spark, lake, profile, options), profile, options.watermark).writeStream.queryName(name).option("checkpointLocation", checkpoint)
-    return _triggered(writer.foreachBatch(write), options.silver_trigger_seconds).start()
+    # a query takes the session's settings as they are when it starts: only its own state is dealt to so many partitions
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", options.state_partitions)
+    try:
+        return _triggered(writer.foreachBatch(write), options.silver_trigger_seconds).start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def quarantine_query(spark: SparkSession, lake: Lake, profile: Profile, options: Options) -> StreamingQuery:
