@@ -7,15 +7,17 @@ import datetime as dt
 import json
 import os
 import sys
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from clickstrata import schemas
 from clickstrata.operators import checks
-from clickstrata.operators.refine import PROFILES
+from clickstrata.operators.refine import PROFILES, Profile
 from clickstrata.plans import batch, flow, replay, sqlbook, synth
 from clickstrata.plans.serving import Serving, publish
 from clickstrata.session import Lake, get_spark
-from clickstrata.sources.sinks import kafka_options, land, to_kafka
+from clickstrata.sources.sinks import KafkaProducer, kafka_options, land, read, to_kafka
 from clickstrata.sources.streams import KafkaSource, TextSource, csv_events
 from clickstrata.streaming import app
 
@@ -33,7 +35,25 @@ def _source(p: argparse.ArgumentParser, topic: str, offsets: int, files: int) ->
 
 
 def _serving(p: argparse.ArgumentParser) -> None:
-    p.add_argument("--serving", default=os.environ.get("SERVING_DB", "serving.db"), help="path of the serving store")
+    p.add_argument("--serving", default=os.environ.get("SERVING_DB", "serving.db"), help="path of the serving store, where no --pg-host is given")
+    for name in ("host", "db", "user", "password"):
+        p.add_argument(f"--pg-{name}", default=os.environ.get(f"SERVING_PG_{name.upper()}"))
+
+
+def _store(a: argparse.Namespace) -> Serving:
+    return Serving.postgres(a.pg_host, a.pg_db or "serving", a.pg_user, a.pg_password) if a.pg_host else Serving.sqlite(a.serving)
+
+
+def _tables(p: argparse.ArgumentParser, *kinds: str) -> None:
+    """Names (layer.table) that take the place of the profile's."""
+    for kind in kinds:
+        p.add_argument(f"--{kind}", dest={"table": "bronze_table"}.get(kind, kind.replace("-", "_")))
+
+
+def renamed(profile: Profile, a: argparse.Namespace) -> Profile:
+    """The profile with the tables that the arguments name."""
+    names = {"raw": "bronze_table", "events": "silver_table", "quarantine": "quarantine_table"}
+    return replace(profile, **{field: replace(getattr(profile, field), name=found) for field, arg in names.items() if (found := getattr(a, arg, None))})
 
 
 def _silver(p: argparse.ArgumentParser) -> None:
@@ -52,16 +72,19 @@ def parser() -> argparse.ArgumentParser:
     _source(p, "clickstream.raw", 5_000_000, 200)
     p = sub.add_parser("stream-bronze")
     _source(p, "events.raw", 500_000, 100)
+    _tables(p, "table")
     p.add_argument("--trigger-seconds", type=int, default=10)
     p.add_argument("--run-seconds", type=int, default=0)
     p = sub.add_parser("stream-silver")
     _silver(p)
+    _tables(p, "bronze-table", "silver-table", "quarantine-table")
     p.add_argument("--trigger-seconds", type=int, default=30)
     p.add_argument("--run-seconds", type=int, default=0)
     p = sub.add_parser("stream", help="bronze, silver, quarantine and live minutes in one application")
     _source(p, "events.raw", 200_000, 100)
     _silver(p)
     _serving(p)
+    _tables(p, "bronze-table", "silver-table", "quarantine-table")
     p.add_argument("--bronze-trigger-seconds", type=int, default=10)
     p.add_argument("--silver-trigger-seconds", type=int, default=30)
     p.add_argument("--no-live", action="store_true")
@@ -70,7 +93,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--ingest-from", type=day)
     p.add_argument("--ingest-to", type=day)
     p.add_argument("--all", action="store_true")
+    p.add_argument("--lookback-days", type=int, default=batch.LOOKBACK_DAYS, help="days around the arriving ones in which copies of an id are looked for")
     p = sub.add_parser("gold")
+    _tables(p, "silver-table")
     p.add_argument("--from-date", type=day, required=True)
     p.add_argument("--to-date", type=day, required=True)
     p.add_argument("--gap-seconds", type=int, default=1800)
@@ -79,6 +104,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--to-date", type=day, required=True)
     _serving(p)
     p = sub.add_parser("check")
+    _tables(p, "silver-table")
     p.add_argument("--stage", choices=("silver", "gold"), required=True)
     p.add_argument("--date", type=day, required=True)
     p.add_argument("--min-rows", type=int, default=checks.MIN_ROWS)
@@ -96,16 +122,18 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--bootstrap", default="kafka:9092")
     p.add_argument("--speedup", type=float, default=1000)
     p.add_argument("--max-events", type=int, default=0)
-    p.add_argument("--dry-run", action="store_true")
+    p.add_argument("--dry-run", action="store_true", help="print the payloads, send nothing")
     p.add_argument("--progress-every", type=int, default=100_000)
     p.add_argument("--out", help="folder for NDJSON files in place of Kafka")
+    p.add_argument("--one-by-one", action="store_true", help="send each event at its time from this process, not slices from the executors")
+    p.add_argument("--slice-seconds", type=float, default=5)
     p = sub.add_parser("generate")
     p.add_argument("--start-date", type=day, default=synth.Synth.start_date)
     for name in ("days", "events_per_day", "users", "products", "shards", "seed"):
         p.add_argument(f"--{name.replace('_', '-')}", type=int, default=getattr(synth.Synth, name))
     for name in ("late_rate", "dup_rate", "bad_rate"):
         p.add_argument(f"--{name.replace('_', '-')}", type=float, default=getattr(synth.Synth, name))
-    p.add_argument("--workers", help="Spark master, as local[8]")
+    p.add_argument("--workers", help="number of local workers, or a Spark master")
     p.add_argument("--sink", choices=("files", "kafka"), default="files")
     p.add_argument("--out")
     p.add_argument("--bootstrap", default="kafka:9092")
@@ -115,14 +143,17 @@ def parser() -> argparse.ArgumentParser:
     sub.add_parser("register", help="create databases and tables over the lake")
     p = sub.add_parser("health")
     _serving(p)
+    p.add_argument("--service", action="append", default=[], metavar="NAME=HOST:PORT", help="that must listen: broker, metastore, name node, scheduler")
+    p.add_argument("--container", action="append", default=[], help="that must run")
     return top
 
 
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     lake = Lake(a.lake) if a.lake else Lake.from_env()
-    profile = PROFILES[a.profile]
-    spark = get_spark(f"clickstrata-{a.job}", getattr(a, "workers", None))
+    profile = renamed(PROFILES[a.profile], a)
+    workers = getattr(a, "workers", None)
+    spark = get_spark(f"clickstrata-{a.job}", f"local[{workers}]" if workers and workers.isdigit() else workers)
     if a.job in ("ingest", "stream-bronze", "stream"):
         source = KafkaSource(a.bootstrap, a.topic, a.max_offsets_per_trigger, a.starting_offsets) if a.source == "kafka" else TextSource(a.landing or lake.landing, a.max_files_per_trigger)
     if a.job == "ingest":
@@ -134,37 +165,40 @@ def main(argv: list[str] | None = None) -> int:
         app.run_control(spark, [app.silver_query(spark, lake, profile, o), app.quarantine_query(spark, lake, profile, o)], a.run_seconds)
     elif a.job == "stream":
         o = app.Options(a.bronze_trigger_seconds, a.silver_trigger_seconds, a.watermark, a.min_event_date, a.silver_max_files_per_trigger, a.state_partitions, a.run_seconds)
-        app.run_app(spark, lake, profile, source, o, None if a.no_live else Serving.sqlite(a.serving))
+        app.run_app(spark, lake, profile, source, o, None if a.no_live else _store(a))
     elif a.job == "silver":
-        print(json.dumps(batch.refresh_silver(spark, lake, profile, a.ingest_from, a.ingest_to, a.all)))
+        print(json.dumps(batch.refresh_silver(spark, lake, profile, a.ingest_from, a.ingest_to, a.all, lookback_days=a.lookback_days)))
     elif a.job == "gold":
         made = batch.build_gold(spark, lake, profile, a.from_date, a.to_date, a.gap_seconds)
         for name in ("funnel", "agreement_ours", "agreement_source"):
             if name in made:
                 made[name].orderBy(F.asc(made[name].columns[0])).show(truncate=False)
     elif a.job == "publish":
-        from clickstrata import schemas
-        from clickstrata.sources.sinks import read
-
-        print(json.dumps(publish(Serving.sqlite(a.serving), *[read(spark, lake.table(t.name), t) for t in (schemas.MARKETPLACE_FUNNEL, schemas.MARKETPLACE_CATEGORIES)], a.from_date, a.to_date)))
+        print(json.dumps(publish(_store(a), *[read(spark, lake.table(t.name), t) for t in (schemas.MARKETPLACE_FUNNEL, schemas.MARKETPLACE_CATEGORIES)], a.from_date, a.to_date)))
     elif a.job == "check":
-        return checks.gate(batch.check_day(spark, lake, a.stage, a.date, a.min_rows))
+        return checks.gate(batch.check_day(spark, lake, a.stage, a.date, a.min_rows, profile))
     elif a.job == "daily":
-        runs = flow.catch_up(spark, lake, Serving.sqlite(a.serving), a.from_date, a.to_date or a.from_date, min_rows=a.min_rows)
+        runs = flow.catch_up(spark, lake, _store(a), a.from_date, a.to_date or a.from_date, min_rows=a.min_rows)
         print(json.dumps({str(d): r.states for d, r in runs.items()}))
         return int(not all(r.ok for r in runs.values()))
     elif a.job == "refresh":
-        run = flow.execute(flow.refresh(spark, lake, Serving.sqlite(a.serving), a.stale_seconds))
+        run = flow.execute(flow.refresh(spark, lake, _store(a), a.stale_seconds), spark=spark)
         print(json.dumps(run.states))
         return int(not run.ok)
     elif a.job == "replay":
         rows, broken = csv_events(spark, a.file)
-        if a.dry_run or not a.out and a.speedup:
-            print(replay.replay(rows, None if a.dry_run else print_payload, a.speedup, a.max_events, broken.count(), a.progress_every))
+        if a.dry_run:
+            print(replay.replay(rows, print_payload, 0, a.max_events, broken.count(), 0), file=sys.stderr)
         elif a.out:
-            land(replay.payloads(replay.with_event_ids(rows)).select("payload", F.substring("event_time", 1, 10).alias("dt")), a.out)
+            land(replay.limited(replay.with_event_ids(rows), a.max_events).select("payload", F.substring("event_time", 1, 10).alias("dt")), a.out)
+        elif a.one_by_one:
+            producer = KafkaProducer(a.bootstrap, a.topic)
+            print(replay.replay(rows, producer.send, a.speedup, a.max_events, broken.count(), a.progress_every))
+            return int(producer.close() > 0)
+        elif a.speedup:
+            print(replay.replay_slices(rows, lambda part: to_kafka(part, a.bootstrap, a.topic), lake.checkpoint("replay"), a.speedup, a.slice_seconds, a.max_events, broken.count(), report=print))
         else:
-            to_kafka(replay.payloads(replay.with_event_ids(rows)), a.bootstrap, a.topic)
+            to_kafka(replay.limited(replay.with_event_ids(rows), a.max_events), a.bootstrap, a.topic)
     elif a.job == "generate":
         rows = synth.generated(spark, synth.Synth(**{k: getattr(a, k) for k in synth.Synth.__dataclass_fields__}))
         if a.sink == "files":
@@ -177,7 +211,7 @@ def main(argv: list[str] | None = None) -> int:
     elif a.job == "register":
         batch.register(spark, lake)
     elif a.job == "health":
-        found = flow.health(spark, lake, Serving.sqlite(a.serving))
+        found = flow.health(spark, lake, _store(a), dict(x.split("=", 1) for x in a.service), tuple(a.container))
         print(json.dumps(found))
         return int(not all(found.values()))
     return 0

@@ -5,7 +5,10 @@ from __future__ import annotations
 import concurrent.futures
 import datetime as dt
 import os
+import socket
+import subprocess
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -46,25 +49,59 @@ class Run:
         return all(s in ("success", "skipped") for s in self.states.values())
 
 
-def execute(tasks: list[Task], sleep: Callable[[float], None] = time.sleep) -> Run:
-    """One task after the other; a task that fails for good stops those behind it."""
+class StillRunning(RuntimeError):
+    """A task neither ended in its time nor could be stopped."""
+
+
+def attempt_once(task: Task, spark: SparkSession | None = None, grace_seconds: float = 60) -> None:
+    """Run the task in its time. Beyond it its Spark jobs are cancelled, and it is waited for: two attempts of a task never
+    run at once."""
+    group = f"{task.name}-{uuid.uuid4().hex}"
+
+    def work() -> None:
+        if spark is not None:
+            spark.sparkContext.setJobGroup(group, task.name, True)
+        task.run()
+
+    pool = concurrent.futures.ThreadPoolExecutor(1)
+    try:
+        found = pool.submit(work)
+        try:
+            found.result(task.limit_seconds)
+        except concurrent.futures.TimeoutError:
+            if found.done():  # the task's own error
+                raise
+            end = time.monotonic() + grace_seconds
+            while not found.done() and time.monotonic() < end:
+                if spark is not None:
+                    spark.sparkContext.cancelJobGroup(group)  # again and again: the task may go on to its next job
+                concurrent.futures.wait([found], 0.5)
+            if not found.done():
+                raise StillRunning(task.name) from None
+            raise
+    finally:
+        pool.shutdown(wait=False)
+
+
+def execute(tasks: list[Task], sleep: Callable[[float], None] = time.sleep, spark: SparkSession | None = None) -> Run:
+    """One task after the other; a task that fails for good, or can't be stopped, stops those behind it."""
     run = Run(dict.fromkeys([t.name for t in tasks], "none"))
     for task in tasks:
         for attempt in range(task.retries + 1):
-            pool = concurrent.futures.ThreadPoolExecutor(1)
             try:
-                pool.submit(task.run).result(task.limit_seconds)
+                attempt_once(task, spark)
                 run.states[task.name] = "success"
                 break
             except Skip:
                 run.states.update({n: "skipped" for n, s in run.states.items() if s == "none"})
                 return run
+            except StillRunning:
+                run.states[task.name] = "failed"
+                break
             except Exception:
                 run.states[task.name] = "failed"
                 if attempt < task.retries:
                     sleep(task.wait_seconds * 2**attempt)
-            finally:
-                pool.shutdown(wait=False)
         if run.states[task.name] == "failed":
             run.states.update({n: "upstream_failed" for n, s in run.states.items() if s == "none"})
             return run
@@ -89,7 +126,7 @@ def daily(spark: SparkSession, lake: Lake, store: Serving, day: dt.date, min_row
 
 def catch_up(spark: SparkSession, lake: Lake, store: Serving, low: dt.date, high: dt.date, **options) -> dict[dt.date, Run]:
     """The daily flow for each day, one at a time."""
-    return {day: execute(daily(spark, lake, store, day, **options)) for day in batch.days_between(low, high)}
+    return {day: execute(daily(spark, lake, store, day, **options), spark=spark) for day in batch.days_between(low, high)}
 
 
 def refresh(spark: SparkSession, lake: Lake, store: Serving, stale_seconds: int = STALE_SECONDS, now: dt.datetime | None = None) -> list[Task]:
@@ -109,16 +146,34 @@ def refresh(spark: SparkSession, lake: Lake, store: Serving, stale_seconds: int
     ]
 
 
-def health(spark: SparkSession, lake: Lake, store: Serving) -> dict[str, bool]:
-    """Whether Spark answers, the lake can be written and the store can be read."""
+def reachable(address: str, seconds: float = 3) -> bool:
+    """Whether something listens at host:port."""
+    host, _, port = address.rpartition(":")
+    try:
+        socket.create_connection((host, int(port)), seconds).close()
+        return True
+    except (OSError, ValueError):
+        return False
+
+
+def health(spark: SparkSession, lake: Lake, store: Serving, services: dict[str, str] | None = None, containers: tuple[str, ...] = ()) -> dict[str, bool]:
+    """Whether Spark computes, the lake is written and read, the catalog and the serving store answer, each of the services
+    (name to host:port) listens, and each of the containers runs."""
 
     def tried(f: Callable[[], object]) -> bool:
         try:
-            f()
-            return True
+            return f() is not False
         except Exception:
             return False
 
-    from clickstrata.sources.sinks import make_folder
+    def lake_works() -> bool:
+        path = lake.checkpoint("health")
+        spark.range(1).write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path).count() == 1
+
+    def runs(name: str) -> bool:
+        return subprocess.run(["docker", "inspect", "-f", "{{.State.Running}}", name], capture_output=True, text=True, timeout=20).stdout.strip() == "true"
 
-    return {"spark": tried(lambda: spark.range(1).count()), "lake": tried(lambda: make_folder(spark, lake.checkpoint("health"))), "serving": tried(lambda: store.query("SELECT 1 FROM live_status"))}
+    found = {"spark": tried(lambda: spark.range(1).count()), "lake": tried(lake_works), "catalog": tried(lambda: spark.sql("SHOW DATABASES").count()), "serving": tried(lambda: store.query("SELECT 1 FROM live_status"))}
+    found |= {name: tried(lambda address=address: reachable(address)) for name, address in (services or {}).items()}
+    return found | {f"container {name}": tried(lambda name=name: runs(name)) for name in containers}

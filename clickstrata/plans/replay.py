@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import time
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -51,11 +52,22 @@ def paced(rows: Iterable, speedup: float = 1000, max_events: int = 0, clock: Cal
         yield row
 
 
+def limited(rows: DataFrame, max_events: int = 0) -> DataFrame:
+    """user_id, event_time, payload and event_ts of rows with ids; with ``max_events`` the first so many in event order."""
+    held = payloads(rows).withColumn("event_ts", event_time(F.col("event_time")))
+    return held.orderBy(*ORDER).limit(max_events) if max_events else held
+
+
+#: Event order, total: rows of one time by user and payload, which holds the event's id.
+ORDER = ("event_ts", "user_id", "payload")
+
+
 def replay(rows: DataFrame, send: Callable[[str, str], None] | None = None, speedup: float = 1000, max_events: int = 0, skipped: int = 0, progress_every: int = 100_000, report: Callable[[Summary], None] = print, **timing) -> Summary:
-    """Send payloads in event order, one partition of rows at a time; without ``send`` it is a dry run."""
-    ordered = payloads(with_event_ids(rows)).withColumn("event_ts", event_time(F.col("event_time"))).orderBy("event_ts")
-    if max_events:
-        ordered = ordered.limit(max_events)
+    """Send payloads one by one in event order, one partition of rows at a time; without ``send`` they are only counted.
+
+    For one process that stands for a shop; ``replay_slices`` sends from the executors.
+    """
+    ordered = limited(with_event_ids(rows), max_events).orderBy(*ORDER)
     out = Summary(skipped=skipped)
     try:
         for row in paced(ordered.toLocalIterator(), speedup, max_events, **timing):
@@ -69,3 +81,33 @@ def replay(rows: DataFrame, send: Callable[[str, str], None] | None = None, spee
     except KeyboardInterrupt:
         pass
     return out
+
+
+def replay_slices(rows: DataFrame, write: Callable[[DataFrame], None], folder: str, speedup: float = 1000, slice_seconds: float = 5, max_events: int = 0, skipped: int = 0, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep, report: Callable[[Summary], None] = lambda out: None) -> Summary:
+    """Send payloads from the executors, a slice of event time after the other, each when it is due.
+
+    Rows are written once below ``folder``, by slice, so that a slice reads its own rows only; write(slice) gets rows
+    (user_id, payload, event_ts) dealt by user and in event order, as a keyed sink needs them. The driver only waits. Rows
+    without a time go with the first slice.
+    """
+    spark = rows.sparkSession
+    held = limited(with_event_ids(rows), max_events)
+    width = max(slice_seconds * speedup, 1e-3)
+    stored = f"{folder}/replay-{uuid.uuid4().hex}"
+    span = held.agg(F.min("event_ts").alias("low"), F.max("event_ts").alias("high")).first()
+    seconds = lambda c: F.unix_micros(c) / 1e6
+    number = F.coalesce(F.floor((seconds(F.col("event_ts")) - seconds(F.lit(span.low).cast("timestamp"))) / width), F.lit(0)).cast("int")
+    held.withColumn("slice", number).write.partitionBy("slice").parquet(stored)
+    sliced = spark.read.schema("user_id string, event_time string, payload string, event_ts timestamp, slice int").parquet(stored)
+    counts = {r["slice"]: r["count"] for r in sliced.groupBy("slice").count().collect()}  # one row a slice
+    out, begin = Summary(skipped=skipped, first=span.low, last=span.high), clock()
+    try:
+        for k in sorted(counts):
+            if speedup and (wait := k * slice_seconds - (clock() - begin)) > 0:
+                sleep(wait)
+            write(sliced.where(F.col("slice") == k).select("user_id", "payload", "event_ts").repartition("user_id").sortWithinPartitions(*ORDER))
+            out.sent += counts[k]
+            report(out)
+    except KeyboardInterrupt:
+        pass
+    return out

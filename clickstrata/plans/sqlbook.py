@@ -8,16 +8,17 @@ QUERIES = {
     "reject_breakdown": """
         SELECT ingest_date, reject_reasons, count(*) AS rejects FROM {quarantine} GROUP BY ingest_date, reject_reasons ORDER BY 1, 3 DESC""",
     "funnel_over_devices": """
-        SELECT session_date, sum(sessions) AS sessions, sum(sessions_product_view) AS viewed, sum(sessions_add_to_cart) AS carted, sum(sessions_purchase) AS purchased,
-          round(try_divide(sum(sessions_purchase), sum(sessions)), 4) AS conversion FROM {funnel} GROUP BY session_date ORDER BY 1""",
+        SELECT session_date, sum(sessions) AS sessions, sum(sessions_product_view) AS viewed, sum(sessions_add_to_cart) AS carted, sum(sessions_checkout) AS checkout, sum(sessions_purchase) AS purchased,
+          round(try_divide(sum(sessions_purchase), sum(sessions)), 4) AS conversion, round(sum(revenue), 2) AS revenue FROM {funnel} GROUP BY session_date ORDER BY 1""",
     "top_products": """
-        SELECT product_id, sum(CASE WHEN event_type = 'product_view' THEN 1 ELSE 0 END) AS views, coalesce(sum(CASE WHEN event_type = 'add_to_cart' THEN quantity END), 0) AS units_carted
-        FROM {events} WHERE event_date BETWEEN DATE '{low}' AND DATE '{high}' AND product_id IS NOT NULL GROUP BY product_id ORDER BY views DESC, product_id LIMIT 10""",
+        SELECT product_id, category, sum(CASE WHEN event_type = 'product_view' THEN 1 ELSE 0 END) AS views, coalesce(sum(CASE WHEN event_type = 'add_to_cart' THEN quantity END), 0) AS units_carted
+        FROM {events} WHERE event_date BETWEEN DATE '{low}' AND DATE '{high}' AND product_id IS NOT NULL GROUP BY product_id, category ORDER BY views DESC, product_id, category LIMIT 10""",
     "channel_performance": """
-        SELECT coalesce(utm_source, 'direct') AS channel, count(*) AS sessions, sum(CASE WHEN converted THEN 1 ELSE 0 END) AS conversions,
-          round(avg(CASE WHEN converted THEN 1.0D ELSE 0.0D END), 4) AS conversion_rate, sum(revenue) AS revenue FROM {sessions} GROUP BY 1 ORDER BY revenue DESC""",
+        SELECT coalesce(utm_source, 'direct') AS channel, count(*) AS sessions, round(avg(duration_sec), 1) AS avg_duration_sec, count_if(converted) AS conversions,
+          round(100 * avg(CASE WHEN converted THEN 1.0D ELSE 0.0D END), 2) AS conversion_pct, sum(revenue) AS revenue FROM {sessions} GROUP BY 1 ORDER BY revenue DESC, channel""",
     "session_percentiles": """
-        SELECT session_date, percentile_approx(duration_sec, 0.5) AS p50, percentile_approx(duration_sec, 0.9) AS p90, round(avg(n_events), 2) AS avg_events FROM {sessions} GROUP BY session_date ORDER BY 1""",
+        SELECT coalesce(cast(session_date AS string), 'all') AS day, percentile_approx(duration_sec, 0.5, 100000) AS p50_duration_sec, percentile_approx(duration_sec, 0.9, 100000) AS p90_duration_sec,
+          percentile_approx(n_events, 0.9, 100000) AS p90_events, round(avg(n_events), 2) AS avg_events FROM {sessions} GROUP BY GROUPING SETS ((session_date), ()) ORDER BY day""",
     "describe_events": "DESCRIBE FORMATTED {events}",
     "databases": "SHOW DATABASES",
     "silver_tables": "SHOW TABLES IN silver",
