@@ -21,9 +21,9 @@ from clickstrata.functions.events import money
 from clickstrata.operators import checks, marts, sessions
 from clickstrata.operators.dedup import keep_first, new_rows
 from clickstrata.operators.refine import MARKETPLACE, STOREFRONT, Profile, labelled, rejects, valid_events
-from clickstrata.plans import batch, replay, sqlbook, synth
+from clickstrata.plans import batch, flow, replay, sqlbook, synth
 from clickstrata.plans.serving import Serving, publish
-from clickstrata.session import Lake, configure
+from clickstrata.session import Lake, configure, shared_folder
 from clickstrata.sources import sinks, streams
 from clickstrata.streaming import app
 
@@ -69,8 +69,23 @@ def _named(expr: str, prefix: str) -> F.Column:
     return F.concat(F.lit(prefix), F.expr(expr).cast("string"))
 
 
+#: Bronze tables that were written, by application, table folder and profile.
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
 def bronze(spark: SparkSession, sf_dir: str, profile: Profile = MARKETPLACE) -> DataFrame:
-    """Envelope rows, copies included."""
+    """The envelope rows as a table of the shared folder, written once for an application: queries begin at bronze."""
+    configure(spark)
+    key = spark.sparkContext.applicationId, sf_dir, profile.name
+    if key not in _WRITTEN:
+        path = shared_folder(spark)
+        envelopes(spark, sf_dir, profile).write.parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(_WRITTEN[key])
+
+
+def envelopes(spark: SparkSession, sf_dir: str, profile: Profile = MARKETPLACE) -> DataFrame:
+    """Envelope rows of the events table, copies included."""
     kind = F.col("event_type")
     if profile is MARKETPLACE:
         fields = {
@@ -115,11 +130,6 @@ def _storefront_sessions(spark: SparkSession, sf_dir: str, gap: int = 21_600) ->
     return sessions.storefront_sessions(_silver(spark, sf_dir, STOREFRONT), gap)
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder that all executors share: below spark.checkpoint.dir, or in local tests a temporary one."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='clickstrata-')}/{uuid.uuid4().hex}"
-
-
 def bronze_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bronze(spark, sf_dir)
     return shown(rows.select(F.col("kafka_offset"), "kafka_partition", "source", "source_ref", "source_ts", "ingest_ts", "ingest_date", F.get_json_object("raw_payload", "$.event_id").alias("event_id"), F.get_json_object("raw_payload", "$.price").cast("double").alias("price")))
@@ -247,7 +257,7 @@ def replay_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lake_with_bronze(spark: SparkSession, sf_dir: str, profile: Profile = MARKETPLACE) -> Lake:
-    lake = Lake(_folder(spark))
+    lake = Lake(shared_folder(spark))
     sinks.overwrite_partitions(bronze(spark, sf_dir, profile), lake.table(profile.raw.name), profile.raw)
     return lake
 
@@ -257,13 +267,12 @@ def partition_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     lake = _lake_with_bronze(spark, sf_dir)
     for _ in range(2):
         batch.refresh_silver(spark, lake, MARKETPLACE, everything=True, now=NOW)
-    events = sinks.read(spark, lake.table(schemas.MARKETPLACE_EVENTS.name), schemas.MARKETPLACE_EVENTS)
-    return shown(events.groupBy("event_date").agg(F.count("*").alias("events"), F.count_distinct("event_id").alias("ids"), F.sum("price").cast(schemas.MONEY).alias("price")))
+    return _silver_days(spark, lake)
 
 
 def quarantine_cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Partitions left after a range is built again with fewer rows: those that became empty are gone."""
-    table, path = schemas.MARKETPLACE_CATEGORIES, _folder(spark)
+    table, path = schemas.MARKETPLACE_CATEGORIES, shared_folder(spark)
     made = marts.category_daily(_silver(spark, sf_dir))
     days = batch.days_between(LOW, HIGH)
     for held in (made.where(F.col("event_date").isin(days)), made.where((F.col("event_date") >= F.lit(DAY)) & F.col("event_date").isin(days))):
@@ -280,7 +289,7 @@ def gold_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _streamed(spark: SparkSession, sf_dir: str, serving: Serving | None = None) -> Lake:
     """All three streams, drained over payload files in event order, several micro-batches."""
-    lake = Lake(_folder(spark))
+    lake = Lake(shared_folder(spark))
     rows = bronze(spark, sf_dir).withColumn("part", F.date_format("source_ts", "yyyyMMdd")).orderBy("part", "kafka_offset", "ingest_ts")
     days = [r[0] for r in rows.select("part").distinct().orderBy("part").collect()]  # one row for each day
     rows.repartition(len(days), "part").select("part", "raw_payload").write.partitionBy("part").text(f"{lake.root}/landing")
@@ -312,14 +321,209 @@ def offered(spark: SparkSession, sf_dir: str, store: Serving) -> None:
 
 
 def live_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One day's live minutes in the store, as the SQL asks, after every day's batches were offered twice."""
+    """The live minutes in the store after every day's batch was offered twice."""
     with tempfile.TemporaryDirectory() as folder:
         store = Serving.sqlite(f"{folder}/serving.db")
         offered(spark, sf_dir, store)
-        found = [(m, t, n, c / 100) for m, t, n, c in store.query("SELECT minute, event_type, events, revenue_cents FROM live_minute WHERE substr(minute, 1, 10) = ?", str(DAY))]
+        return _live_minutes(spark, store)
+
+
+def _live_minutes(spark: SparkSession, store: Serving) -> DataFrame:
+    found = [(m, t, n, c / 100) for m, t, n, c in store.query("SELECT minute, event_type, events, revenue_cents FROM live_minute")]
     return spark.createDataFrame(found, "minute string, event_type string, events bigint, revenue double")
 
 
+def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the store says about the latest event after every day's batch, and the batches it has counted."""
+    with tempfile.TemporaryDirectory() as folder:
+        store = Serving.sqlite(f"{folder}/serving.db")
+        offered(spark, sf_dir, store)
+        return spark.createDataFrame([(store.status()[0].strftime("%Y-%m-%d %H:%M:%S"), store.query("SELECT count(*) FROM live_batches")[0][0])], "max_event_ts string, batches bigint")
+
+
+def stream_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live minutes that the silver stream adds up, batch by batch."""
+    with tempfile.TemporaryDirectory() as folder:
+        store = Serving.sqlite(f"{folder}/serving.db")
+        _streamed(spark, sf_dir, store)
+        return _live_minutes(spark, store)
+
+
+def kafka_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the connector's shape as bronze rows."""
+    records = bronze(spark, sf_dir).select(
+        F.lit(None).cast("binary").alias("key"), F.col("raw_payload").cast("binary").alias("value"), F.lit("events").alias("topic"), F.col("kafka_partition").alias("partition"), F.col("kafka_offset").alias("offset"),
+        F.col("source_ts").alias("timestamp"), F.lit(0).alias("timestampType"),
+    )
+    rows = streams.stamped(streams.kafka_envelope(records), INGESTED)
+    return shown(rows.select("source", "source_ref", "kafka_partition", "kafka_offset", "source_ts", "ingest_ts", "ingest_date", F.get_json_object("raw_payload", "$.event_id").alias("event_id")))
+
+
+def _landed(spark: SparkSession, sf_dir: str) -> Lake:
+    """Payloads as gzipped files below the days of their events."""
+    lake = Lake(shared_folder(spark))
+    sinks.land(bronze(spark, sf_dir).select(F.col("raw_payload").alias("payload"), F.to_date("source_ts").alias("dt")), lake.landing)
+    return lake
+
+
+def _by_file(rows: DataFrame) -> DataFrame:
+    held = rows.groupBy(F.regexp_extract("source_ref", "/dt=([0-9-]+)/[^/]*[.]gz$", 1).alias("day"))
+    return held.agg(F.count("*").alias("rows"), F.count_if((F.col("source") == "files") & F.col("kafka_partition").isNull() & F.col("kafka_offset").isNull() & F.col("source_ts").isNull()).alias("of_files"))
+
+
+def file_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed files read back as envelopes, by the day in the path each row came from."""
+    return _by_file(streams.TextSource(_landed(spark, sf_dir).landing).batch(spark))
+
+
+def bronze_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bronze after the files were drained twice by the exactly-once file sink."""
+    lake = _landed(spark, sf_dir)
+    for _ in range(2):
+        app.run_control(spark, [app.bronze_files(spark, lake, MARKETPLACE, streams.TextSource(lake.landing, 8))])
+    return _by_file(sinks.read(spark, lake.table(MARKETPLACE.raw.name), MARKETPLACE.raw))
+
+
+def csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Well-formed rows of a CSV export by type, and its broken lines."""
+    path = shared_folder(spark)
+    header = spark.createDataFrame([(",".join(schemas.MARKETPLACE_CSV.fieldNames()),)], "value string")
+    fields = [F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.col("event_type"), _named("k", "p"), F.lit("1"), F.when(F.col("k") % 3 == 0, '"a,b"').otherwise(""), F.lit("brand"), F.col("k").cast("string"), F.col("u").cast("string"), F.lit("s")]
+    lines = _events(spark, sf_dir).select(F.when(F.col("n") % 101 == 0, F.lit("torn,line")).otherwise(F.concat_ws(",", *fields)).alias("value"))
+    header.unionByName(lines).coalesce(1).write.text(path)
+    rows, broken = streams.csv_events(spark, path)
+    good = rows.groupBy("event_type").agg(F.count("*").alias("rows"), F.count_if(F.col("category_code") == "a,b").alias("quoted"), F.sum(F.col("price").try_cast("bigint")).alias("price"))
+    return good.unionByName(broken.agg(F.lit("broken").alias("event_type"), F.count("*").alias("rows"), F.lit(0).cast("bigint").alias("quoted"), F.lit(None).cast("bigint").alias("price")))
+
+
+def _silver_lake(spark: SparkSession, sf_dir: str, profile: Profile = MARKETPLACE) -> Lake:
+    lake = _lake_with_bronze(spark, sf_dir, profile)
+    batch.refresh_silver(spark, lake, profile, everything=True, now=NOW)
+    return lake
+
+
+def catalog_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silver by day through the catalog: external tables whose partitions were written by path."""
+    lake, prefix = _silver_lake(spark, sf_dir), f"q{uuid.uuid4().hex}_"
+    batch.register(spark, lake, prefix)
+    try:
+        days = spark.table(f"{prefix}{schemas.MARKETPLACE_EVENTS.name}").groupBy(F.col("event_date").cast("string").alias("event_date")).agg(F.count("*").alias("events"))
+        return spark.createDataFrame(days.collect(), days.schema)  # one row a day, before the tables go
+    finally:
+        batch.unregister(spark, prefix)
+
+
+def catalog_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SHOW TABLES lists, and the format and partition column that DESCRIBE gives."""
+    lake, prefix = Lake(shared_folder(spark)), f"q{uuid.uuid4().hex}_"
+    batch.register(spark, lake, prefix)
+    found = []
+    try:
+        for layer in ("bronze", "silver", "gold"):
+            for r in spark.sql(f"SHOW TABLES IN {prefix}{layer}").collect():
+                said = {x.col_name: x.data_type for x in spark.sql(f"DESCRIBE FORMATTED {prefix}{layer}.{r.tableName}").collect()}
+                found.append((f"{layer}.{r.tableName}", said["Provider"].lower(), said["Type"]))
+    finally:
+        batch.unregister(spark, prefix)
+    return spark.createDataFrame(found, "name string, provider string, type string")
+
+
+def silver_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silver by day after an older bronze day came in late, whose copies of every eleventh event lie two days earlier."""
+    lake = _silver_lake(spark, sf_dir)
+    before = dt.date.fromisoformat(INGESTED[:10]) - dt.timedelta(days=1)
+    field = F.regexp_extract("raw_payload", '"event_time":"([0-9: -]+) UTC"', 1)
+    earlier = F.date_format(field.try_cast("timestamp") - F.expr("INTERVAL 2 DAYS"), "yyyy-MM-dd HH:mm:ss")
+    rows = bronze(spark, sf_dir).where((F.col("kafka_offset") % 11 == 0) & (field != "")).withColumn("raw_payload", F.replace(F.col("raw_payload"), field, earlier))
+    sinks.overwrite_partitions(rows.withColumns({"ingest_ts": F.lit(before).cast("timestamp"), "ingest_date": F.lit(before)}), lake.table(MARKETPLACE.raw.name), MARKETPLACE.raw)
+    batch.refresh_silver(spark, lake, MARKETPLACE, before, before, now=NOW)
+    return _silver_days(spark, lake)
+
+
+def _silver_days(spark: SparkSession, lake: Lake) -> DataFrame:
+    events = sinks.read(spark, lake.table(schemas.MARKETPLACE_EVENTS.name), schemas.MARKETPLACE_EVENTS)
+    return shown(events.groupBy("event_date").agg(F.count("*").alias("events"), F.count_distinct("event_id").alias("ids"), F.sum("price").cast(schemas.MONEY).alias("price")))
+
+
+def gold_storefront(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The storefront's funnel as the gold build stores it for a range of days."""
+    return shown(batch.build_gold(spark, _silver_lake(spark, sf_dir, STOREFRONT), STOREFRONT, LOW, HIGH)["funnel"])
+
+
+def gate_runner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that the gate prints for silver with its copies, and whether it fails."""
+    found = checks.verdict(checks.silver_checks(_valid(spark, sf_dir)))
+    return spark.createDataFrame([(line, found.failed) for line in found.lines], "line string, failed boolean")
+
+
+def _flown(spark: SparkSession, run: flow.Run, store: Serving) -> DataFrame:
+    published = store.query("SELECT session_date, sessions, revenue_cents FROM daily_funnel")
+    assert len(published) == 1, published
+    day, n, money_cents = published[0]
+    return spark.createDataFrame([(task, state, day, n, money_cents / 100) for task, state in run.states.items()], "task string, state string, day string, sessions bigint, revenue double")
+
+
+def daily_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily run's tasks and what it published."""
+    lake = _silver_lake(spark, sf_dir)
+    with tempfile.TemporaryDirectory() as folder:
+        store = Serving.sqlite(f"{folder}/serving.db")
+        return _flown(spark, flow.execute(flow.daily(spark, lake, store, DAY, min_rows=1), spark=spark), store)
+
+
+def refresh_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The refresh of the day of the latest live event, and what it published."""
+    lake = _silver_lake(spark, sf_dir)
+    with tempfile.TemporaryDirectory() as folder:
+        store = Serving.sqlite(f"{folder}/serving.db")
+        store.apply_live("events", 0, [], dt.datetime.combine(DAY, dt.time(12)), 1)
+        return _flown(spark, flow.execute(flow.refresh(spark, lake, store), spark=spark), store)
+
+
+def late_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silver of a stream to which every tenth event comes after the watermark has moved: those within a day of it stay."""
+    lake = Lake(shared_folder(spark))
+    rows = bronze(spark, sf_dir).where(F.col("ingest_ts") == F.lit(INGESTED).cast("timestamp")).withColumn("late", F.col("kafka_offset") % 10 == 0)
+    last = rows.agg(F.max("source_ts")).first()[0].date()
+    on_last = F.to_date("source_ts") == F.lit(last)
+    options = app.Options(0, 0, max_files_per_trigger=1000)
+    # in time; the last day, which moves the watermark; late
+    for k, part in enumerate((rows.where(~F.col("late") & ~on_last), rows.where(on_last), rows.where(F.col("late") & ~on_last))):
+        part.select("raw_payload").coalesce(1).write.text(f"{lake.landing}/{k}")
+        app.run_app(spark, lake, MARKETPLACE, streams.TextSource(lake.landing, 1000), options)
+    return shown(sinks.read(spark, lake.table(schemas.MARKETPLACE_EVENTS.name), schemas.MARKETPLACE_EVENTS).groupBy("event_date").agg(F.count("*").alias("events"), F.count_if(F.expr("cast(substr(event_id, 2) AS bigint) % 10 = 0")).alias("late")))
+
+
+def replay_paced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A paced replay in slices of a day: what each slice sent."""
+    rows = _events(spark, sf_dir).select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("event_time"), "event_type", _named("k", "p").alias("product_id"), F.col("k").cast("string").alias("price"), F.col("u").cast("string").alias("user_id"))
+    folder, waits = shared_folder(spark), []
+    sent = f"{folder}/sent"
+    number = iter(range(1 << 30))
+    replay.replay_slices(rows, lambda part: part.withColumn("slice", F.lit(next(number))).write.mode("append").parquet(sent), folder, 86_400, 1, clock=lambda: 0.0, sleep=waits.append)
+    return spark.read.parquet(sent).groupBy("slice").agg(F.count("*").alias("events"), F.count_distinct("user_id").alias("users")).withColumn("due", F.col("slice").cast("double"))
+
+
+def _book(spark: SparkSession, name: str, **views: DataFrame) -> DataFrame:
+    """A query of the SQL book over views of these tables."""
+    names = {k: f"{k}_{uuid.uuid4().hex}" for k in views}
+    for k, df in views.items():
+        df.createOrReplaceTempView(names[k])
+    return shown(sqlbook.run(spark, name, **names))
+
+
+def sql_reject_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _book(spark, "reject_breakdown", quarantine=rejects(_labelled(spark, sf_dir), MARKETPLACE))
+
+
+def sql_channel_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _book(spark, "channel_performance", sessions=_storefront_sessions(spark, sf_dir))
+
+
+def sql_session_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _book(spark, "session_percentiles", sessions=_storefront_sessions(spark, sf_dir))
+
+
 def publish_readback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The published funnel, read back from the store after two publications of the same range."""
     events = _silver(spark, sf_dir)
@@ -341,18 +545,30 @@ def money_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(_events(spark, sf_dir).agg(F.sum(money(F.col("value"))).cast(schemas.MONEY).alias("value")))
 
 
-def synth_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the generator makes: events, late or repeated, and rejects, of a small seeded run."""
-    configure(spark)
-    rows = synth.generated(spark, synth.Synth(days=2, events_per_day=4000, users=500, products=400, shards=4))
-    held = labelled(streams.stamped(rows.select(F.col("payload").alias("raw_payload"), "dt")), STOREFRONT, now=dt.datetime(2026, 9, 30))
-    return shown(held.groupBy("dt", F.when(F.col("reject_reasons") == "", "valid").otherwise("rejected").alias("state")).agg(F.count("*").alias("rows"), F.count_distinct("event_id").alias("ids")))
+def synth_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a seeded run for as many users as the events have shows what the generator promises."""
+    users = _events(spark, sf_dir).agg(F.count_distinct("u")).first()[0]
+    conf = synth.Synth(days=2, events_per_day=20_000, users=users, products=400, shards=4)
+    events = synth.events(spark, conf)
+    visits = events.groupBy("day", "shard", "session").agg(*[F.max((F.col("event_type") == kind).cast("int")).alias(name) for name, kind in (("saw", "product_view"), ("put", "add_to_cart"), ("paid", "purchase"))])
+    of_visits = visits.agg(F.avg("paid").alias("conversion"), (F.sum("put") / F.sum("saw")).alias("view_to_cart")).first()
+    share = {r.noise: r.share for r in synth.delivered(events, conf).groupBy("noise").agg(F.count("*").alias("n")).withColumn("share", F.col("n") / (2 * conf.events_per_day)).collect()}
+    held = labelled(streams.stamped(synth.generated(spark, conf).select(F.col("payload").alias("raw_payload"))), STOREFRONT, now=dt.datetime(2026, 9, 30))
+    rejected = held.agg(F.avg((F.col("reject_reasons") != "").cast("double")), F.count_distinct("user_id")).first()
+    near = lambda x, wanted: abs(x - wanted) < 0.25 * wanted
+    found = {
+        "conversion of 4 to 6 per cent": 0.04 <= of_visits.conversion <= 0.06, "view to cart of about 40 per cent": near(of_visits.view_to_cart, 0.4), "late records": near(share["late"], conf.late_rate),
+        "repeated records": near(share["repeated"], 2 * conf.dup_rate), "damaged records": near(share["damaged"], conf.bad_rate), "rejects are the damaged": near(rejected[0], conf.bad_rate), "events a day": near(sum(share.values()), 1.0),
+    }
+    return spark.createDataFrame([(name, bool(held), users) for name, held in found.items()], "outcome string, met boolean, users bigint")
 
 
 _FUNCTIONS = (
     bronze_envelope, parse_valid, parse_valid_storefront, quarantine_reasons, reject_breakdown, reject_breakdown_storefront, dedup_keep_first, new_events_only, sessions_1800, sessions_21600, sessions_day_range, storefront_sessions,
     daily_funnel, daily_funnel_by_segment, funnel_over_devices, category_daily, session_agreement_ours, session_agreement_source, channel_performance, top_products, top_products_sql, session_percentiles, live_minute, dq_silver, dq_gold,
-    event_ids, replay_payloads, partition_upsert, quarantine_cleared, gold_build, stream_dedup, stream_quarantine, live_ledger, publish_readback, reconcile_bronze_silver, money_total, synth_noise,
+    event_ids, replay_payloads, partition_upsert, quarantine_cleared, gold_build, stream_dedup, stream_quarantine, live_ledger, publish_readback, reconcile_bronze_silver, money_total, synth_outcomes,
+    freshness, stream_live, kafka_envelope, file_landing, bronze_drain, csv_export, catalog_tables, catalog_listing, silver_backfill, gold_storefront, gate_runner, daily_flow, refresh_flow, late_events, replay_paced,
+    sql_reject_breakdown, sql_channel_performance, sql_session_percentiles,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
@@ -394,13 +610,17 @@ sess AS (SELECT md5(user_id || '|' || CAST(min(event_ts) AS VARCHAR)) AS session
   arg_min_null(category_l1, (event_ts, event_id)) AS first_category, count(DISTINCT source_session_id) AS n_source_sessions, CAST(min(event_ts) AS DATE) AS session_date FROM numbered GROUP BY user_id, seq)"""
 
 
-_FRONT_SESSIONS = f"""{_gaps("fsilver", 21_600)},
+def _front_sessions_sql(gap: int, source: str = "fsilver") -> str:
+    return f"""{_gaps(source, gap)},
 fsess AS (SELECT md5(user_id || '|' || CAST(min(event_ts) AS VARCHAR)) AS session_id, user_id, min(event_ts) AS session_start, max(event_ts) AS session_end,
   CAST(floor(epoch(max(event_ts))) - floor(epoch(min(event_ts))) AS BIGINT) AS duration_sec, count(*) AS n_events, count(*) FILTER (WHERE event_type = 'page_view') AS n_page_views,
   count(*) FILTER (WHERE event_type = 'search') AS n_searches, count(*) FILTER (WHERE event_type = 'product_view') AS n_product_views, count(*) FILTER (WHERE event_type = 'add_to_cart') AS n_add_to_cart,
   count(*) FILTER (WHERE event_type = 'begin_checkout') AS n_begin_checkout, count(*) FILTER (WHERE event_type = 'purchase') AS n_purchases, CAST(coalesce(sum(order_value), 0) AS DECIMAL(18,2)) AS revenue,
   count(*) FILTER (WHERE event_type = 'purchase') > 0 AS converted, arg_min_null(device_type, (event_ts, event_id)) AS device_type, arg_min_null(country, (event_ts, event_id)) AS country,
   arg_min_null(utm_source, (event_ts, event_id)) AS utm_source, CAST(min(event_ts) AS DATE) AS session_date FROM numbered GROUP BY user_id, seq)"""
+
+
+_FRONT_SESSIONS = _front_sessions_sql(21_600)
 _FUNNEL = """funnel AS (SELECT session_date, count(*) AS sessions, count(DISTINCT user_id) AS users, count(*) FILTER (WHERE n_views > 0) AS sessions_view, count(*) FILTER (WHERE n_carts > 0) AS sessions_cart,
   count(*) FILTER (WHERE n_purchases > 0) AS sessions_purchase, count(*) FILTER (WHERE n_purchases > 0 AND n_carts = 0) AS purchase_without_cart, count(DISTINCT CASE WHEN n_purchases > 0 THEN user_id END) AS buyers,
   CAST(sum(revenue) AS DECIMAL(18,2)) AS revenue, round(count(*) FILTER (WHERE n_carts > 0) / CAST(nullif(count(*) FILTER (WHERE n_views > 0), 0) AS DOUBLE), 4) AS view_to_cart_rate,
@@ -428,6 +648,12 @@ def _checks_sql(stats: str, rows: list[tuple[str, bool, str, str]]) -> str:
     return f"WITH {_BASE}, {stats} " + " UNION ALL ".join(parts)
 
 
+def _flow_sql(*tasks: str) -> str:
+    near = f"near AS (SELECT * FROM silver WHERE event_date BETWEEN DATE '{DAY}' - 1 AND DATE '{DAY}' + 1)"
+    rows = ", ".join(f"('{t}')" for t in tasks)
+    return f"WITH {_BASE}, {near}, {_sessions_sql(1800, 'near')}, {_FUNNEL} SELECT task, 'success' AS state, '{DAY}' AS day, sessions, CAST(revenue AS DOUBLE) AS revenue FROM funnel, (VALUES {rows}) AS t(task) WHERE funnel.session_date = DATE '{DAY}'"
+
+
 ORACLE_SQL = {
     "bronze_envelope": f"WITH {_BASE} SELECT n AS kafka_offset, CAST(n % 4 AS INTEGER) AS kafka_partition, 'events' AS source, 'events/' || (n % 4) AS source_ref, strftime(ts, '%Y-%m-%d %H:%M:%S') AS source_ts, "
     "strftime(ingest_ts, '%Y-%m-%d %H:%M:%S') AS ingest_ts, '2024-02-01' AS ingest_date, CASE WHEN torn THEN NULL ELSE 'e' || n END AS event_id, CASE WHEN torn THEN NULL WHEN n % 53 = 2 THEN -value ELSE value END AS price FROM marked",
@@ -445,14 +671,14 @@ ORACLE_SQL = {
     "daily_funnel": f"WITH {_BASE}, {_sessions_sql(21_600)}, {_FUNNEL} {_FUNNEL_OUT}",
     "daily_funnel_by_segment": f"WITH {_FRONT}, {_FRONT_SESSIONS}, {_FRONT_FUNNEL} SELECT * REPLACE (CAST(session_date AS VARCHAR) AS session_date, CAST(revenue AS DOUBLE) AS revenue) FROM ffunnel",
     "funnel_over_devices": f"WITH {_FRONT}, {_FRONT_SESSIONS}, {_FRONT_FUNNEL} SELECT CAST(session_date AS VARCHAR) AS session_date, CAST(sum(sessions) AS BIGINT) AS sessions, CAST(sum(sessions_product_view) AS BIGINT) AS viewed, "
-    "CAST(sum(sessions_add_to_cart) AS BIGINT) AS carted, CAST(sum(sessions_purchase) AS BIGINT) AS purchased, round(CAST(sum(sessions_purchase) AS DOUBLE) / CAST(sum(sessions) AS DOUBLE), 4) AS conversion FROM ffunnel GROUP BY session_date",
+    "CAST(sum(sessions_add_to_cart) AS BIGINT) AS carted, CAST(sum(sessions_checkout) AS BIGINT) AS checkout, CAST(sum(sessions_purchase) AS BIGINT) AS purchased, round(CAST(sum(sessions_purchase) AS DOUBLE) / CAST(sum(sessions) AS DOUBLE), 4) AS conversion, CAST(sum(revenue) AS DOUBLE) AS revenue FROM ffunnel GROUP BY session_date",
     "category_daily": f"WITH {_BASE}, {_CATEGORY} SELECT * REPLACE (CAST(event_date AS VARCHAR) AS event_date, CAST(revenue AS DOUBLE) AS revenue) FROM category",
     "session_agreement_ours": f"WITH {_BASE}, {_sessions_sql(21_600)} " + _shares_sql("CASE WHEN n_source_sessions = 0 THEN 'no source id' WHEN n_source_sessions = 1 THEN 'exactly 1' ELSE 'merges several' END", "sess"),
     "session_agreement_source": f"WITH {_BASE}, {_gaps('silver', 21_600)}, held AS (SELECT source_session_id, count(DISTINCT (user_id, seq)) AS n FROM numbered WHERE source_session_id IS NOT NULL GROUP BY 1) " + _shares_sql("CASE WHEN n = 1 THEN 'kept whole' ELSE 'split' END", "held"),
     "channel_performance": f"WITH {_FRONT}, {_FRONT_SESSIONS} SELECT coalesce(utm_source, 'direct') AS channel, count(*) AS sessions, count(*) FILTER (WHERE converted) AS conversions, CAST(CAST(sum(revenue) AS DECIMAL(18,2)) AS DOUBLE) AS revenue, "
     "round(count(*) FILTER (WHERE converted) / CAST(count(*) AS DOUBLE), 4) AS conversion_rate FROM fsess GROUP BY 1",
     "top_products": f"WITH {_BASE} SELECT product_id, count(*) FILTER (WHERE event_type = 'product_view') AS views, count(*) FILTER (WHERE event_type = 'add_to_cart') AS carts FROM silver GROUP BY product_id ORDER BY views DESC, product_id LIMIT 10",
-    "top_products_sql": f"WITH {_FRONT} SELECT product_id, count(*) FILTER (WHERE event_type = 'product_view') AS views, CAST(coalesce(sum(quantity) FILTER (WHERE event_type = 'add_to_cart'), 0) AS BIGINT) AS units_carted FROM fsilver WHERE event_date {_RANGE} GROUP BY product_id ORDER BY views DESC, product_id LIMIT 10",
+    "top_products_sql": f"WITH {_FRONT} SELECT product_id, CAST(NULL AS VARCHAR) AS category, count(*) FILTER (WHERE event_type = 'product_view') AS views, CAST(coalesce(sum(quantity) FILTER (WHERE event_type = 'add_to_cart'), 0) AS BIGINT) AS units_carted FROM fsilver WHERE event_date {_RANGE} GROUP BY product_id ORDER BY views DESC, product_id LIMIT 10",
     "session_percentiles": f"WITH {_BASE}, {_sessions_sql(21_600)} SELECT CAST(session_date AS VARCHAR) AS session_date, count(*) AS sessions, quantile_disc(duration_sec, 0.5) AS p50_duration_sec, quantile_disc(duration_sec, 0.9) AS p90_duration_sec, round(avg(n_events), 4) AS avg_events FROM sess GROUP BY session_date",
     "live_minute": f"WITH {_BASE}, {_MINUTE} SELECT strftime(minute, '%Y-%m-%d %H:%M:%S') AS minute, event_type, events, CAST(revenue AS DOUBLE) AS revenue FROM minutes",
     "dq_silver": _checks_sql(
@@ -476,8 +702,33 @@ ORACLE_SQL = {
     "gold_build": f"WITH {_BASE}, near AS (SELECT * FROM silver WHERE event_date BETWEEN DATE '{LOW}' - 1 AND DATE '{HIGH}' + 1), {_sessions_sql(1800, 'near')}, {_FUNNEL} {_FUNNEL_OUT} WHERE session_date {_RANGE}".replace("FROM funnel WHERE session_date", "FROM funnel WHERE funnel.session_date"),
     "stream_dedup": f"WITH {_BASE} SELECT event_id, strftime(event_ts, '%Y-%m-%d %H:%M:%S') AS event_ts, event_type, user_id, CAST(price AS DOUBLE) AS price, category_l1 FROM silver",
     "stream_quarantine": f"WITH {_BASE} SELECT reasons AS reject_reasons, count(*) AS rejects FROM marked WHERE reasons <> '' GROUP BY reasons",
-    "live_ledger": f"WITH {_BASE}, {_MINUTE} SELECT strftime(minute, '%Y-%m-%d %H:%M:%S') AS minute, event_type, events, CAST(revenue AS DOUBLE) AS revenue FROM minutes WHERE CAST(minute AS DATE) = DATE '{DAY}'",
+    "live_ledger": f"WITH {_BASE}, {_MINUTE} SELECT strftime(minute, '%Y-%m-%d %H:%M:%S') AS minute, event_type, events, CAST(revenue AS DOUBLE) AS revenue FROM minutes",
     "publish_readback": f"WITH {_BASE}, {_sessions_sql(1800)}, {_FUNNEL} SELECT CAST(session_date AS VARCHAR) AS session_date, sessions, users, CAST(revenue AS DOUBLE) AS revenue FROM funnel WHERE funnel.session_date {_RANGE}",
     "reconcile_bronze_silver": f"WITH {_BASE} SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS event_date, count(DISTINCT n) AS bronze, count(DISTINCT CASE WHEN reasons = '' THEN n END) AS silver, count(DISTINCT CASE WHEN reasons <> '' THEN n END) AS quarantine, 0::BIGINT AS lost FROM marked GROUP BY 1",
     "money_total": "SELECT CAST(CAST(sum(CAST(value AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS DOUBLE) AS value FROM events",
+    "freshness": f"WITH {_BASE}, {_MINUTE} SELECT strftime(max(minute), '%Y-%m-%d %H:%M:%S') AS max_event_ts, count(DISTINCT CAST(minute AS DATE)) AS batches FROM minutes",
+    "stream_live": f"WITH {_BASE}, {_MINUTE} SELECT strftime(minute, '%Y-%m-%d %H:%M:%S') AS minute, event_type, events, CAST(revenue AS DOUBLE) AS revenue FROM minutes",
+    "kafka_envelope": f"WITH {_BASE} SELECT 'kafka' AS source, 'events/' || (n % 4) AS source_ref, CAST(n % 4 AS INTEGER) AS kafka_partition, n AS kafka_offset, strftime(ts, '%Y-%m-%d %H:%M:%S') AS source_ts, '{INGESTED}' AS ingest_ts, '{INGESTED[:10]}' AS ingest_date, "
+    "CASE WHEN torn THEN NULL ELSE 'e' || n END AS event_id FROM marked",
+    "file_landing": f"WITH {_BASE} SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS rows, count(*) AS of_files FROM copies GROUP BY 1",
+    "bronze_drain": f"WITH {_BASE} SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS rows, count(*) AS of_files FROM copies GROUP BY 1",
+    "csv_export": f"WITH {_BASE} SELECT CASE WHEN n % 101 = 0 THEN 'broken' ELSE t END AS event_type, count(*) AS rows, count(*) FILTER (WHERE n % 101 <> 0 AND k % 3 = 0) AS quoted, CAST(sum(CASE WHEN n % 101 <> 0 THEN k END) AS BIGINT) AS price FROM base GROUP BY 1",
+    "catalog_tables": f"WITH {_BASE} SELECT CAST(event_date AS VARCHAR) AS event_date, count(*) AS events FROM silver GROUP BY 1",
+    "catalog_listing": "SELECT * FROM (VALUES " + ", ".join(f"('{t.name}', '{t.format}', 'EXTERNAL')" for t in schemas.TABLES.values()) + ") AS t(name, provider, type)",
+    "silver_backfill": f"WITH {_BASE}, moved AS (SELECT *, CASE WHEN n % 11 = 0 THEN event_date - INTERVAL 2 DAYS ELSE event_date END AS day FROM silver) SELECT CAST(CAST(day AS DATE) AS VARCHAR) AS event_date, count(*) AS events, count(DISTINCT event_id) AS ids, CAST(sum(price) AS DOUBLE) AS price FROM moved GROUP BY 1",
+    "gold_storefront": f"WITH {_FRONT}, near AS (SELECT * FROM fsilver WHERE event_date BETWEEN DATE '{LOW}' - 1 AND DATE '{HIGH}' + 1), {_front_sessions_sql(1800, 'near')}, {_FRONT_FUNNEL} SELECT * REPLACE (CAST(session_date AS VARCHAR) AS session_date, CAST(revenue AS DOUBLE) AS revenue) FROM ffunnel WHERE ffunnel.session_date {_RANGE}",
+    "gate_runner": f"""WITH {_BASE}, stats AS (SELECT count(*) AS n, count(DISTINCT event_id) AS ids, count(*) FILTER (WHERE price < 0) AS negative FROM valid),
+        lines AS (SELECT n >= {checks.MIN_ROWS} AS ok, 'min_rows: ' || n AS said FROM stats UNION ALL SELECT ids = n, 'unique_event_id: ' || (n - ids) FROM stats UNION ALL SELECT true, 'no_null_keys: 0' FROM stats UNION ALL SELECT negative = 0, 'no_negative_price: ' || negative FROM stats)
+        SELECT CASE WHEN ok THEN 'PASS ' ELSE 'FAIL ' END || said AS line, NOT bool_and(ok) OVER () AS failed FROM lines""",
+    "daily_flow": _flow_sql("check_silver", "build_gold", "check_gold", "publish"),
+    "refresh_flow": _flow_sql("find_day", "build_gold", "publish"),
+    "late_events": f"WITH {_BASE}, last AS (SELECT CAST(max(ts) AS DATE) AS day FROM base), mark AS (SELECT max(event_ts) - INTERVAL 24 HOURS AS edge FROM silver WHERE event_date = (SELECT day FROM last)), "
+    "held AS (SELECT * FROM silver WHERE n % 10 <> 0 OR event_date = (SELECT day FROM last) OR event_ts > (SELECT edge FROM mark)) SELECT CAST(event_date AS VARCHAR) AS event_date, count(*) AS events, count(*) FILTER (WHERE n % 10 = 0) AS late FROM held GROUP BY 1",
+    "replay_paced": f"WITH {_BASE}, sliced AS (SELECT CAST(floor((epoch(ts) - (SELECT epoch(min(ts)) FROM base)) / 86400) AS INTEGER) AS slice, u FROM base) SELECT slice, count(*) AS events, count(DISTINCT u) AS users, CAST(slice AS DOUBLE) AS due FROM sliced GROUP BY slice",
+    "sql_reject_breakdown": f"WITH {_BASE} SELECT '2024-02-01' AS ingest_date, reasons AS reject_reasons, count(*) AS rejects FROM marked WHERE reasons <> '' GROUP BY reasons",
+    "sql_channel_performance": f"WITH {_FRONT}, {_FRONT_SESSIONS} SELECT coalesce(utm_source, 'direct') AS channel, count(*) AS sessions, round(avg(duration_sec), 1) AS avg_duration_sec, count(*) FILTER (WHERE converted) AS conversions, "
+    "round(100 * avg(CASE WHEN converted THEN 1.0 ELSE 0.0 END), 2) AS conversion_pct, CAST(CAST(sum(revenue) AS DECIMAL(18,2)) AS DOUBLE) AS revenue FROM fsess GROUP BY 1",
+    "sql_session_percentiles": f"WITH {_FRONT}, {_FRONT_SESSIONS} SELECT coalesce(CAST(session_date AS VARCHAR), 'all') AS day, quantile_disc(duration_sec, 0.5) AS p50_duration_sec, quantile_disc(duration_sec, 0.9) AS p90_duration_sec, quantile_disc(n_events, 0.9) AS p90_events, "
+    "round(avg(n_events), 2) AS avg_events FROM fsess GROUP BY GROUPING SETS ((session_date), ())",
+    "synth_outcomes": "SELECT outcome, true AS met, (SELECT count(DISTINCT user_id) FROM events) AS users FROM (VALUES ('conversion of 4 to 6 per cent'), ('view to cart of about 40 per cent'), ('late records'), ('repeated records'), ('damaged records'), ('rejects are the damaged'), ('events a day')) AS t(outcome)",
 }

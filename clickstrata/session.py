@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
@@ -30,6 +32,17 @@ def get_spark(app_name: str, master: str | None = None, **settings: str) -> Spar
     return (builder.master(master) if master else builder).getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that all executors share: below spark.checkpoint.dir, or, with a local master only, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="clickstrata-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/clickstrata-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 @dataclass(frozen=True)
 class Lake:
     """Where tables and checkpoints lie."""

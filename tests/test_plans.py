@@ -98,11 +98,12 @@ def test_daily_flow_publishes_and_gates(spark, tmp_path):
     waits = []
     run = flow.execute(flow.daily(spark, lake, store, DAY, min_rows=1000), sleep=waits.append)
     assert run.states == {"check_silver": "failed", "build_gold": "upstream_failed", "check_gold": "upstream_failed", "publish": "upstream_failed"} and waits == [60, 120]
-    assert flow.execute(flow.refresh(spark, lake, store)).states["find_day"] == "none" or flow.execute(flow.refresh(spark, lake, store)).states == dict.fromkeys(["find_day", "build_gold", "publish"], "skipped")
+    assert flow.execute(flow.refresh(spark, lake, store)).states == dict.fromkeys(["find_day", "build_gold", "publish"], "skipped")
     store.apply_live("q", 0, [], dt.datetime(2019, 10, 5, 12), 1)
     assert flow.execute(flow.refresh(spark, lake, store)).ok
     assert flow.execute(flow.refresh(spark, lake, store, now=dt.datetime.now(dt.UTC) + dt.timedelta(hours=1))).states["publish"] == "skipped"
-    assert all(flow.health(spark, lake, store).values())
+    found = flow.health(spark, lake, store, {"broker": "localhost:1", "bad": "x"}, ("no-such",))
+    assert {k for k, v in found.items() if v} == {"spark", "lake", "catalog", "serving"} and set(found) - {"spark", "lake", "catalog", "serving"} == {"broker", "bad", "container no-such"}
     for name in schemas.TABLES:
         spark.sql(f"DROP TABLE IF EXISTS {name}") if spark.catalog.databaseExists(name.split(".")[0]) else None
     batch.register(spark, lake)
@@ -110,6 +111,168 @@ def test_daily_flow_publishes_and_gates(spark, tmp_path):
     assert sqlbook.run(spark, "describe_events").count() > 0 and sqlbook.run(spark, "silver_tables").count() >= 4
 
 
+def test_a_task_beyond_its_limit_is_cancelled_before_the_next_try(spark):
+    import time
+
+    running, most, tries = [0], [0], []
+
+    def slow():
+        tries.append(1)
+        running[0] += 1
+        most[0] = max(most[0], running[0])
+        try:
+            spark.range(0, 4, 1, 4).rdd.map(lambda x: time.sleep(120)).count()
+        finally:
+            running[0] -= 1
+
+    began = time.monotonic()
+    run = flow.execute([flow.Task("slow", slow, retries=1, wait_seconds=0, limit_seconds=3)], sleep=lambda s: None, spark=spark)
+    assert run.states == {"slow": "failed"} and len(tries) == 2 and most == [1] and running == [0] and time.monotonic() - began < 60
+    stuck = flow.Task("stuck", lambda: time.sleep(6), retries=3, limit_seconds=1)
+    with pytest.raises(flow.StillRunning):
+        flow.attempt_once(stuck, spark, grace_seconds=1)
+
+
+def test_overwriting_a_table_by_itself_computes_rows_once(spark, tmp_path):
+    table, path = schemas.MARKETPLACE_QUARANTINE, str(tmp_path / "q")
+    other = DAY + dt.timedelta(days=1)
+    rows = spark.createDataFrame([("a", "r", None, "bad", DAY), ("b", "r", None, "bad", other)], table.struct)
+    sinks.overwrite_partitions(rows, path, table)
+    computed = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            computed.add(b.num_rows)
+            yield b
+
+    held = sinks.read(spark, path, table).where("raw_payload = 'a'").mapInArrow(seen, table.struct)
+    assert sinks.overwrite_partitions(held, path, table, [DAY, other]) == [f"ingest_date={DAY}"]
+    assert computed.value == 1 and [r.raw_payload for r in sinks.read(spark, path, table).collect()] == ["a"]
+    assert not [p for p in (tmp_path / "q" / "_staging").glob("*")]
+    failing = rows.withColumn("raw_payload", F.raise_error(F.lit("no")).cast("string"))
+    with pytest.raises(Exception, match="no"):
+        sinks.overwrite_partitions(failing, path, table, [DAY])
+    assert sinks.read(spark, path, table).count() == 1  # nothing was replaced
+
+
+def test_only_a_missing_table_reads_as_empty(spark, tmp_path, monkeypatch):
+    from pyspark.errors import AnalysisException
+
+    table = schemas.MARKETPLACE_QUARANTINE
+    assert sinks.read(spark, str(tmp_path / "none"), table).count() == 0
+    broken = schemas.Table("silver.q", table.columns, table.partition, "no-such-format")
+    with pytest.raises(Exception) as e:
+        sinks.read(spark, str(tmp_path), broken)
+    assert not isinstance(e.value, AnalysisException) or e.value.getCondition() != "PATH_NOT_FOUND"
+
+
+class _FakePostgres:
+    """A driver module whose connections speak %s and greatest over SQLite; they have no execute of their own."""
+
+    def __init__(self, path):
+        self.path, self.asked = path, []
+
+    def connect(self, **options):
+        import sqlite3
+
+        self.asked.append(options)
+        held = sqlite3.connect(self.path)
+
+        class Cursor:
+            def __init__(self):
+                self.c = held.cursor()
+
+            def _text(self, sql):
+                return sql.replace("%s", "?").replace("greatest(", "max(").replace("DEFAULT now()", "DEFAULT CURRENT_TIMESTAMP")
+
+            def execute(self, sql, values=()):
+                self.c.execute(self._text(sql), [str(v) if isinstance(v, Decimal) else v for v in values])
+
+            def executemany(self, sql, rows):
+                self.c.executemany(self._text(sql), [[str(v) if isinstance(v, Decimal) else v for v in r] for r in rows])
+
+            rowcount = property(lambda self: self.c.rowcount)
+            fetchall = lambda self: self.c.fetchall()
+            close = lambda self: self.c.close()
+
+        class Connection:
+            cursor = staticmethod(Cursor)
+            commit, rollback, close = staticmethod(held.commit), staticmethod(held.rollback), staticmethod(held.close)
+
+        return Connection()
+
+
+def test_serving_through_a_postgres_driver(spark, tmp_path, monkeypatch):
+    import sys
+
+    from clickstrata.operators import marts, sessions
+
+    fake = _FakePostgres(str(tmp_path / "pg.db"))
+    monkeypatch.setitem(sys.modules, "psycopg2", fake)
+    a = cli.parser().parse_args(["publish", "--from-date", "2019-10-05", "--to-date", "2019-10-05", "--pg-host", "db", "--pg-user", "u", "--pg-password", "p"])
+    store = cli._store(a)
+    assert fake.asked[0]["host"] == "db" and fake.asked[0]["dbname"] == "serving" and "UTC" in fake.asked[0]["options"]
+    lake = Lake(str(tmp_path / "lake"))
+    _gold(spark, lake)
+    events = sinks.read(spark, lake.table(MARKETPLACE.events.name), MARKETPLACE.events)
+    funnel, categories = marts.marketplace_funnel(sessions.marketplace_sessions(events)), marts.category_daily(events)
+    for _ in range(2):
+        assert publish(store, funnel, categories, DAY, DAY) == {"daily_funnel": 1, "category_daily": 1}
+    assert store.query("SELECT session_date, revenue FROM daily_funnel") == [(str(DAY), 25)]
+    found = store.sums("category_daily", DAY, DAY)
+    assert found == {"rows": 1, "purchases": 20, "revenue": Decimal("25.00")}
+    row = {"minute": dt.datetime(2019, 10, 5, 1, 1), "event_type": "purchase", "events": 2, "revenue": Decimal("1.10")}
+    assert store.apply_live("q", 0, [row], dt.datetime(2019, 10, 5, 1, 2), 2) and not store.apply_live("q", 0, [row], None, 2)
+    assert store.apply_live("q", 1, [row], None, 2) and store.status()[0] == dt.datetime(2019, 10, 5, 1, 2)
+    assert store.query("SELECT minute_ts, events FROM live_minute WHERE event_type = ?", "purchase") == [("2019-10-05 01:01:00", 4)]
+    monkeypatch.setattr(Serving, "sums", lambda *a: {"rows": 1, "sessions": 0, "sessions_purchase": 0, "revenue": Decimal(0)})
+    with pytest.raises(PublishError):
+        publish(store, funnel, categories, DAY, DAY)
+
+
+def test_a_failed_transaction_leaves_the_store_as_it_was(tmp_path):
+    store = Serving.sqlite(str(tmp_path / "s.db"))
+    row = {"session_date": DAY, "sessions": 1, "users": 1, "sessions_view": 1, "sessions_cart": 0, "sessions_purchase": 0, "purchase_without_cart": 0, "buyers": 0, "revenue": Decimal("1.5"), "view_to_cart_rate": None, "session_conversion_rate": 0.0}
+    store.replace_range("daily_funnel", [row], DAY, DAY)
+    with pytest.raises(KeyError):
+        store.replace_ranges([("daily_funnel", [row]), ("category_daily", [{"event_date": DAY}])], DAY, DAY)
+    assert store.sums("daily_funnel", DAY, DAY) == {"rows": 1, "sessions": 1, "sessions_purchase": 0, "revenue": Decimal("1.5")}
+
+
+def test_one_by_one_to_a_broker():
+    class Client:
+        def __init__(self):
+            self.sent, self.polled, self.full = [], 0, 1
+
+        def produce(self, topic, value, key, on_delivery):
+            if self.full:
+                self.full -= 1
+                raise BufferError
+            self.sent.append((topic, key, value))
+            on_delivery("lost" if value == b"x" else None, None)
+
+        def poll(self, seconds):
+            self.polled += 1
+
+        def flush(self, seconds):
+            return 0
+
+    client = Client()
+    sender = sinks.KafkaProducer("k:9092", "t", client)
+    for user, payload in (("u1", "{}"), (None, "x")):
+        sender.send(user, payload)
+    assert client.sent == [("t", b"u1", b"{}"), ("t", None, b"x")] and client.polled == 3 and sender.close() == 1
+
+
+def test_slices_are_sent_when_they_are_due(spark, tmp_path):
+    rows = spark.createDataFrame([(f"2019-10-01 00:00:{s:02d}", "view", "1", f"u{s % 2}") for s in (0, 1, 1, 7, 25, 31)] + [("never", "view", "1", "u9")], "event_time string, event_type string, price string, user_id string")
+    slices, waits = [], []
+    out = replay.replay_slices(rows, lambda df: slices.append([r.event_ts and r.event_ts.second for r in df.collect()]), str(tmp_path), 10, 1, clock=lambda: 0.0, sleep=waits.append)
+    assert [sorted(x, key=str) for x in slices] == [[0, 1, 1, 7, None], [25], [31]] and waits == [2, 3] and (out.sent, out.first.second, out.last.second) == (7, 0, 31)
+    few = replay.replay_slices(rows, lambda df: df.collect(), str(tmp_path), 0, 1, max_events=4)
+    assert few.sent == 4
+
+
 def test_publish_refuses_an_empty_funnel(spark, tmp_path):
     store = Serving.sqlite(str(tmp_path / "s.db"))
     empty = spark.createDataFrame([], schemas.MARKETPLACE_FUNNEL.struct)
@@ -174,6 +337,10 @@ def test_cli_has_every_job():
     jobs = {"ingest": [], "stream-bronze": ["--trigger-seconds", "0"], "stream-silver": [], "stream": ["--no-live"], "silver": ["--all"], "gold": ["--from-date", "2019-10-01", "--to-date", "2019-10-02"], "check": ["--stage", "gold", "--date", "2019-10-01"], "replay": ["--file", "x", "--dry-run"], "generate": [], "health": []}
     for job, args in jobs.items():
         assert cli.parser().parse_args([job, *args]).job == job
+    a = cli.parser().parse_args(["stream", "--silver-table", "silver.mine", "--bronze-table", "bronze.mine"])
+    profile = cli.renamed(MARKETPLACE, a)
+    assert (profile.raw.name, profile.events.name, profile.quarantine.name) == ("bronze.mine", "silver.mine", MARKETPLACE.quarantine.name)
+    assert cli.renamed(MARKETPLACE, cli.parser().parse_args(["stream-bronze", "--table", "bronze.t"])).raw.name == "bronze.t"
     a = cli.parser().parse_args(["generate"])
     assert (a.days, a.events_per_day, a.users, a.late_rate, a.seed) == (7, 200_000, 50_000, 0.02, 42)
 

@@ -41,9 +41,16 @@ def test_every_day_passes_the_ledger_once(spark, duck, tmp_path):
 
 
 def test_generator_is_deterministic_and_noisy(spark):
-    one, two = (sorted(map(tuple, queries.synth_noise(spark, SF).collect())) for _ in range(2))
-    assert one == two
-    assert {r[1] for r in one} == {"valid", "rejected"}
+    from clickstrata.plans import synth
+
+    conf = synth.Synth(days=2, events_per_day=2000, users=80, products=60, shards=2, bad_rate=0.05)
+    one = sorted(map(tuple, synth.generated(spark, conf).collect()))
+    assert one == sorted(map(tuple, synth.generated(spark, conf).repartition(7).collect()))
+    assert one != sorted(map(tuple, synth.generated(spark, synth.Synth(**conf.__dict__ | {"seed": 1})).collect()))
+    noise = {r.noise: r.n for r in synth.delivered(synth.events(spark, conf), conf).groupBy("noise").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()}
+    assert set(noise) == {"none", "late", "repeated", "damaged"}
+    carts = synth.events(spark, conf).where("event_type IN ('add_to_cart', 'remove_from_cart', 'product_view')").where("price IS NULL OR category IS NULL").count()
+    assert carts == 0
 
 
 def test_entry_runs(spark):
