@@ -69,22 +69,32 @@ def neighbours(keys: DataFrame, order: list[Column], wrap: bool, out: str, value
     return held.join(F.broadcast(after.select("__part", "__after")), "__part").withColumn(out, F.coalesce("__next", "__after")["v"]).drop("__part", "__next", "__first", "__after")
 
 
-def unlike_neighbours(keys: DataFrame, order: list[Column], out: str, value: str, kind: str) -> DataFrame:
-    """keys with a column ``out``: ``value`` of the next row in the order whose ``kind`` (not null) differs, else null.
+def unlike_neighbours(keys: DataFrame, order: list[Column], value: str, kind: str) -> DataFrame:
+    """keys with columns ``ahead`` and ``behind``: ``value`` of the next row in the order whose ``kind`` (not null) differs, and
+    of the last one before; null where there is none.
 
-    As ``neighbours``: each range on its own, then one row for each range. Of a range, its first row and the first row of
-    another kind answer for whatever runs into it; one that is all of that kind passes the question on.
+    As ``neighbours``: each range on its own, in time that grows with its rows (frames only grow, on either side), then one
+    row for each range. Of a range, its first and last row and the first and last row of another kind than those answer
+    for whatever runs into it; one that is all of that kind passes the question on.
     """
     ranged = written(keys.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
-    within = Window.partitionBy("__part").orderBy(*order)
-    onward, whole = within.rowsBetween(Window.currentRow, Window.unboundedFollowing), within.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    held = ranged.withColumn("__v", F.struct(F.col(value).alias("v"))).withColumns({"__end": F.when(F.lead(kind).over(within) != F.col(kind), F.lead("__v").over(within)), "__first": F.row_number().over(within) == 1})
-    held = held.withColumns({"__next": F.first("__end", ignorenulls=True).over(onward), "__last": F.last(kind).over(whole)})
-    heads = held.where("__first").select("__part", F.col("__v").alias("__head"), F.col(kind).alias("__kind"), F.col("__next").alias("__unlike"), "__last")
-    by_part = Window.orderBy("__part")
-    found = heads.withColumn("__found", F.when(F.lead("__kind").over(by_part) != F.col("__last"), F.lead("__head").over(by_part)).otherwise(F.lead("__unlike").over(by_part)))
-    after = found.select("__part", F.first("__found", ignorenulls=True).over(by_part.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("__after"))
-    return held.join(F.broadcast(after), "__part").withColumn(out, F.coalesce("__next", "__after")["v"]).drop("__part", "__v", "__end", "__first", "__next", "__last", "__after")
+    up = Window.partitionBy("__part").orderBy(*order)
+    held = ranged.withColumn("__v", F.struct(F.col(value).alias("v"))).withColumns({
+        "__n": F.row_number().over(up), "__up": F.when(F.lead(kind).over(up) != F.col(kind), F.lead("__v").over(up)), "__down": F.when(F.lag(kind).over(up) != F.col(kind), F.lag("__v").over(up)),
+    })
+    grown = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = held.withColumn("__behind", F.last("__down", ignorenulls=True).over(grown(up)))
+    held = held.withColumn("__ahead", F.last("__up", ignorenulls=True).over(grown(Window.partitionBy("__part").orderBy(F.desc("__n"))))).drop("__up", "__down")
+    ends = lambda f: f(F.struct(F.col("__n").alias("n"), F.col("__v").alias("v"), F.col(kind).alias("kind"), F.col("__ahead").alias("ahead"), F.col("__behind").alias("behind")))
+    ranges = held.groupBy("__part").agg(ends(F.min).alias("head"), ends(F.max).alias("tail"))
+    parts, parts_down = Window.orderBy("__part"), Window.orderBy(F.desc("__part"))
+    seen = ranges.withColumns({
+        "__up": F.when(F.lead("head.kind").over(parts) != F.col("tail.kind"), F.lead("head.v").over(parts)).otherwise(F.lead("head.ahead").over(parts)),
+        "__down": F.when(F.lag("tail.kind").over(parts) != F.col("head.kind"), F.lag("tail.v").over(parts)).otherwise(F.lag("tail.behind").over(parts)),
+    })
+    seen = seen.select("__part", F.last("__up", ignorenulls=True).over(grown(parts_down)).alias("__after"), F.last("__down", ignorenulls=True).over(grown(parts)).alias("__before"))
+    found = held.join(F.broadcast(seen), "__part")  # one row a range
+    return found.withColumns({"ahead": F.coalesce("__ahead", "__after")["v"], "behind": F.coalesce("__behind", "__before")["v"]}).drop("__part", "__v", "__n", "__ahead", "__behind", "__after", "__before")
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:

@@ -65,6 +65,8 @@ NAMED = {"class", "id", "role", "hidden", "style", "itemprop", "aria-hidden"}
 COPY = 0.8
 #: Share of a host's differing pages, and pages at least, on which a line of an article must stand to be the site's.
 SITE, SITE_PAGES = 0.5, 4
+#: Pages with lines to take out of their articles, some 100 bytes each, that are broadcast at most; more are joined by shuffle.
+BROADCAST_PAGES = 50_000
 #: Kinds of lines.
 OTHER, MAIN_LINE, LEFT_OUT = 0, 1, 2
 
@@ -267,12 +269,10 @@ def nearest(pages: DataFrame) -> DataFrame:
     """row, the row of the neighbour in URL order on the same host that shares the longer path prefix (near), and that of the
     neighbour on the other side (other). Pages with equal lines_hash are copies: neighbours are the next that are none.
     """
-    place = F.regexp_extract(F.coalesce("url", F.lit("")), "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^?#]*)", 0)
-    host = host_of(F.col("url"))
-    path = F.regexp_extract(place, "//[^/]*(.*)", 1)
-    keys = pages.select("row", host.alias("host"), path.alias("path"), F.struct(host.alias("host"), "lines_hash").alias("lines")).withColumn("at", F.struct("host", "path", "row"))
-    up, down = [F.asc("host"), F.asc("path"), F.asc("row")], [F.desc("host"), F.desc("path"), F.desc("row")]
-    both = unlike_neighbours(keys, up, "ahead", "at", "lines").join(unlike_neighbours(keys, down, "behind", "at", "lines").select("row", "behind"), "row")
+    path = F.regexp_extract(F.coalesce("url", F.lit("")), "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^?#]*)", 1)
+    keys = pages.select("row", F.xxhash64(host_of(F.col("url"))).alias("host"), path.alias("path"), "lines_hash")
+    keys = keys.select("row", "host", "path", F.struct("host", "lines_hash").alias("lines"), F.struct("host", "path", "row").alias("at"))
+    both = unlike_neighbours(keys, [F.asc("host"), F.asc("path"), F.asc("row")], "at", "lines")
     steps = lambda p: F.split(p, "/")
 
     def shared(other: str):
@@ -295,13 +295,12 @@ def site_lines(table: DataFrame, doubtful: DataFrame) -> DataFrame:
     return stands.join(sizes, "host").where((F.col("on") >= SITE * F.col("pages")) & (F.col("on") >= SITE_PAGES)).select("host", "hash")
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars of every page, and of how many lines (n_lines) differencing found how many shared (n_shared)."""
-    small_batches(pages.sparkSession)
-    table = parsed(pages, id_col, url_col, html_col)
+def differenced(table: DataFrame) -> DataFrame:
+    """row, gone (places of the lines that the nearest page shares) and doubtful (those of them inside an article) of each page."""
     pairs = nearest(table.select("row", "url", "lines_hash"))
-    near, other = (table.select(F.col("row").alias(x), F.col("hashes").alias(f"{x}_hashes")) for x in ("near", "other"))
-    met = table.select("row", "kinds", "hashes").join(pairs, "row", "left").join(near, "near", "left").join(other, "other", "left").select("row", "kinds", "hashes", "near_hashes", "other_hashes")
+    lines = table.select("row", "kinds", "hashes")  # the same for all three joins, so that it is dealt once
+    near, other = (lines.select(F.col("row").alias(x), F.col("hashes").alias(f"{x}_hashes")) for x in ("near", "other"))
+    met = pairs.join(near, "near", "left").join(other, "other", "left").join(lines, "row").select("row", "kinds", "hashes", "near_hashes", "other_hashes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -312,14 +311,24 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                 doubtful.append([k for k in shared if kinds[k] == MAIN_LINE])
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(gone, pa.list_(pa.int32())), pa.array(doubtful, pa.list_(pa.int32()))], ["row", "gone", "doubtful"])
 
-    shared = written(met.mapInArrow(run, "row long, gone array<int>, doubtful array<int>"), "shared-lines")
+    return written(met.mapInArrow(run, "row long, gone array<int>, doubtful array<int>"), "shared-lines")
+
+
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """page_id, url, text, n_chars of every page."""
+    small_batches(pages.sparkSession)
+    table = parsed(pages, id_col, url_col, html_col)
+    shared = differenced(table)
     asked = shared.where(F.size("doubtful") > 0).select("row", F.explode("doubtful").alias("k")).join(table.select("row", "url", "hashes"), "row")
     asked = written(asked.select("row", "k", host_of(F.col("url")).alias("host"), F.col("hashes")[F.col("k")].alias("hash")), "doubtful-lines")
-    of_site = asked.join(site_lines(table, asked), ["host", "hash"]).groupBy("row").agg(F.collect_set("k").alias("site"))
-    none = F.array().cast("array<int>")
-    held = table.select("row", "page_id", "url", "lines", "kinds").join(shared.select("row", "gone"), "row", "left").join(of_site, "row", "left")
-    held = held.withColumns({"gone": F.coalesce("gone", none), "site": F.coalesce("site", none), "marked": F.array_contains("kinds", F.lit(MAIN_LINE).cast("byte"))})
-    kind = lambda k: F.get("kinds", k)
-    stays = F.filter("lines", lambda x, k: F.when(F.col("marked"), (kind(k) == MAIN_LINE) & ~F.array_contains("site", k)).otherwise((kind(k) == OTHER) & ~F.array_contains("gone", k)))
-    text = F.array_join(stays, "\n\n")
-    return held.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"), F.size("lines").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_shared"))
+    of_site = written(asked.join(site_lines(table, asked), ["host", "hash"]).groupBy("row").agg(F.collect_set("k").alias("gone")), "lines-of-sites")
+    if of_site.count() <= BROADCAST_PAGES:
+        of_site = F.broadcast(of_site)
+    marked = F.array_contains("kinds", F.lit(MAIN_LINE).cast("byte"))
+    columns = ["page_id", "url", "lines", "kinds", "gone"]
+    articles = table.where(marked).join(of_site, "row", "left").select(*columns, F.lit(MAIN_LINE).alias("kind"))
+    others = table.where(~marked).join(shared.select("row", "gone"), "row", "left").select(*columns, F.lit(OTHER).alias("kind"))
+    held = articles.unionByName(others).withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    stays = F.filter("lines", lambda x, k: (F.get("kinds", k) == F.col("kind")) & ~F.array_contains("gone", k))
+    held = held.withColumn("text", F.array_join(stays, "\n\n"))
+    return held.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -46,14 +46,30 @@ def test_broken_markup_takes_linear_time(piece):
     assert time.process_time() - began < 3
 
 
-def test_lines_of_the_site_go_from_articles_and_quotations_stay(spark):
+@pytest.mark.parametrize("most", [0, 50_000])
+def test_lines_of_the_site_go_from_articles_and_quotations_stay(spark, monkeypatch, most):
+    monkeypatch.setattr(html_text, "BROADCAST_PAGES", most)
     quoted = "As the old saying goes."
     page = lambda k: f"<nav>menu {k % 3}</nav><article><p>own {k} first</p><p>Read our terms before you go on.</p><p>own {k} last</p>{f'<p>{quoted}</p>' if k in (3, 4, 5) else ''}</article><div class=ad>buy {k}</div><footer>site</footer>"
     rows = [(k, f"http://h.org/a/{k:02d}", page(k)) for k in range(12)]
     out = {r.page_id: r for r in html_text.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
     for k in range(12):
         assert out[k].text == f"own {k} first\n\nown {k} last" + (f"\n\n{quoted}" if k in (3, 4, 5) else "")
-        assert out[k].n_chars == len(out[k].text) and out[k].n_shared >= 2
+        assert out[k].n_chars == len(out[k].text)
+
+
+def test_differencing_acts_on_pages_of_the_tables(spark):
+    import os
+
+    sf = "/root/testdata/sf0.01"
+    if not os.path.exists(sf):
+        pytest.skip("no tables")
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    table = html_text.parsed(pages, "page_id", "url", "html")
+    found = html_text.differenced(table).join(table, "row").collect()
+    assert len(found) == pages.count() and sum(bool(r.gone) for r in found) > 0
+    for r in found:
+        assert all(r.kinds[k] == html_text.MAIN_LINE for k in r.doubtful) and set(r.doubtful) <= set(r.gone)
 
 
 def test_differencing_alone_finds_the_frame_of_whole_tables(spark):
@@ -136,8 +152,8 @@ def test_unlike_neighbours(spark):
     for most in (1, 2, 40):
         kinds = [k for _ in range(30) for k in [rng.randint(0, 3)] * rng.randint(1, most)]
         df = spark.createDataFrame(list(enumerate(kinds)), "n int, kind int")
-        out = {r.n: r.ahead for r in unlike_neighbours(df, [F.asc("n")], "ahead", "n", "kind").collect()}
-        assert out == {n: next((m for m in range(n, len(kinds)) if kinds[m] != k), None) for n, k in enumerate(kinds)}
+        out = {r.n: (r.ahead, r.behind) for r in unlike_neighbours(df, [F.asc("n")], "n", "kind").collect()}
+        assert out == {n: (next((m for m in range(n, len(kinds)) if kinds[m] != k), None), next((m for m in range(n, -1, -1) if kinds[m] != k), None)) for n, k in enumerate(kinds)}
 
 
 def _toxic_corpus(n=600):
