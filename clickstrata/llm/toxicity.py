@@ -1,19 +1,21 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Method: a lexical step turns the words of a clause into classes (insult, threat, target, negation, reporting verb).
-Transducers for negation, reported speech, and targets are composed into one deterministic machine, which rewrites the
-class sequence: an insult under negation, in reported speech, aimed at someone, or plain, and threats aimed at someone.
-A text's score is a logistic function of the weights of its matched clauses; isolated words score nothing but through
-the clause they stand in.
-
-Insults and weights are learnt from labelled rows: at most ``TOXIC_ROWS`` and ``CLEAN_ROWS`` of them, those with the
-least hash of their id, the only bound that rows are chosen by. Insults are words or stems that explain toxic texts which
-the ones before them do not; so words that only copies of a toxic text share are not taken for insults. The other
-classes are the fixed word lists below.
+Method: a lexical transducer turns the words of a clause into classes (insult, threat, target, negation, reporting verb),
+each with a weight. Transducers for negation, reported speech, threats and targets are composed with each other into one
+deterministic machine, which rewrites the class sequence: an insult under negation, in reported speech, aimed at someone,
+or plain, and threats aimed at someone. Its arcs carry weights: where machines are composed weights multiply, along a
+clause they add up. A clause is what stands between two of ``CLAUSE_END``, however long; one that holds a single word
+matches nothing, so isolated words score nothing. A text's score is a logistic function of what its clauses add up to.
+
+Insults and arc weights are learnt from labelled rows: at most ``TOXIC_ROWS`` and ``CLEAN_ROWS`` of them and at most
+``SAMPLE_BYTES`` of their texts, whole texts in the order of the hash of their id, the only bounds that rows are chosen
+by. Insults are words or stems that explain toxic texts which the ones before them do not; so words that only copies of a
+toxic text share are not taken for insults. The other classes are the fixed word lists below.
 
 Null texts count as empty; they and texts without matches get the base score. Without toxic labels every score is 0.
-Null labels and ids are not learnt from. Empty tables give no rows. Repeated rows are scored each; other columns are
-never inputs.
+Null labels and ids are not learnt from; of rows that share an id the greatest text is learnt from, and an id with both
+labels counts as toxic. Empty tables give no rows. Repeated rows are scored each; other columns are never inputs. A very
+long text is read once, its clauses one after the other.
 """
 
 from __future__ import annotations
@@ -30,9 +32,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TOXIC_ROWS, CLEAN_ROWS = 1500, 2500
-#: Lengths of stems; texts, and share of toxic texts, that an insult must explain; its least ratio of toxic to clean share; most insults.
-STEMS, LEAST_TEXTS, LEAST_SHARE, LEAST_RATIO, MOST_INSULTS = range(4, 9), 3, 0.005, 4.0, 400
+from clickstrata.llm.common import small_batches
+
+TOXIC_ROWS, CLEAN_ROWS, SAMPLE_BYTES = 1500, 2500, 64 << 20
+#: Lengths of stems; texts, and share of toxic texts, that an insult must explain; its least ratio of toxic to clean share.
+STEMS, LEAST_TEXTS, LEAST_SHARE, LEAST_RATIO = range(4, 9), 3, 0.005, 4.0
 #: Words of the other classes, in English, German, French and Spanish.
 THREATS = "kill murder hurt beat destroy shoot stab burn hang strangle töten umbringen schlagen verprügeln erschießen tuer frapper détruire égorger matar golpear destruir degollar"
 TARGETS = "you your yours yourself u du dich dir dein deine deinen ihr euch tu te toi vous votre ton ta tú ti vosotros usted ustedes tus"
@@ -44,7 +48,8 @@ CLAUSE_END = re.compile(r"[.!?;:\n]")
 
 @dataclass(frozen=True)
 class Transducer:
-    """Deterministic, letter to letter: arcs (state, symbol) to (state, symbol); a symbol without an arc is copied to the rest state."""
+    """Deterministic, letter to letter: arcs (state, symbol) to (state, symbol, weight); a symbol without an arc is copied with
+    weight 1 to the rest state."""
 
     arcs: dict[tuple, tuple]
     rest: dict = field(default_factory=dict)
@@ -52,64 +57,82 @@ class Transducer:
 
     def step(self, state, symbol: str) -> tuple:
         found = self.arcs.get((state, symbol))
-        return found if found is not None else (self.rest.get(state, state), symbol)
+        return found if found is not None else (self.rest.get(state, state), symbol, 1.0)
 
     def run(self, symbols: list[str]) -> list[str]:
-        state, out = self.start, []
+        """What it writes."""
+        return [symbol for symbol, _ in self.weighed(symbols)]
+
+    def weighed(self, symbols: list[str]) -> Iterator[tuple[str, float]]:
+        """What it writes, and the weight of each arc."""
+        state = self.start
         for s in symbols:
-            state, made = self.step(state, s)
-            out.append(made)
-        return out
+            state, made, weight = self.step(state, s)
+            yield made, weight
 
 
 def compose(first: Transducer, second: Transducer, alphabet: str) -> Transducer:
-    """The machine that runs ``second`` on what ``first`` writes."""
+    """The machine that runs ``second`` on what ``first`` writes; weights multiply."""
     start = (first.start, second.start)
     arcs, open_, seen = {}, [start], {start}
     while open_:
         a, b = state = open_.pop()
         for s in alphabet:
-            a2, mid = first.step(a, s)
-            b2, out = second.step(b, mid)
-            arcs[state, s] = ((a2, b2), out)
+            a2, mid, one = first.step(a, s)
+            b2, out, two = second.step(b, mid)
+            arcs[state, s] = ((a2, b2), out, one * two)
             if (a2, b2) not in seen:
                 seen.add((a2, b2))
                 open_.append((a2, b2))
     return Transducer(arcs, {}, start)
 
 
-def grammar() -> Transducer:
+#: What the grammar writes for a match: negated, reported, aimed and plain insult, aimed threat.
+PATHS = "IJiqK"
+ALPHABET = "ITYNRo"
+
+
+def grammar(weights: dict[str, float] | None = None) -> Transducer:
     """Classes: I insult, T threat, Y target, N negation, R report, o other. Writes i (negated), q (reported), J (aimed
-    insult), I (plain insult), K (aimed threat), o."""
+    insult), I (plain insult), K (aimed threat), o. ``weights`` by PATHS go to the arcs that write them (without: 1), and other
+    arcs weigh nothing."""
     scope = 4
-    negation = Transducer({(0, "N"): (scope, "o")} | {(k, "N"): (0, "o") for k in range(1, scope + 1)} | {(k, a): (k - 1, b) for k in range(1, scope + 1) for a, b in (("I", "i"), ("T", "t"))}, {k: k - 1 for k in range(1, scope + 1)})
-    report = Transducer({(0, "R"): (1, "o"), (1, "R"): (1, "o")} | {(1, s): (1, "q") for s in "IiTt"})
+    negation = Transducer({(0, "N"): (scope, "o", 1.0)} | {(k, "N"): (0, "o", 1.0) for k in range(1, scope + 1)} | {(k, a): (k - 1, b, 1.0) for k in range(1, scope + 1) for a, b in (("I", "i"), ("T", "t"))}, {k: k - 1 for k in range(1, scope + 1)})
+    report = Transducer({(0, "R"): (1, "o", 1.0), (1, "R"): (1, "o", 1.0)} | {(1, s): (1, "q", 1.0) for s in "IiTt"})
     reach = 6
-    aim = {(k, "Y"): (reach, "o") for k in range(reach + 1)} | {(k, "I"): (k - 1, "J") for k in range(1, reach + 1)}
+    aim = {(k, "Y"): (reach, "o", 1.0) for k in range(reach + 1)} | {(k, "I"): (k - 1, "J", 1.0) for k in range(1, reach + 1)}
     insult = Transducer(aim, {k: k - 1 for k in range(1, reach + 1)})
     # a threat waits for its target, which insult aiming must still see: the threat is weighed first
-    threat = Transducer({(k, "T"): (reach, "o") for k in range(reach + 1)} | {(k, "Y"): (0, "K") for k in range(1, reach + 1)}, {k: k - 1 for k in range(1, reach + 1)})
-    alphabet = "ITYNRo"
-    return compose(compose(compose(negation, report, alphabet), threat, alphabet), insult, alphabet)
-
-
-#: What the grammar writes and a weight is learnt for.
-PATHS = "IJiqK"
+    threat = Transducer({(k, "T"): (reach, "o", 1.0) for k in range(reach + 1)} | {(k, "Y"): (0, "K", 1.0) for k in range(1, reach + 1)}, {k: k - 1 for k in range(1, reach + 1)})
+    # one state: reads each match with its weight, and whatever else with none
+    scale = Transducer({(0, s): (0, s, (weights or dict.fromkeys(PATHS, 1.0)).get(s, 0.0)) for s in "ITYNRoitqJK"})
+    machine = negation
+    for more in (report, threat, insult, scale):
+        machine = compose(machine, more, ALPHABET)
+    return machine
 
 
 @dataclass(frozen=True)
 class Model:
-    """insults: word, or stem with a star, to weight; weights of the paths and of the text's length; bias."""
+    """insults: word, or stem with a star, to weight; the arc weights by path; the weight of the text's length; bias."""
 
     insults: dict[str, float]
-    weights: tuple[float, ...]
+    arcs: dict[str, float]
+    length: float
     bias: float
 
+    def logit(self, matched: float, chars: int) -> float:
+        return matched + self.length * _length(chars) + self.bias
+
+
+def _length(chars: int) -> float:
+    return math.log1p(chars) / 10
+
 
 class Matcher:
     """Finds clauses that hold an insult or a threat and runs the grammar on them."""
 
-    def __init__(self, insults: dict[str, float]):
+    def __init__(self, insults: dict[str, float], arcs: dict[str, float] | None = None):
         self.insults = insults
         self.classes = {w: c for c, words in (("Y", TARGETS), ("N", NEGATIONS), ("R", REPORTS)) for w in words.split()}
         self.threats = set(THREATS.split())
@@ -117,7 +140,7 @@ class Matcher:
         for w in insults:
             if w.endswith("*"):
                 self.stems[len(w) - 1][w[:-1]] = w
-        self.machine = grammar()
+        self.machine = grammar(arcs)
         self.search = ahocorasick.Automaton()
         for w in [*insults, *self.threats]:
             self.search.add_word(w.rstrip("*"), len(w.rstrip("*")))
@@ -131,9 +154,15 @@ class Matcher:
                 found = max(found, self.insults[stem])
         return found
 
-    def features(self, text: str) -> list[float]:
-        """For each path the logarithm of the weight that its clauses sum up to; and the logarithm of the text's length."""
-        lower, sums = text.lower(), dict.fromkeys(PATHS, 0.0)
+    def read(self, word: str) -> tuple[str, float]:
+        """The lexical transducer: a word's class and weight."""
+        if weight := self.insult(word):
+            return "I", weight
+        return ("T", 1.0) if word in self.threats else (self.classes.get(word, "o"), 1.0)
+
+    def clauses(self, text: str) -> Iterator[list[str]]:
+        """The words of each clause in which an insult or a threat may stand."""
+        lower = text.lower()
         done = 0
         for end, size in self.search.iter(lower):
             at = end - size + 1
@@ -142,13 +171,22 @@ class Matcher:
             begin = max((m.end() for m in CLAUSE_END.finditer(lower, done, at)), default=done)
             stop = m.start() if (m := CLAUSE_END.search(lower, end)) else len(lower)
             done = stop
-            words = WORD.findall(lower[begin:stop])
-            weights = [self.insult(w) for w in words]
-            symbols = ["I" if x else "T" if w in self.threats else self.classes.get(w, "o") for w, x in zip(words, weights, strict=True)]
-            for s, x in zip(self.machine.run(symbols), weights, strict=True):
-                if s in sums:
-                    sums[s] += x or 1.0
-        return [math.log1p(sums[s]) for s in PATHS] + [math.log1p(len(text)) / 10]
+            yield WORD.findall(lower[begin:stop])
+
+    def paths(self, text: str) -> dict[str, float]:
+        """By path, what the clauses' matches add up to."""
+        sums = dict.fromkeys(PATHS, 0.0)
+        for words in self.clauses(text):
+            if len(words) > 1:
+                read = [self.read(w) for w in words]
+                for (_, lexical), (path, arc) in zip(read, self.machine.weighed([c for c, _ in read]), strict=True):
+                    if path in sums:
+                        sums[path] += lexical * arc
+        return sums
+
+    def matched(self, text: str) -> float:
+        """What all clauses add up to."""
+        return sum(self.paths(text).values())
 
 
 def learn_insults(texts: list[str], toxic: list[bool]) -> dict[str, float]:
@@ -182,7 +220,7 @@ def learn_insults(texts: list[str], toxic: list[bool]) -> dict[str, float]:
     cost = {t: 3.0 * clean[t] * n_toxic / max(n_clean, 1) for t in has}
     need = dict.fromkeys(by_text, 2)
     out: dict[str, float] = {}
-    while gain and len(out) < MOST_INSULTS:
+    while gain:
         best = max(gain, key=lambda t: (gain[t] - cost[t], len(t.rstrip("*")), t))
         if gain[best] - cost[best] < max(LEAST_TEXTS, LEAST_SHARE * n_toxic):
             break
@@ -199,8 +237,8 @@ def learn_insults(texts: list[str], toxic: list[bool]) -> dict[str, float]:
     return out
 
 
-def learn_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
-    """Logistic regression by Newton steps, classes weighted alike; path weights are not negative."""
+def learn_weights(x: np.ndarray, y: np.ndarray, positive: int, ridge: float = 1.0) -> tuple[np.ndarray, float]:
+    """Logistic regression by Newton steps, classes weighted alike; the first ``positive`` weights are not negative."""
     held = np.column_stack([x, np.ones(len(x))])
     share = np.where(y, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
     theta = np.zeros(held.shape[1])
@@ -217,7 +255,7 @@ def learn_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.
             theta += np.clip(step, -2, 2)
             if np.abs(step).max() < 1e-8:
                 break
-        below = (theta < 0) & (np.arange(len(theta)) < len(PATHS)) & free
+        below = (theta < 0) & (np.arange(len(theta)) < positive) & free
         if not below.any():
             break
         theta[below] = 0
@@ -230,37 +268,54 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model from the labelled rows that are not held out."""
+def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[bool]]:
+    """Texts and labels to learn from, in the order of their ids: at most TOXIC_ROWS, CLEAN_ROWS and SAMPLE_BYTES."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     few = lambda toxic, n: known.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    sample = few(1, TOXIC_ROWS).unionByName(few(0, CLEAN_ROWS))
     # at most TOXIC_ROWS + CLEAN_ROWS pairs of numbers
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    texts, toxic = [r.text for r in rows], [r.toxic == 1 for r in rows]
+    marked = F.broadcast(few(1, TOXIC_ROWS).unionByName(few(0, CLEAN_ROWS)))
+    held = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(marked, "doc_id")
+    sizes = held.groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("size"), F.xxhash64("doc_id").alias("rank")).collect()
+    total, ids = 0, []
+    for r in sorted(sizes, key=lambda r: (r["rank"], r.doc_id)):
+        total += r.size
+        if total > SAMPLE_BYTES:
+            break
+        ids.append(r.doc_id)
+    chosen = docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id bigint")
+    rows = held.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id").collect()
+    return [r.text for r in rows], [r.toxic == 1 for r in rows]
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """A model from the labelled rows that are not held out."""
+    texts, toxic = sample(docs, labels)
     if not any(toxic):
-        return Model({}, (), 0.0)
+        return Model({}, {}, 0.0, 0.0)
     insults = learn_insults(texts, toxic)
     matcher = Matcher(insults)
-    x = np.array([matcher.features(t) for t in texts])
-    weights, bias = learn_weights(x, np.array(toxic))
-    return Model(insults, tuple(weights.tolist()), bias)
+    found, lengths, y = [matcher.paths(t) for t in texts], np.array([_length(len(t)) for t in texts]), np.array(toxic)
+    # first what one path says against another, then, with that on the arcs, what all matches of a text say together
+    by_path, _ = learn_weights(np.column_stack([*[[math.log1p(p[s]) for p in found] for s in PATHS], lengths]), y, len(PATHS))
+    arcs = dict(zip(PATHS, by_path[:-1].tolist(), strict=True))
+    (matches, length), bias = learn_weights(np.column_stack([[sum(arcs[s] * p[s] for s in PATHS) for p in found], lengths]), y, 1)
+    return Model(insults, {s: x * float(matches) for s, x in arcs.items()}, float(length), bias)
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(model.insults) if model.weights else None
-        weights, bias = np.array(model.weights), model.bias
+        matcher = Matcher(model.insults, model.arcs) if model.arcs else None
         for batch in batches:
             if matcher is None:
                 scores = np.zeros(batch.num_rows)
             else:
-                x = np.array([matcher.features(t.as_py() or "") for t in batch.column(1)]).reshape(-1, len(weights))
-                scores = 1 / (1 + np.exp(-np.clip(x @ weights + bias, -30, 30)))
+                held = [t.as_py() or "" for t in batch.column(1)]
+                scores = 1 / (1 + np.exp(-np.clip([model.logit(matcher.matched(t), len(t)) for t in held], -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
@@ -274,9 +329,10 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> Data
     """The rows of docs that score less than 0.5."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher, weights, bias = Matcher(model.insults), np.array(model.weights), model.bias
+        matcher = Matcher(model.insults, model.arcs)
         for batch in batches:
-            x = np.array([matcher.features(t.as_py() or "") for t in batch.column(text_col)]).reshape(-1, len(weights))
-            yield batch.filter(pa.array(x @ weights + bias < 0))
+            held = [t.as_py() or "" for t in batch.column(text_col)]
+            yield batch.filter(pa.array([model.logit(matcher.matched(t), len(t)) < 0 for t in held], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema) if model.weights else docs
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema) if model.arcs else docs

@@ -203,13 +203,42 @@ def test_grammar_paths():
     assert run(list("ToY"))[-1] == "K" and run(list("oY"))[-1] == "o"
 
 
+def test_arcs_carry_weights_that_multiply_and_add():
+    weights = {"I": 2.0, "J": 3.0, "i": 0.5, "q": 0.25, "K": 1.5}
+    machine = toxicity.grammar(weights)
+    assert list(machine.weighed(list("oIYoINoI"))) == [("o", 0.0), ("I", 2.0), ("o", 0.0), ("o", 0.0), ("J", 3.0), ("o", 0.0), ("o", 0.0), ("i", 0.5)]
+    assert list(machine.weighed(list("ToY"))) == [("o", 0.0), ("o", 0.0), ("K", 1.5)]
+    one = toxicity.Transducer({(0, "a"): (1, "b", 2.0)})
+    two = toxicity.Transducer({(0, "b"): (0, "c", 5.0)})
+    assert list(toxicity.compose(one, two, "a").weighed(["a", "a"])) == [("c", 10.0), ("a", 1.0)]
+    matcher = toxicity.Matcher({"grimbo": 2.0, "snur*": 4.0}, weights)
+    assert matcher.matched("A grimbo here. You are a snurfle! He said grimbo.") == 2 * 2.0 + 4 * 3.0 + 2 * 0.25
+
+
+def test_isolated_words_match_nothing():
+    matcher = toxicity.Matcher({"grimbo": 2.0})
+    assert matcher.matched("grimbo") == matcher.matched("A line.\ngrimbo\n...grimbo!") == 0
+    assert matcher.paths("the grimbo")["I"] == 2.0
+
+
 def test_long_clauses_are_read_whole():
-    held = dict(zip(toxicity.PATHS, toxicity.Matcher({"grimbo": 2.0}).features("he said " + "word " * 1000 + "grimbo"), strict=False))
+    held = toxicity.Matcher({"grimbo": 2.0}).paths("he said " + "word " * 1000 + "grimbo")
     assert held["q"] > 0 and held["I"] == 0
-    held = dict(zip(toxicity.PATHS, toxicity.Matcher({"grimbo": 2.0}).features("he said so. " + "word " * 1000 + "grimbo"), strict=False))
+    held = toxicity.Matcher({"grimbo": 2.0}).paths("he said so. " + "word " * 1000 + "grimbo")
     assert held["I"] > 0 and held["q"] == 0
 
 
+def test_the_sample_is_bounded_in_bytes(spark, monkeypatch):
+    rows, labels = _toxic_corpus(80)
+    rows += [(3, "a greater text than any other", "en", "s", 1), (3, "zz the greatest", "en", "s", 1)]
+    docs, marks = frame(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    texts, toxic = toxicity.sample(docs, marks)
+    assert (texts, toxic) == toxicity.sample(docs.repartition(7), marks) and "zz the greatest" in texts
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 5000)
+    few, _ = toxicity.sample(docs, marks)
+    assert 0 < len(few) < len(texts) and sum(len(t.encode()) for t in few) <= 5000
+
+
 def test_pipeline_stages_keep_columns(spark, tmp_path):
     import corpus_pipeline
 
