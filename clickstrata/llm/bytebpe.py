@@ -4,8 +4,9 @@ Method: a short word is its part boundaries and, beside them, the merge rank of
 rank is searched for again and again; its boundary is deleted and the ranks next to it are refreshed. Words over
 ``LONG`` bytes, where the repeated scan would take the square of their length, keep the same ranks in a heap.
 
-Null texts count as empty: no ids, empty decoded text. Empty tables give no rows. Repeated rows are returned each
-time. Columns besides id and text are ignored.
+Null texts count as empty: no ids, empty decoded text; null ids are kept. Empty tables give no rows. Repeated rows are
+returned each time. Of two places with the least rank the first is merged. A very long text is encoded whole, word by
+word; a batch holds at most 16 MB of texts, or one text. Columns besides id and text are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clickstrata.llm.common import small_batches
+
 #: White space of the split pattern: Unicode's White_Space property.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Fixed value: the public split pattern of this vocabulary, over any text and, faster, over Latin-1 and Latin Extended-A.
@@ -154,6 +157,7 @@ def encoded(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
             ids = [bpe.encode(x.as_py() or "") for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary, decoded string")
 
 
@@ -171,4 +175,5 @@ def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
                 texts.append(sha256(bpe.decode(held).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids), pa.array(texts)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from clickstrata.llm.common import components, written
+from clickstrata.llm.common import components, small_batches, written
 
 SEED = 42
 #: Tree rows that a shard's task holds, and queries, about.
@@ -115,6 +115,7 @@ def fingerprints(docs: DataFrame, links: Links, id_col: str = "doc_id", text_col
             made = [fingerprint(x.as_py() or "", links.shingle, links.bits, links.once, links.plain) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["doc_id", "fingerprint"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fingerprint binary")
 
 
@@ -433,6 +434,7 @@ def first_of_each_group(docs: DataFrame, links: Links = WIDE, least: float = 0.8
     with the least id stays. Fingerprints with BK-trees and rare shared shingles give candidates, the latter every pair
     that can be so similar; shared shingles decide.
     """
+    small_batches(docs.sparkSession)
     keyed = docs.withColumn("__did", F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))).withColumn("__hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     texts = keyed.select(F.col("__did").alias("did"), F.col("__hash").alias("hash"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 

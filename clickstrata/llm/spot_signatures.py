@@ -7,8 +7,10 @@ lengths differ too much cannot be similar, and joins only on the rarest signatur
 must share one. DataFrame functions only.
 
 A text without signatures has its whole word sequence as its one signature; without words its set is empty. Two empty
-sets are alike (1). Null texts count as empty. Empty tables give no rows. Rows that share id and text are one document,
-returned each time. Columns besides id and text are ignored.
+sets are alike (1). Null texts count as empty; null ids are kept, and come last in descending order. Empty tables give no
+rows. Rows that share id and text are one document, returned each time; rows that share only their id are ordered by
+their text's hash. A very long text is one row: its words and signatures are in one task's memory at once. Columns
+besides id and text are ignored.
 """
 
 from __future__ import annotations
