@@ -95,7 +95,9 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_
     task's number, and the order within a task is total, so that a task that runs again gives the same rows.
     """
     pieces = written(pieces, "pieces")
-    tasks = max(1, math.ceil(pieces.count() / task_pieces))
+    number = pieces.count()
+    tasks = max(1, math.ceil(number / task_pieces))
+    runs = max(1, math.ceil(number / tasks / RUN))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, first = OpenBins(capacity, open_bins), TaskContext.get().partitionId() << 40
@@ -104,7 +106,6 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_
             made = [pa.array([first + n for n, _ in placed], pa.int64()), pa.array([at for _, at in placed], pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "sequence_id", "offset"])
 
-    runs = max(1, math.ceil(task_pieces / RUN))
     run = F.pmod(F.xxhash64(*pieces.columns), F.lit(runs))
     dealt = pieces.repartition(tasks, *pieces.columns).sortWithinPartitions(run, F.desc("length"), "doc_id", "piece", *[c for c in pieces.columns if c not in ("doc_id", "piece", "length")])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
