@@ -6,6 +6,9 @@ in ``equal`` of them, so they meet in a shard. Each shard builds a BK-tree, whos
 to their parent, and each fingerprint of the shard follows only the edges within the radius. A shard keeps a forest of
 its links; stars over the forests of all shards give the components.
 
+Near-duplicate texts are those whose sets of word shingles have a cosine of 0.8 or more, the similarity that differing bits
+of SimHash estimate: fingerprints and rare shared shingles give candidates, the sets themselves decide.
+
 Trees are not broadcast: their size grows with the corpus and has no bound. They are dealt to tasks instead. A shard
 over ``SHARD`` rows is cut into parts of about so many; each part is a tree, and each part searches each tree in a task
 of its own, so that a task holds one tree and one part's queries, however large the shard is.
@@ -288,9 +291,10 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str, columns: dict[str, type
 
 
 def rare_links(texts: DataFrame, shingle: int, least: float, plain: bool = False) -> DataFrame:
-    """Links (a, b) that connect all texts (node, text) whose shingle sets can have Jaccard similarity ``least`` or more.
+    """Links (a, b) that connect all texts (node, text) whose shingle sets can have a similarity of ``least`` or more.
 
-    Prefix filter: two such sets share one of the n - ceil(least n) + 1 shingles of each that come first in any order
+    Prefix filter: two such sets, of n and m shingles, share least sqrt(n m) or more, and m is least**2 n or more; so they
+    share one of the n - ceil(least**2 n) + 1 shingles of each that come first in any order
     over all shingles. In the order taken, by the number of texts, those that only one text has come first, and link
     nothing; so only texts mostly made of what others hold too have any. Holders of one shingle are linked to the least.
     Shingles are packed by parts of the hash range, and counts by parts of the nodes, each of bounded mean size.
@@ -347,7 +351,7 @@ def rare_links(texts: DataFrame, shingle: int, least: float, plain: bool = False
             starts = np.flatnonzero(np.r_[True, nodes[1:] != nodes[:-1]])
             shared = np.diff(np.r_[starts, len(nodes)])
             rank = np.arange(len(nodes)) - np.repeat(starts, shared)
-            prefix = sizes - np.ceil(least * sizes - 1e-9).astype(np.int64) + 1
+            prefix = sizes - np.ceil(least * least * sizes - 1e-9).astype(np.int64) + 1
             kept = rank < prefix - (sizes - np.repeat(shared, shared))
             yield pa.RecordBatch.from_arrays([pa.array(part[kept] << 32 | found[kept].astype(np.int64)), pa.array(nodes[kept])], ["shingle", "node"])
 
@@ -359,7 +363,7 @@ def rare_links(texts: DataFrame, shingle: int, least: float, plain: bool = False
 
 
 def similar(sets: list[np.ndarray], left: int, least: float) -> list[tuple[int, int]]:
-    """Links that connect all sets with Jaccard similarity at ``least`` or more: the first ``left`` with all, or, where all
+    """Links that connect all sets with a similarity of ``least`` or more: the first ``left`` with all, or, where all
     are ``left``, among each other. Through an inverted index of the hashes."""
     sizes = np.array([len(x) for x in sets])
     tokens = np.concatenate(sets)
@@ -381,7 +385,7 @@ def similar(sets: list[np.ndarray], left: int, least: float) -> list[tuple[int,
         own = slice(ends[i] - sizes[i], ends[i])
         n, f = many[own], first[own]
         both = np.bincount(held[np.repeat(f - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(sets)) if len(n) else np.zeros(len(sets), int)
-        hits = np.flatnonzero(both >= least * (sizes + sizes[i] - both) - 1e-9)
+        hits = np.flatnonzero(both >= least * np.sqrt(sizes * float(sizes[i])) - 1e-9)
         for j in hits[hits > i].tolist():
             a, b = root(i), root(j)
             if a != b:
@@ -430,8 +434,8 @@ def verified_links(texts: DataFrame, shingle: int, least: float, plain: bool = F
 
 
 def first_of_each_group(docs: DataFrame, links: Links = WIDE, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without near-duplicates: of each group of texts that links of similarity ``least`` connect the row
-    with the least id stays. Fingerprints with BK-trees and rare shared shingles give candidates, the latter every pair
+    """The rows of docs without near-duplicates: of each group of texts that links of similarity (cosine of the sets of
+    shingles) ``least`` or more connect the row with the least id stays. Fingerprints with BK-trees and rare shared shingles give candidates, the latter every pair
     that can be so similar; shared shingles decide.
     """
     small_batches(docs.sparkSession)

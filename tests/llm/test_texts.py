@@ -253,7 +253,7 @@ def test_one_of_each_near_duplicate_group_stays(spark, monkeypatch):
     rows += [(n, None, None, None, None), (n + 1, "", "en", "s", 0), rows[0], (n + 2, rows[0][1], "de", "t", 1)]
     sets = {r[0]: set(simhash.shingles(r[1] or "", 5)) for r in rows}
     text = {r[0]: r[1] or "" for r in rows}
-    groups = _components(list(sets), lambda a, b: text[a] == text[b] or bool(sets[a]) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    groups = _components(list(sets), lambda a, b: text[a] == text[b] or bool(sets[a]) and len(sets[a] & sets[b]) >= 0.8 * (len(sets[a]) * len(sets[b])) ** 0.5 - 1e-9)
     out = simhash.first_of_each_group(frame(spark, rows))
     assert sorted(r.doc_id for r in out.collect()) == sorted(set(groups.values()))
     assert out.columns == frame(spark, rows).columns
@@ -262,7 +262,7 @@ def test_one_of_each_near_duplicate_group_stays(spark, monkeypatch):
 
 def _near(rows):
     sets = {r[0]: set(simhash.shingles(r[1], 5)) for r in rows}
-    return sorted(set(_components(list(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])).values()))
+    return sorted(set(_components(list(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * (len(sets[a]) * len(sets[b])) ** 0.5 - 1e-9).values()))
 
 
 def test_near_duplicates_that_differ_in_repeats(spark):
