@@ -1,7 +1,12 @@
 """The corpus pipeline: documents pass quality rules, toxicity, near-duplicate and repeated-passage removal, and packing.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Rows
-with null ids or texts, repeated rows and empty tables go through as each operator's docstring says.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+
+Null texts count as empty: the quality stage rejects them. Null ids are kept, and rank before all others where one row of
+several stays. Rows equal in id and text share every verdict; one of them stays in the near-duplicate stage. Rows that
+share only their id are told apart by their text's hash. Ties go to the least id, then the least hash. Very long texts are
+read whole in each stage, in batches of 16 MB or one text. An empty table stays empty in each stage. Columns besides
+those of documents end at the repeats stage, and clash with nothing: keys that stages add begin with two underscores.
 """
 
 from __future__ import annotations
@@ -36,7 +41,10 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of ``PASSAGE_WORDS`` words or more that stand anywhere else; n_chars follows the text."""
+    """Documents without passages of ``PASSAGE_WORDS`` words or more that stand anywhere else; n_chars follows the text.
+
+    Every occurrence goes, the first too: what is left holds no such passage twice, nor one that other documents once held.
+    """
     found = repeats.without_repeats(docs, repeats.Windows("words", PASSAGE_WORDS), columns=("lang", "source"))
     text = F.col("kept").cast("string")
     return found.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
