@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,9 +26,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths made since the innermost ``scratch`` began.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def table_path(spark: SparkSession, name: str) -> str:
     """A new path below the application's own part of the shared folder, which can go when the application has ended."""
-    return f"{shared_dir(spark)}/clickstrata-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/clickstrata-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    if (made := _MADE.get()) is not None:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Shared tables that are made within are removed at the end: what reads them must have been written by then, elsewhere."""
+    token = _MADE.set([])
+    try:
+        yield
+    finally:
+        paths = _MADE.get()
+        _MADE.reset(token)
+        to_path = spark._jvm.org.apache.hadoop.fs.Path
+        for path in paths:
+            to_path(path).getFileSystem(spark._jsc.hadoopConfiguration()).delete(to_path(path), True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

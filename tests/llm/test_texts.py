@@ -380,6 +380,19 @@ def test_spot_signature_links(spark):
     assert {r.doc_id: r.representative for r in members.collect()} == {i: first[s] for i, s in sets.items()}
 
 
+def test_scratch_tables_go(spark, tmp_path):
+    from pathlib import Path
+
+    from clickstrata.llm.common import scratch, shared_dir, table_path, written
+
+    folder = Path(shared_dir(spark).removeprefix("file:")) / f"clickstrata-{spark.sparkContext.applicationId}"
+    kept = table_path(spark, "kept")
+    with scratch(spark):
+        written(spark.range(3), "scratch-inner").write.parquet(kept)
+        assert list(folder.glob("scratch-inner-*"))
+    assert not list(folder.glob("scratch-inner-*")) and spark.read.parquet(kept).count() == 3
+
+
 def test_components_of_long_chains(spark):
     from clickstrata.llm.common import components
 
