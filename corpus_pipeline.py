@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickstrata.llm import packing, quality, repeats, simhash, toxicity
-from clickstrata.llm.common import read_table, written
+from clickstrata.llm.common import read_table, scratch, table_path
 from clickstrata.llm.queries import WORD_VOCABULARY
 
 #: Words of a passage that is removed where it repeats.
@@ -63,5 +63,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        out = table_path(spark, f"stage-{name}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(out)
+        docs = spark.read.parquet(out)
     return STAGES[-1][1](spark, docs, sf_dir)
