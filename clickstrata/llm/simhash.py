@@ -30,7 +30,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -241,8 +241,8 @@ def near_duplicates(docs: DataFrame, links: Links = Links(), id_col: str = "doc_
 WIDE = Links(shingle=5, bits=384, radius=84, blocks=32, equal=1, once=True, plain=True)
 #: Fingerprints that share a band by chance, about: bands widen with the corpus so that it stays so many.
 CHANCE = 16
-#: Texts of one candidate component that are compared in one task.
-COMPARED = 1500
+#: Texts of one candidate component that are compared in one task, about; texts of a larger one that all others are compared with first.
+COMPARED, PIVOTS = 1500, 16
 #: Shingles that are counted together, and the least number of parts they are dealt to.
 COUNTED, LEAST_PARTS = 2_000_000, 64
 
@@ -385,7 +385,7 @@ def similar(sets: list[np.ndarray], left: int, least: float) -> list[tuple[int,
         own = slice(ends[i] - sizes[i], ends[i])
         n, f = many[own], first[own]
         both = np.bincount(held[np.repeat(f - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(sets)) if len(n) else np.zeros(len(sets), int)
-        hits = np.flatnonzero(both >= least * np.sqrt(sizes * float(sizes[i])) - 1e-9)
+        hits = np.flatnonzero((both >= least * np.sqrt(sizes * float(sizes[i])) - 1e-9) & ((sizes > 0) == (sizes[i] > 0)))  # texts without words are alike
         for j in hits[hits > i].tolist():
             a, b = root(i), root(j)
             if a != b:
@@ -394,22 +394,9 @@ def similar(sets: list[np.ndarray], left: int, least: float) -> list[tuple[int,
     return out
 
 
-def verified_links(texts: DataFrame, shingle: int, least: float, plain: bool = False) -> DataFrame:
-    """Links (a, b) that connect texts (root: candidate component, node, text) with shingle similarity at ``least`` or more.
-
-    A component of over ``COMPARED`` texts is dealt in blocks, each block with each other one, so no task holds more than two.
-    """
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [shingle_set(x.as_py() or "", shingle, plain) for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("root"), batch.column("node"), batch.column("parts"), pa.array(made, pa.binary())], ["root", "node", "parts", "shingles"])
-
-    sizes = written(texts.groupBy("root").count().select("root", F.ceil(F.col("count") / COMPARED).cast("int").alias("parts")), "component-sizes")
-    held = texts.join(sizes, "root").select("root", "node", "parts", "text").mapInArrow(sets, "root long, node long, parts int, shingles binary")
-    held = held.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = held.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "shingles")
-    dealt = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", F.asc("own"), "node")
+def compared(dealt: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) that connect the sets (root, i, j: the task; chosen, node, shingles) with a similarity of ``least`` or more:
+    of each task the chosen with all others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, nodes, found, left = None, [], [], 0
@@ -419,18 +406,55 @@ def verified_links(texts: DataFrame, shingle: int, least: float, plain: bool = F
             return pa.RecordBatch.from_arrays([pa.array([nodes[a] for a, _ in pairs], pa.int64()), pa.array([nodes[b] for _, b in pairs], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for root, i, j, own, node, raw in zip(*(batch.column(c).to_pylist() for c in ("root", "i", "j", "own", "node", "shingles")), strict=True):
+            for root, i, j, chosen, node, raw in zip(*(batch.column(c).to_pylist() for c in ("root", "i", "j", "chosen", "node", "shingles")), strict=True):
                 if key != (root, i, j):
-                    if len(nodes) > 1:
+                    if len(nodes) > 1 and left:
                         yield linked()
                     key, nodes, found, left = (root, i, j), [], [], 0
                 nodes.append(node)
                 found.append(np.frombuffer(raw, np.uint64))
-                left += own == i
-        if len(nodes) > 1:
+                left += chosen
+        if len(nodes) > 1 and left:
             yield linked()
 
-    return dealt.mapInArrow(run, "a long, b long")
+    held = dealt.select("root", "i", "j", "chosen", "node", "shingles").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", F.desc("chosen"), "node")
+    return held.mapInArrow(run, "a long, b long")
+
+
+def verified_links(texts: DataFrame, shingle: int, least: float, plain: bool = False) -> DataFrame:
+    """Links (a, b) that connect texts (root: candidate component, node, text) with shingle similarity at ``least`` or more.
+
+    A component of up to ``COMPARED`` texts is one task. A larger one is dealt in parts of about so many, and first each
+    part is compared with the component's ``PIVOTS``. Texts that these connect with most of the component need not be
+    compared with each other; only the rest is, in blocks, with all. So a group of near copies, however large, costs a
+    multiple of its size where the pivots reach most of it, and no task holds more than two parts.
+    """
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [shingle_set(x.as_py() or "", shingle, plain) for x in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("root"), batch.column("node"), pa.array(held, pa.binary())], ["root", "node", "shingles"])
+
+    sets = written(texts.select("root", "node", "text").mapInArrow(made, "root long, node long, shingles binary"), "shingle-sets")
+    sizes = written(sets.groupBy("root").count().select("root", F.ceil(F.col("count") / COMPARED).cast("int").alias("parts")), "component-sizes")
+    dealt = sets.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    # of a large component the first by node, which is a hash; ranks beyond the number of pivots are cut before the exchange
+    first = sets.select("root", "node").join(sizes.where("parts > 1"), "root").withColumn("rank", F.row_number().over(Window.partitionBy("root").orderBy("node"))).where(F.col("rank") <= PIVOTS)
+    pivots = written(first.select("root", "node", F.lit(True).alias("pivot")), "pivots")
+    dealt = dealt.join(pivots, ["root", "node"], "left").withColumn("pivot", F.coalesce("pivot", F.lit(False)))
+    each = F.explode(F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("own")))
+    by_pivots = written(compared(dealt.select("root", "node", "shingles", (F.col("pivot") | (F.col("parts") == 1)).alias("chosen"), F.lit(0).alias("i"), each.alias("j")), least), "links-of-pivots")
+    large = written(sets.select("root", "node").join(sizes.where("parts > 1"), "root"), "large-components")
+    found = components(by_pivots.join(large.select(F.col("node").alias("a")), "a", "left_semi"))
+    grouped = written(large.join(found.withColumnRenamed("root", "sub"), "node", "left").select("root", "node", "parts", F.coalesce("sub", "node").alias("sub")), "groups-of-pivots")
+    most = written(grouped.groupBy("root", "sub").count().groupBy("root").agg(F.max(F.struct("count", "sub"))["sub"].alias("most"), F.sum("count").alias("all"), F.max("count").alias("in_most")), "largest-groups")
+    open_ = most.select("root", "most", F.ceil((F.col("all") - F.col("in_most")) / COMPARED).cast("int").alias("rest")).where("rest > 0")
+    placed = grouped.join(open_, "root").select("root", "node", "rest", "parts", (F.col("sub") != F.col("most")).alias("left_over"))
+    placed = sets.join(placed, ["root", "node"]).withColumns({"own": F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), "block": F.pmod(F.xxhash64("node", F.lit(1)), F.col("rest")).cast("int")})
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    as_block = placed.where("left_over").select("root", "node", "shingles", F.lit(True).alias("chosen"), F.col("block").alias("i"), F.explode(every("parts")).alias("j"))
+    as_part = placed.withColumn("i", F.explode(every("rest"))).where(~F.col("left_over") | (F.col("i") != F.col("block"))).select("root", "node", "shingles", F.lit(False).alias("chosen"), "i", F.col("own").alias("j"))
+    return by_pivots.unionByName(compared(as_block.unionByName(as_part), least))
 
 
 def first_of_each_group(docs: DataFrame, links: Links = WIDE, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -236,8 +236,10 @@ def test_bk_tree_and_forest():
         assert all((values[a] ^ values[b]).bit_count() <= radius for a, b in links)
 
 
-def test_one_of_each_near_duplicate_group_stays(spark, monkeypatch):
+@pytest.mark.parametrize("pivots", [1, 16])
+def test_one_of_each_near_duplicate_group_stays(spark, monkeypatch, pivots):
     monkeypatch.setattr(simhash, "COMPARED", 3)
+    monkeypatch.setattr(simhash, "PIVOTS", pivots)
     import random
 
     rng = random.Random(8)
@@ -253,7 +255,7 @@ def test_one_of_each_near_duplicate_group_stays(spark, monkeypatch):
     rows += [(n, None, None, None, None), (n + 1, "", "en", "s", 0), rows[0], (n + 2, rows[0][1], "de", "t", 1)]
     sets = {r[0]: set(simhash.shingles(r[1] or "", 5)) for r in rows}
     text = {r[0]: r[1] or "" for r in rows}
-    groups = _components(list(sets), lambda a, b: text[a] == text[b] or bool(sets[a]) and len(sets[a] & sets[b]) >= 0.8 * (len(sets[a]) * len(sets[b])) ** 0.5 - 1e-9)
+    groups = _components(list(sets), lambda a, b: text[a] == text[b] or bool(sets[a]) and bool(sets[b]) and len(sets[a] & sets[b]) >= 0.8 * (len(sets[a]) * len(sets[b])) ** 0.5 - 1e-9)
     out = simhash.first_of_each_group(frame(spark, rows))
     assert sorted(r.doc_id for r in out.collect()) == sorted(set(groups.values()))
     assert out.columns == frame(spark, rows).columns
