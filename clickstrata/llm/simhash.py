@@ -363,7 +363,7 @@ def rare_links(texts: DataFrame, shingle: int, least: float, plain: bool = False
 
 
 def similar(sets: list[np.ndarray], left: int, least: float) -> list[tuple[int, int]]:
-    """Links that connect all sets with a similarity of ``least`` or more: the first ``left`` with all, or, where all
+    """Links that connect all sets with a similarity of ``least`` or more: the first ``left`` with the others, or, where all
     are ``left``, among each other. Through an inverted index of the hashes."""
     sizes = np.array([len(x) for x in sets])
     tokens = np.concatenate(sets)
@@ -380,13 +380,13 @@ def similar(sets: list[np.ndarray], left: int, least: float) -> list[tuple[int,
             parent[x] = x = parent[parent[x]]
         return x
 
-    out = []
+    out, after = [], 0 if left == len(sets) else left
     for i in range(left):
         own = slice(ends[i] - sizes[i], ends[i])
         n, f = many[own], first[own]
         both = np.bincount(held[np.repeat(f - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(sets)) if len(n) else np.zeros(len(sets), int)
         hits = np.flatnonzero((both >= least * np.sqrt(sizes * float(sizes[i])) - 1e-9) & ((sizes > 0) == (sizes[i] > 0)))  # texts without words are alike
-        for j in hits[hits > i].tolist():
+        for j in hits[hits >= max(after, i + 1)].tolist():
             a, b = root(i), root(j)
             if a != b:
                 parent[b] = a
@@ -442,19 +442,27 @@ def verified_links(texts: DataFrame, shingle: int, least: float, plain: bool = F
     first = sets.select("root", "node").join(sizes.where("parts > 1"), "root").withColumn("rank", F.row_number().over(Window.partitionBy("root").orderBy("node"))).where(F.col("rank") <= PIVOTS)
     pivots = written(first.select("root", "node", F.lit(True).alias("pivot")), "pivots")
     dealt = dealt.join(pivots, ["root", "node"], "left").withColumn("pivot", F.coalesce("pivot", F.lit(False)))
-    each = F.explode(F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("own")))
-    by_pivots = written(compared(dealt.select("root", "node", "shingles", (F.col("pivot") | (F.col("parts") == 1)).alias("chosen"), F.lit(0).alias("i"), each.alias("j")), least), "links-of-pivots")
+    chosen = F.col("pivot") | (F.col("parts") == 1)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["root", "node", "shingles", "chosen", "i", "j"]
+    # a pivot is chosen in each part's task, and one of the others in its own part's, where it meets the other pivots
+    as_chosen = dealt.where(chosen).select("root", "node", "shingles", F.lit(True).alias("chosen"), F.lit(0).alias("i"), every("parts").alias("j"))
+    as_other = dealt.where("parts > 1").select("root", "node", "shingles", F.lit(False).alias("chosen"), F.lit(0).alias("i"), F.col("own").alias("j"))
+    by_pivots = written(compared(as_chosen.unionByName(as_other), least), "links-of-pivots")
     large = written(sets.select("root", "node").join(sizes.where("parts > 1"), "root"), "large-components")
     found = components(by_pivots.join(large.select(F.col("node").alias("a")), "a", "left_semi"))
     grouped = written(large.join(found.withColumnRenamed("root", "sub"), "node", "left").select("root", "node", "parts", F.coalesce("sub", "node").alias("sub")), "groups-of-pivots")
     most = written(grouped.groupBy("root", "sub").count().groupBy("root").agg(F.max(F.struct("count", "sub"))["sub"].alias("most"), F.sum("count").alias("all"), F.max("count").alias("in_most")), "largest-groups")
-    open_ = most.select("root", "most", F.ceil((F.col("all") - F.col("in_most")) / COMPARED).cast("int").alias("rest")).where("rest > 0")
-    placed = grouped.join(open_, "root").select("root", "node", "rest", "parts", (F.col("sub") != F.col("most")).alias("left_over"))
-    placed = sets.join(placed, ["root", "node"]).withColumns({"own": F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), "block": F.pmod(F.xxhash64("node", F.lit(1)), F.col("rest")).cast("int")})
-    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    as_block = placed.where("left_over").select("root", "node", "shingles", F.lit(True).alias("chosen"), F.col("block").alias("i"), F.explode(every("parts")).alias("j"))
-    as_part = placed.withColumn("i", F.explode(every("rest"))).where(~F.col("left_over") | (F.col("i") != F.col("block"))).select("root", "node", "shingles", F.lit(False).alias("chosen"), "i", F.col("own").alias("j"))
-    return by_pivots.unionByName(compared(as_block.unionByName(as_part), least))
+    tasks = lambda n: F.ceil(n / COMPARED).cast("int")
+    open_ = most.select("root", "most", tasks(F.col("all") - F.col("in_most")).alias("rest"), tasks(F.col("in_most")).alias("parts")).where("rest > 0")
+    placed = grouped.drop("parts").join(open_, "root").select("root", "node", "rest", "parts", (F.col("sub") != F.col("most")).alias("left_over"))
+    placed = sets.join(placed, ["root", "node"]).withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("left_over"), F.col("rest")).otherwise(F.col("parts"))).cast("int"))
+    # blocks of what is left over with each other, and each of them with each part of what is connected
+    rest, settled = placed.where("left_over"), placed.where(~F.col("left_over"))
+    with_rest = rest.withColumn("other", every("rest")).select("root", "node", "shingles", (F.col("own") <= F.col("other")).alias("chosen"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    with_parts = rest.select("root", "node", "shingles", F.lit(True).alias("chosen"), F.col("own").alias("i"), F.col("rest").alias("__at"), every("parts").alias("j")).withColumn("j", F.col("__at") + F.col("j"))
+    as_parts = settled.select("root", "node", "shingles", F.lit(False).alias("chosen"), every("rest").alias("i"), (F.col("rest") + F.col("own")).alias("j"))
+    return by_pivots.unionByName(compared(with_rest.select(columns).unionByName(with_parts.select(columns)).unionByName(as_parts.select(columns)), least))
 
 
 def first_of_each_group(docs: DataFrame, links: Links = WIDE, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
