@@ -420,7 +420,8 @@ def catalog_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = []
     try:
         for layer in ("bronze", "silver", "gold"):
-            for r in spark.sql(f"SHOW TABLES IN {prefix}{layer}").collect():
+            # the session's temporary views are listed in each database
+            for r in spark.sql(f"SHOW TABLES IN {prefix}{layer}").where("NOT isTemporary").collect():
                 said = {x.col_name: x.data_type for x in spark.sql(f"DESCRIBE FORMATTED {prefix}{layer}.{r.tableName}").collect()}
                 found.append((f"{layer}.{r.tableName}", said["Provider"].lower(), said["Type"]))
     finally:
@@ -505,11 +506,15 @@ def replay_paced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _book(spark: SparkSession, name: str, **views: DataFrame) -> DataFrame:
-    """A query of the SQL book over views of these tables."""
+    """A query of the SQL book over views of these tables, which go when it is analysed: they would be listed in each database."""
     names = {k: f"{k}_{uuid.uuid4().hex}" for k in views}
     for k, df in views.items():
         df.createOrReplaceTempView(names[k])
-    return shown(sqlbook.run(spark, name, **names))
+    try:
+        return shown(sqlbook.run(spark, name, **names))
+    finally:
+        for view in names.values():
+            spark.catalog.dropTempView(view)
 
 
 def sql_reject_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:

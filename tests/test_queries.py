@@ -29,6 +29,18 @@ def test_query_equals_sql(spark, duck, name):
     assert _rows(df.select(*columns).collect()) == _rows(duck.sql(f"SELECT {names} FROM ({queries.ORACLE_SQL[name]})").fetchall())
 
 
+def test_catalog_listing_leaves_out_temporary_views(spark, duck):
+    spark.range(1).createOrReplaceTempView("passing_view")
+    try:
+        views = lambda: {r.tableName for r in spark.sql("SHOW TABLES").where("isTemporary").collect()}
+        before = views()
+        queries.sql_reject_breakdown(spark, SF)
+        assert views() == before
+        assert _rows(queries.catalog_listing(spark, SF).select("name", "provider", "type").collect()) == _rows(duck.sql(queries.ORACLE_SQL["catalog_listing"]).fetchall())
+    finally:
+        spark.catalog.dropTempView("passing_view")
+
+
 def test_every_day_passes_the_ledger_once(spark, duck, tmp_path):
     from clickstrata.plans.serving import Serving
 
