@@ -17,8 +17,8 @@ QUERIES = {
         SELECT coalesce(utm_source, 'direct') AS channel, count(*) AS sessions, round(avg(duration_sec), 1) AS avg_duration_sec, count_if(converted) AS conversions,
           round(100 * avg(CASE WHEN converted THEN 1.0D ELSE 0.0D END), 2) AS conversion_pct, sum(revenue) AS revenue FROM {sessions} GROUP BY 1 ORDER BY revenue DESC, channel""",
     "session_percentiles": """
-        SELECT coalesce(cast(session_date AS string), 'all') AS day, percentile_approx(duration_sec, 0.5, 100000) AS p50_duration_sec, percentile_approx(duration_sec, 0.9, 100000) AS p90_duration_sec,
-          percentile_approx(n_events, 0.9, 100000) AS p90_events, round(avg(n_events), 2) AS avg_events FROM {sessions} GROUP BY GROUPING SETS ((session_date), ()) ORDER BY day""",
+        SELECT coalesce(cast(session_date AS string), 'all') AS day, cast(percentile_disc(0.5) WITHIN GROUP (ORDER BY duration_sec) AS bigint) AS p50_duration_sec,
+          cast(percentile_disc(0.9) WITHIN GROUP (ORDER BY duration_sec) AS bigint) AS p90_duration_sec, cast(percentile_disc(0.9) WITHIN GROUP (ORDER BY n_events) AS bigint) AS p90_events, round(avg(n_events), 2) AS avg_events FROM {sessions} GROUP BY GROUPING SETS ((session_date), ()) ORDER BY day""",
     "describe_events": "DESCRIBE FORMATTED {events}",
     "databases": "SHOW DATABASES",
     "silver_tables": "SHOW TABLES IN silver",

@@ -306,6 +306,21 @@ def test_sql_book_runs_on_storefront_tables(spark, tmp_path):
         assert sqlbook.run(spark, name, **views).count() > 0, name
 
 
+def test_percentiles_of_many_lengths_are_exact(spark):
+    from clickstrata.plans import sqlbook
+
+    n = 400_000  # lengths beyond the accuracy of a percentile sketch
+    spark.range(n).selectExpr("date'2026-09-01' + cast(id % 2 AS int) AS session_date", "id * 7919 % 400009 AS duration_sec", "id AS n_events").createOrReplaceTempView("many_sessions")
+    try:
+        found = {r.day: (r.p50_duration_sec, r.p90_duration_sec, r.p90_events) for r in sqlbook.run(spark, "session_percentiles", sessions="many_sessions").collect()}
+    finally:
+        spark.catalog.dropTempView("many_sessions")
+    least = lambda held, p: sorted(held)[-(-len(held) * p // 10) - 1]
+    for day, ids in (("all", range(n)), ("2026-09-01", range(0, n, 2)), ("2026-09-02", range(1, n, 2))):
+        lengths = [i * 7919 % 400009 for i in ids]
+        assert found[day] == (least(lengths, 5), least(lengths, 9), least(ids, 9)), day
+
+
 def test_csv_replay(spark, tmp_path):
     path = tmp_path / "e.csv"
     path.write_text("event_time,event_type,product_id,category_id,category_code,brand,price,user_id,user_session\n" + "2019-10-01 00:00:00 UTC,view,1,2053013555631882655,,b,1.50,7,s\n" * 2 + "broken,line\n" + "2019-10-01 00:00:02 UTC,view,1,2,c.d,b,cheap,7,s\n")
