@@ -4,9 +4,9 @@ Method: each text's statistics are transformed to a vector. For each language an
 determinant estimate is sought: the mean and covariance of those rows, a share ``COVERAGE`` of the group, whose
 covariance has the least determinant. Several starts (medians, all rows, spatial signs, the core of the scaled rows,
 random subsets) each take ``TRIAL_STEPS`` concentration steps: the rows with the least Mahalanobis distances give the
-next mean and covariance. The start with the least determinant goes on until its determinant falls no more. Rows beyond
-the chi-square ``CUTOFF`` are rejected. DataFrame functions only; each step is two partially aggregated passes over the
-narrow statistics. The rows of a core are counted by approximate percentiles (exact in groups of up to ``ACCURACY``
+next mean and covariance. A group's start with the least determinant goes on until its determinant falls no more; groups
+that have settled take no part in the steps of the others. Rows beyond the chi-square ``CUTOFF`` are rejected. DataFrame
+functions only; each step is two partially aggregated passes over the narrow statistics. The rows of a core are counted by approximate percentiles (exact in groups of up to ``ACCURACY``
 rows), and a covariance is regularised by ``FLOORS``.
 
 Null texts have no words and fail the base rule. Null languages and sources count as empty strings; null ids are kept. A
@@ -209,12 +209,14 @@ def least_determinant(sample: DataFrame, n_groups: int) -> DataFrame:
         trial = concentrated(sample, trial, n_groups * n_starts, [*GROUP, "start"])
     columns = [c for c in trial.columns if c not in (*GROUP, "start")]
     least = lambda df: df.groupBy(*GROUP).agg(F.min_by(F.struct(*columns), F.struct("log_det", *columns)).alias("e")).select(*GROUP, "e.*")
-    best = written(least(trial), "best-start")
+    best = moving = written(least(trial), "best-start")
     for _ in range(MOST_STEPS):
-        after = concentrated(sample, best, n_groups, GROUP)
-        fall = best.select(*GROUP, F.col("log_det").alias("before")).join(after, GROUP).agg(F.max(F.col("before") - F.col("log_det"))).first()[0]
+        # only groups whose determinant still falls: the join leaves the rows of the others out
+        after = concentrated(sample, moving, n_groups, GROUP)
         best = written(least(best.unionByName(after)), "best")
-        if fall is None or fall <= TOLERANCE:
+        before = moving.select(*GROUP, F.col("log_det").alias("before"))
+        moving = written(after.join(before, GROUP).where(F.col("before") - F.col("log_det") > TOLERANCE).select(*after.columns), "moving")
+        if moving.isEmpty():
             break
     return best
 

@@ -68,6 +68,29 @@ def test_least_determinant_equals_that_of_all_subsets(spark):
     assert min(off) > -1e-6 and max(off) < 1.5 and sum(x < 1e-6 for x in off) >= 0.75 * groups, off
 
 
+def test_settled_groups_take_no_more_steps(spark, monkeypatch):
+    rng, n, groups = np.random.default_rng(11), 40, 10
+    p = len(quality.VECTOR)
+    rows = [("en", f"g{g}", *map(float, x)) for g in range(groups) for x in rng.normal(size=(n, p)) @ rng.normal(size=(p, p))]
+    rows += [("en", "even", *[0.0] * p)] * n  # settles at once
+    sample = spark.createDataFrame(rows, ["g_lang", "g_source", *quality.VECTOR])
+    steps, real = [], quality.concentrated
+
+    def concentrated(sample, estimate, n_groups, keys):
+        out = real(sample, estimate, n_groups, keys)
+        if keys == quality.GROUP:
+            held = {r.g_source: r.log_det for r in estimate.collect()}
+            steps.append({r.g_source: held[r.g_source] - r.log_det for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(quality, "concentrated", concentrated)
+    found = {r.g_source for r in quality.least_determinant(sample, groups + 1).collect()}
+    assert len(found) == groups + 1 == len(steps[0]) and len(steps) > 1
+    for one, after in zip(steps, steps[1:], strict=False):
+        assert set(after) == {g for g, fall in one.items() if fall > quality.TOLERANCE}
+    assert all(fall <= quality.TOLERANCE for fall in steps[-1].values())
+
+
 def test_words_end_at_the_six_blanks_only(spark):
     texts = ["abc \x85", "abc\u2028", "\u2029", "a\u00a0b c\x1c", " \n", "\x0b\x0ca\r"]
     out = quality.quality(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
