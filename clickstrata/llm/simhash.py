@@ -241,8 +241,8 @@ def near_duplicates(docs: DataFrame, links: Links = Links(), id_col: str = "doc_
 WIDE = Links(shingle=5, bits=384, radius=84, blocks=32, equal=1, once=True, plain=True)
 #: Fingerprints that share a band by chance, about: bands widen with the corpus so that it stays so many.
 CHANCE = 16
-#: Texts of one candidate component that are compared in one task, about; texts of a larger one that all others are compared with first.
-COMPARED, PIVOTS = 1500, 16
+#: Texts of one candidate component that are compared in one task, about, and shingles of theirs; texts of a larger one that all others are compared with first.
+COMPARED, HELD, PIVOTS = 1500, 2_000_000, 16
 #: Shingles that are counted together, and the least number of parts they are dealt to.
 COUNTED, LEAST_PARTS = 2_000_000, 64
 
@@ -424,9 +424,9 @@ def compared(dealt: DataFrame, least: float) -> DataFrame:
 def verified_links(texts: DataFrame, shingle: int, least: float, plain: bool = False) -> DataFrame:
     """Links (a, b) that connect texts (root: candidate component, node, text) with shingle similarity at ``least`` or more.
 
-    A component of up to ``COMPARED`` texts is one task. A larger one is dealt in parts of about so many, and first each
-    part is compared with the component's ``PIVOTS``. Texts that these connect with most of the component need not be
-    compared with each other; only the rest is, in blocks, with all. So a group of near copies, however large, costs a
+    A component of up to ``COMPARED`` texts and ``HELD`` shingles is one task. A larger one is dealt in parts of about so
+    many, so that long texts come in parts of fewer, and first each part is compared with the component's ``PIVOTS``. Texts
+    that these connect with most of the component need not be compared with each other; only the rest is, in blocks, with all. So a group of near copies, however large, costs a
     multiple of its size where the pivots reach most of it, and no task holds more than two parts.
     """
 
@@ -436,7 +436,9 @@ def verified_links(texts: DataFrame, shingle: int, least: float, plain: bool = F
             yield pa.RecordBatch.from_arrays([batch.column("root"), batch.column("node"), pa.array(held, pa.binary())], ["root", "node", "shingles"])
 
     sets = written(texts.select("root", "node", "text").mapInArrow(made, "root long, node long, shingles binary"), "shingle-sets")
-    sizes = written(sets.groupBy("root").count().select("root", F.ceil(F.col("count") / COMPARED).cast("int").alias("parts")), "component-sizes")
+    tasks = lambda texts, size: F.ceil(F.greatest(texts / COMPARED, size / HELD)).cast("int")
+    size = (F.length("shingles") / 8).cast("long")
+    sizes = written(sets.groupBy("root").agg(tasks(F.count("*"), F.sum(size)).alias("parts")), "component-sizes")
     dealt = sets.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     # of a large component the first by node, which is a hash; ranks beyond the number of pivots are cut before the exchange
     first = sets.select("root", "node").join(sizes.where("parts > 1"), "root").withColumn("rank", F.row_number().over(Window.partitionBy("root").orderBy("node"))).where(F.col("rank") <= PIVOTS)
@@ -449,13 +451,13 @@ def verified_links(texts: DataFrame, shingle: int, least: float, plain: bool = F
     as_chosen = dealt.where(chosen).select("root", "node", "shingles", F.lit(True).alias("chosen"), F.lit(0).alias("i"), every("parts").alias("j"))
     as_other = dealt.where("parts > 1").select("root", "node", "shingles", F.lit(False).alias("chosen"), F.lit(0).alias("i"), F.col("own").alias("j"))
     by_pivots = written(compared(as_chosen.unionByName(as_other), least), "links-of-pivots")
-    large = written(sets.select("root", "node").join(sizes.where("parts > 1"), "root"), "large-components")
+    large = written(sets.select("root", "node", size.alias("size")).join(sizes.where("parts > 1"), "root"), "large-components")
     found = components(by_pivots.join(large.select(F.col("node").alias("a")), "a", "left_semi"))
-    grouped = written(large.join(found.withColumnRenamed("root", "sub"), "node", "left").select("root", "node", "parts", F.coalesce("sub", "node").alias("sub")), "groups-of-pivots")
-    most = written(grouped.groupBy("root", "sub").count().groupBy("root").agg(F.max(F.struct("count", "sub"))["sub"].alias("most"), F.sum("count").alias("all"), F.max("count").alias("in_most")), "largest-groups")
-    tasks = lambda n: F.ceil(n / COMPARED).cast("int")
-    open_ = most.select("root", "most", tasks(F.col("all") - F.col("in_most")).alias("rest"), tasks(F.col("in_most")).alias("parts")).where("rest > 0")
-    placed = grouped.drop("parts").join(open_, "root").select("root", "node", "rest", "parts", (F.col("sub") != F.col("most")).alias("left_over"))
+    grouped = written(large.join(found.withColumnRenamed("root", "sub"), "node", "left").select("root", "node", "size", F.coalesce("sub", "node").alias("sub")), "groups-of-pivots")
+    by_sub = grouped.groupBy("root", "sub").agg(F.count("*").alias("count"), F.sum("size").alias("size"))
+    most = written(by_sub.groupBy("root").agg(F.max(F.struct("count", "sub", "size")).alias("top"), F.sum("count").alias("all"), F.sum("size").alias("size")), "largest-groups")
+    open_ = most.select("root", F.col("top.sub").alias("most"), tasks(F.col("all") - F.col("top.count"), F.col("size") - F.col("top.size")).alias("rest"), tasks(F.col("top.count"), F.col("top.size")).alias("parts")).where("rest > 0")
+    placed = grouped.drop("size").join(open_, "root").select("root", "node", "rest", "parts", (F.col("sub") != F.col("most")).alias("left_over"))
     placed = sets.join(placed, ["root", "node"]).withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("left_over"), F.col("rest")).otherwise(F.col("parts"))).cast("int"))
     # blocks of what is left over with each other, and each of them with each part of what is connected
     rest, settled = placed.where("left_over"), placed.where(~F.col("left_over"))

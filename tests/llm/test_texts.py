@@ -46,6 +46,39 @@ def test_quality_rejects_outliers_only(spark, monkeypatch, broadcast):
     assert out[2000] and not out[2001]  # a small group is judged by all rows
 
 
+def test_long_texts_come_in_smaller_blocks(spark, monkeypatch):
+    """Few enough texts for one task, but with more shingles than a task may hold."""
+    rng = random.Random(4)
+    texts = []
+    for _ in range(3):  # groups of near copies in one candidate component
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        for i in range(40):
+            held = list(words)
+            held[rng.randrange(300)] = f"x{i}"
+            texts.append(" ".join(held))
+    frame_ = spark.createDataFrame([(0, i * 7919 % 127, t) for i, t in enumerate(texts)], "root long, node long, text string")
+    monkeypatch.setattr(simhash, "HELD", 4000)
+    most, real = [], simhash.compared
+
+    def compared(dealt, least):
+        held = dealt.groupBy("root", "i", "j").agg({"shingles": "count"}).collect()
+        most.extend(r["count(shingles)"] for r in held)
+        return real(dealt, least)
+
+    monkeypatch.setattr(simhash, "compared", compared)
+    parent = {i * 7919 % 127: i * 7919 % 127 for i in range(len(texts))}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for r in simhash.verified_links(frame_, 5, 0.8).collect():
+        parent[root(r.a)] = root(r.b)
+    assert [len({root((40 * g + i) * 7919 % 127) for i in range(40)}) for g in range(3)] == [1, 1, 1] and len({root(x) for x in parent}) == 3
+    assert len(most) > 9 and max(most) < 80, most  # 120 texts in one task before
+
+
 def test_least_determinant_equals_that_of_all_subsets(spark):
     from itertools import combinations
 
