@@ -101,6 +101,19 @@ def test_least_determinant_equals_that_of_all_subsets(spark):
     assert min(off) > -1e-6 and max(off) < 1.5 and sum(x < 1e-6 for x in off) >= 0.75 * groups, off
 
 
+def test_small_groups_have_more_starts_and_none_of_nearly_all_rows(spark):
+    rng, p = np.random.default_rng(5), len(quality.VECTOR)
+    held = {f"g{n}": rng.normal(size=(n, p)) for n in (13, 59, 60, 400)}
+    sample = spark.createDataFrame([("en", g, *map(float, x)) for g, rows in held.items() for x in rows], ["g_lang", "g_source", *quality.VECTOR])
+    found = quality.starts(sample, len(held)).collect()
+    counts = Counter(r.g_source for r in found)
+    assert counts["g60"] == counts["g400"] == quality.RANDOM_STARTS + 4 and min(counts["g13"], counts["g59"]) > 4 * quality.RANDOM_STARTS, counts
+    # means of half the rows differ from the mean of all; those of 12 of 13 rows hardly do
+    middle = held["g13"].mean(0)
+    off = [np.linalg.norm([r[f"m_{x}"] for x in quality.VECTOR] - middle) for r in found if r.g_source == "g13" and r.start.startswith("random")]
+    assert np.median(off) > 0.4, off
+
+
 def test_settled_groups_take_no_more_steps(spark, monkeypatch):
     rng, n, groups = np.random.default_rng(11), 40, 10
     p = len(quality.VECTOR)
